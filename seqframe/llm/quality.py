@@ -1,19 +1,21 @@
 """Quality rules: base counts of words and lines, and tokeniser fertility.
 
 Fertility: a public vocabulary with byte fallback encodes each whole text. Its characters per
-token, its share of byte-fallback tokens and the entropy of its tokens are held against bands. The
-bands belong to the text's main script and are taken from all documents that pass the base rules:
-median plus or minus a multiple of the spread between the 5th and 95th percentile, with absolute
-outer limits. Clean text of any language lies well inside; text that no vocabulary fits (encoded
-bytes, keyboard noise, one token over and over) does not.
+token, its share of byte-fallback tokens and the entropy of its tokens are held against bands per
+language (or, where a document names none, per main script). The entropy is taken over runs of 64
+tokens, as a share of what such a run can reach, so that it does not depend on the text's length.
+A band is the median of all documents of the language that pass the base rules, less or plus a
+multiple of the spread between their 5th and 95th percentile; it widens for texts of few tokens,
+whose figures scatter. Prose lies well inside; tables, decorated or encoded text do not.
 
 Edge cases: a null text has no words; it and an empty text fail the base rules; their fertility
-figures are null; repeated rows get equal results; a script with few documents is held against the
-outer limits alone; an empty table gives an empty result; extra columns are ignored.
+figures are null; repeated rows get equal results; a band with few documents falls back to the outer
+limits; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from . import encoders
 from .common import SEPARATORS, blocks, materialize, pick, shingle_hashes, text_views, word_table, work_path
 
-METRICS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, chars_per_token double, fallback_share double, token_entropy double"
+METRICS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, band string, n_tokens long, chars_per_token double, fallback_share double, token_entropy double"
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -78,68 +80,86 @@ def base_counts(flat: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, in
     return out
 
 
-def fertility(vocabulary: str, texts: list[str]) -> list[tuple[float, float, float] | None]:
-    """Characters per token, byte-fallback share and token entropy in bits; None where there is no token."""
+def run_entropy(ids: np.ndarray, width: int = 64) -> float:
+    """Mean entropy of the tokens in runs of ``width`` or a little more, as a share of the most that a run can have."""
+    if len(ids) < 2:
+        return 0.0
+    runs = max(1, len(ids) // width)
+    each = len(ids) // runs
+    rows = np.sort(ids[: runs * each].reshape(runs, each), axis=1)
+    new = np.ones((runs, each), bool)
+    new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    n = np.diff(np.append(np.flatnonzero(new), runs * each))
+    return float(1 - (n * np.log2(n)).sum() / (runs * each) / np.log2(each))
+
+
+def fertility(vocabulary: str, texts: list[str]) -> list[tuple[int, float, float, float] | None]:
+    """Tokens, characters per token, byte-fallback share and run entropy; None where there is no token."""
     model = encoders.sentence_pieces(vocabulary)
-    fallback = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-    out: list[tuple[float, float, float] | None] = []
+    fallback = _fallback(vocabulary)
+    out: list[tuple[int, float, float, float] | None] = []
     for text, ids in zip(texts, model.encode(texts, num_threads=1), strict=True):
         if not ids:
             out.append(None)
             continue
         ids = np.array(ids)
-        _, n = np.unique(ids, return_counts=True)
-        share = n / len(ids)
-        out.append((len(text) / len(ids), float(fallback[ids].mean()), float(-(share * np.log2(share)).sum())))
+        out.append((len(ids), len(text) / len(ids), float(fallback[ids].mean()), run_entropy(ids)))
     return out
 
 
-def measure(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, repeat_share: int = 30) -> DataFrame:
+@functools.lru_cache(maxsize=4)
+def _fallback(vocabulary: str) -> np.ndarray:
+    model = encoders.sentence_pieces(vocabulary)
+    return np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+
+
+def measure(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", min_words: int = 20, repeat_share: int = 30) -> DataFrame:
     """Base counts and fertility of each document. A text that fails the base rules is not encoded: its verdict is settled."""
-    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    wanted = {"doc_id": id_col, "text": text_col} | ({"lang": lang_col} if lang_col in docs.columns else {})
+    rows = pick(docs, **wanted)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang") if "lang" in wanted else F.lit(None).cast("string").alias("lang"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text", 2 << 20):
                 base = base_counts(*text_views(block.column(1)))
                 failed = [b[0] < min_words or 100 * b[4] > repeat_share * b[0] for b in base]
-                texts = block.column(1).to_pylist()
+                texts, langs = block.column(1).to_pylist(), block.column(2).to_pylist()
                 good = [i for i, f in enumerate(failed) if not f]
                 figures: list = [None] * len(texts)
                 for i, x in zip(good, fertility(vocabulary, [texts[i] for i in good]), strict=True):
                     figures[i] = x
-                scripts = [None if f else main_script(t) for f, t in zip(failed, texts, strict=True)]
-                arrays = [block.column(0), *(pa.array([b[k] for b in base], pa.int64()) for k in range(5)), pa.array(failed, pa.bool_()), pa.array(scripts, pa.string())]
-                arrays += [pa.array([x and x[k] for x in figures], pa.float64()) for k in range(3)]
-                names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "script", "chars_per_token", "fallback_share", "token_entropy"]
+                bands = [None if f else lang or f"script {main_script(t)}" for f, t, lang in zip(failed, texts, langs, strict=True)]
+                arrays = [block.column(0), *(pa.array([b[k] for b in base], pa.int64()) for k in range(5)), pa.array(failed, pa.bool_()), pa.array(bands, pa.string())]
+                arrays += [pa.array([x and x[k] for x in figures], pa.float64() if k else pa.int64()) for k in range(4)]
+                names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "band", "n_tokens", "chars_per_token", "fallback_share", "token_entropy"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return rows.mapInArrow(each, METRICS)
 
 
-def judge(metrics: DataFrame, *, reach: float = 3.0, least_docs: int = 200) -> DataFrame:
+def judge(metrics: DataFrame, *, chars_reach: float = 2.2, entropy_reach: float = 1.4, joint_reach: float = 1.9, fallback_reach: float = 5.0, least_docs: int = 100) -> DataFrame:
     """Adds ``kept``. ``metrics`` should be stored: it is read twice.
 
-    Bands per script come from all documents that passed the base rules: one row of percentiles per
-    script, so at most as many rows as there are scripts are broadcast. ``reach``: how many times the
-    spread between the 5th and 95th percentile may lie between a kept document and the median.
+    One row of percentiles per band, over all documents, is made and broadcast: at most as many rows
+    as there are languages and scripts. A ``reach`` is in units of the spread between the 5th and
+    95th percentile. Bands of fewer than ``least_docs`` documents have no spread to speak of; their
+    documents are held against the outer limits alone.
     """
-    cuts = {c: F.percentile_approx(c, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), 1000).alias(c) for c in ("chars_per_token", "fallback_share")}
-    bands = metrics.where(~F.col("base_failed")).groupBy("script").agg(F.count(F.lit(1)).alias("n"), *cuts.values())
-    bands = bands.select(F.col("script").alias("b_script"), "n", F.col("chars_per_token").alias("b_chars"), F.col("fallback_share").alias("b_bytes"))
-
-    def within(value: str, band: str, floor: float) -> F.Column:
-        low, mid, high = (F.col(band)[i] for i in range(3))
-        slack = F.greatest((high - low) * F.lit(reach), F.lit(floor))
-        return (F.col("n") < least_docs) | F.col(value).between(mid - slack, mid + slack)
-
-    # entropy grows with the text's length: what a text can reach is the logarithm of its tokens, so only a low share of that is odd
-    tokens = F.col("word_chars") / F.col("chars_per_token")
-    flat = F.col("token_entropy") < F.least(F.lit(3.0), F.lit(0.5) * F.log2(F.greatest(tokens, F.lit(2.0))))
-    fits = within("chars_per_token", "b_chars", 0.75) & within("fallback_share", "b_bytes", 0.08)
-    outer = F.col("chars_per_token").between(0.6, 12.0) & (F.col("fallback_share") <= 0.6) & ~flat
-    joined = metrics.join(F.broadcast(bands), F.col("script") == F.col("b_script"), "left")
-    return joined.select(*metrics.columns, F.coalesce(~F.col("base_failed") & fits & outer, F.lit(False)).alias("kept"))
+    figures = {"chars_per_token": 0.15, "fallback_share": 0.02, "token_entropy": 0.025}  # with the least spread
+    cuts = (F.percentile_approx(c, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), 1000).alias(f"b_{c}") for c in figures)
+    bands = metrics.where(~F.col("base_failed")).groupBy(F.col("band").alias("b_band")).agg(F.count(F.lit(1)).alias("b_n"), *cuts)
+    loose = F.sqrt(1 + 128 / F.greatest("n_tokens", F.lit(1)))
+
+    def off(figure: str) -> F.Column:
+        low, mid, high = (F.col(f"b_{figure}")[i] for i in range(3))
+        return (F.col(figure) - mid) / F.greatest(high - low, F.lit(figures[figure])) / loose
+
+    chars, entropy = off("chars_per_token"), off("token_entropy")
+    fits = (F.abs(chars) <= chars_reach) & (entropy >= -entropy_reach) & (chars + entropy >= -joint_reach) & (off("fallback_share") <= fallback_reach)
+    outer = F.col("chars_per_token").between(0.6, 12.0) & (F.col("fallback_share") <= 0.6) & (F.col("token_entropy") >= 0.5)
+    joined = metrics.join(F.broadcast(bands), F.col("band") == F.col("b_band"), "left")
+    return joined.select(*metrics.columns, F.coalesce(~F.col("base_failed") & ((F.col("b_n") < least_docs) | fits) & outer, F.lit(False)).alias("kept"))
 
 
 def quality(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", **options) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, sharding, token_counts
+from . import decontaminate, packing, quality, sharding, token_counts, warc
+from .common import work_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +30,23 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_path(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), folder)
+    return warc.archive_report(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_token_counts": op4_token_counts,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
