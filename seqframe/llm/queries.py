@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, quality, sharding, suffix_dedup, token_counts, warc
+from . import decontaminate, language_id, minhash, packing, quality, sharding, suffix_dedup, token_counts, url_filter, warc
 from .common import work_path
 
 
@@ -18,6 +18,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), 8)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest_report(_table(spark, sf_dir, "documents"), length=100)
 
@@ -26,6 +30,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
+#: The rules of op5_url_filter.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, threshold=(85, 100))
 
@@ -50,8 +62,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_language_id": op2_language_id,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_url_filter": op5_url_filter,
     "op6_minhash": op6_minhash,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,

@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, U64, blocks, input_bytes, materialize, mix, pick, remove, shuffle_partitions, work_path
+from .common import BYTE_KEYS, U64, blocks, input_bytes, materialize, mix, remove, shuffle_partitions, work_path
 from .induced import suffixes_down
 
 ANCHOR = 24
@@ -48,7 +49,6 @@ GAP = 0xFD
 
 _FRAGMENTS = pa.schema([("content", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int32()), ("start", pa.int64())])
 _SPANS = pa.schema([("row", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
-_DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
 
 def _dump(table: pa.Table) -> bytes:
@@ -66,15 +66,15 @@ def _load(raw: bytes) -> pa.Table:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, docs): runs of documents in id order, of about PART_BYTES."""
+    """Rows (part, docs): runs of documents (doc_id, text as bytes, what else they carry) in id order, of about PART_BYTES."""
     from pyspark import TaskContext
 
     task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
 
     def part() -> pa.RecordBatch:
         nonlocal n, held, size
-        table = pa.Table.from_batches(held, _DOCS)
-        order = pa.compute.sort_indices(table, [("doc_id", "ascending")], null_placement="at_end")
+        table = pa.Table.from_batches(held)
+        order = pc.sort_indices(table, [("doc_id", "ascending")], null_placement="at_end")
         raw = _dump(table.take(order))
         n, held, size = n + 1, [], 0
         return pa.RecordBatch.from_arrays([pa.array([task << 32 | n - 1], pa.int64()), pa.array([raw], pa.binary())], names=["part", "docs"])
@@ -82,7 +82,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch, "text", PART_BYTES // 4):
             texts = block.column(1).cast(pa.binary()).fill_null(b"")
-            held.append(pa.RecordBatch.from_arrays([block.column(0), texts], schema=_DOCS))
+            held.append(block.set_column(1, pa.field("text", pa.binary()), texts))
             size += texts.nbytes
             if size >= PART_BYTES or sum(len(x) for x in held) > 1 << 20:
                 yield part()
@@ -155,13 +155,20 @@ def _fragments(flat: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.nd
 # --- the operator ---------------------------------------------------------------------------
 
 
-def removed_spans(docs: DataFrame, apply, out_schema: str, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``apply(doc_ids, texts, spans)`` for the documents of each part -> RecordBatch of ``out_schema``; spans: rows and bounds of the bytes to go, sorted and disjoint."""
+def removed_spans(docs: DataFrame, apply, out_schema, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """``apply(documents, texts, spans)`` for each part -> RecordBatch of ``out_schema``.
+
+    documents: the part's rows (doc_id, text as bytes and, with ``carry``, all columns of ``docs`` by
+    place: c0, c1 ...); spans: rows and bounds of the bytes to go, sorted and disjoint.
+    """
     if length < ANCHOR:
         raise ValueError(f"length must be at least {ANCHOR}")
     spark = docs.sparkSession
     base = work_path(spark, "suffixes")
-    texts = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = [F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col)]
+    more = [c for i, c in enumerate(flat.columns) if carry and i != docs.columns.index(text_col)]
+    texts = flat.select(at[0].cast("long").alias("doc_id"), at[1].alias("text"), *more)
     joins = shuffle_partitions(spark)
     shards = max(3 * joins, input_bytes(texts) // (4 << 20))
 
@@ -220,7 +227,7 @@ def removed_spans(docs: DataFrame, apply, out_schema: str, *, length: int = 100,
             for raw, blobs in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 table = _load(raw.as_py())
                 spans = pa.concat_tables([_load(x) for x in blobs or []] or [_SPANS.empty_table()])
-                yield apply(table.column("doc_id"), table.column("text").to_pylist(), _union(spans))
+                yield apply(table, table.column("text").to_pylist(), _union(spans))
 
     done = materialize(parts.join(back, "part", "left").select("docs", "spans").mapInArrow(cut, out_schema), f"{base}/done")
     spark.sql(f"DROP TABLE {name}")
@@ -408,7 +415,8 @@ def _by_row(n: int, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[li
 def digest_report(docs: DataFrame, *, length: int = 100, **columns: str) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
-    def apply(ids: pa.ChunkedArray, texts: list[bytes], spans) -> pa.RecordBatch:
+    def apply(table: pa.Table, texts: list[bytes], spans) -> pa.RecordBatch:
+        ids = table.column("doc_id")
         rows = _by_row(len(texts), spans)
         gone = [sum(hi - lo for lo, hi in r) for r in rows]
         kept = [hashlib.sha256(_kept(t, r)).hexdigest() for t, r in zip(texts, rows, strict=True)]
@@ -431,11 +439,15 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def cut_texts(docs: DataFrame, *, length: int = 100, **columns: str) -> DataFrame:
-    """(doc_id, text) of each row after the cut; characters that a span would split stay whole. Null texts become empty."""
+def cut_texts(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with repeated passages cut from their texts; characters that a span would split stay whole. Null texts become empty."""
+    place = docs.columns.index(text_col)
 
-    def apply(ids: pa.ChunkedArray, texts: list[bytes], spans) -> pa.RecordBatch:
+    def apply(table: pa.Table, texts: list[bytes], spans) -> pa.RecordBatch:
         kept = [_kept(t, whole_characters(t, r)).decode() for t, r in zip(texts, _by_row(len(texts), spans), strict=True)]
-        return pa.RecordBatch.from_arrays([ids.combine_chunks(), pa.array(kept, pa.string())], names=["doc_id", "text"])
+        columns = [pa.array(kept, pa.string()) if i == place else table.column(f"c{i}").combine_chunks() for i in range(width)]
+        return pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(width)])
 
-    return removed_spans(docs, apply, "doc_id long, text string", length=length, **columns)
+    width = len(docs.columns)
+    flat = docs.toDF(*(f"c{i}" for i in range(width)))
+    return removed_spans(docs, apply, flat.schema, length=length, id_col=id_col, text_col=text_col, carry=True).toDF(*docs.columns)
