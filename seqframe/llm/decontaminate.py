@@ -2,8 +2,10 @@
 
 Texts and test items are folded to lower-case words joined by single spaces. An item of n characters
 may differ by up to ``rate`` * n edits; cut into one piece more than that, at least one piece occurs
-unchanged in any such occurrence. One automaton finds all pieces in a text; around each hit the item is
-verified by Myers' bit-parallel edit distance, with overlapping windows joined first.
+unchanged in any such occurrence. One automaton finds all pieces in a text. A hit is verified by Myers'
+bit-parallel edit distance, first on the part of the item around the piece and then on ever larger
+parts: halves share the budget so that an occurrence within it has a half within the half's share. So
+almost all chance hits end after a few characters, and none that counts is lost.
 
 The items travel to the tasks in blocks of bounded size (``block_bytes``), one pass over the texts
 for each block, so what is broadcast does not grow with the table.
@@ -34,20 +36,37 @@ def fold(text: str) -> str:
     return _GAPS.sub(" ", text.lower()).strip()
 
 
-def pieces(item: str, budget: int) -> list[tuple[int, str]]:
-    """The item in budget + 1 pieces of nearly equal length, with their places."""
-    n = budget + 1
-    cuts = [len(item) * i // n for i in range(n + 1)]
-    return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+class Part:
+    """A part of an item with its share of the error budget, and the larger part that it belongs to."""
 
+    __slots__ = ("above", "budget", "item", "masks", "start", "text")
 
-def myers(item: str, text: str) -> tuple[int, int]:
-    """The least edit distance between the item and any part of the text, and the first end of such a part."""
-    masks: dict[str, int] = defaultdict(int)
-    for i, c in enumerate(item):
-        masks[c] |= 1 << i
-    full, top = (1 << len(item)) - 1, 1 << (len(item) - 1)
-    plus, minus, score = full, 0, len(item)
+    def __init__(self, item: int, text: str, start: int, budget: int, above: Part | None):
+        self.item, self.text, self.start, self.budget, self.above = item, text, start, budget, above
+        self.masks: dict[str, int] = {}
+        for i, c in enumerate(text):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
+
+
+def pieces(item: int, text: str, budget: int) -> list[Part]:
+    """The item in budget + 1 exact pieces, each linked to the larger parts above it."""
+    out, todo = [], [Part(item, text, 0, budget, None)]
+    while todo:
+        part = todo.pop()
+        if part.budget == 0:
+            out.append(part)
+            continue
+        left = (part.budget - 1) // 2  # left + right + 1 = budget: both halves over their shares make more than the budget
+        right = part.budget - 1 - left
+        cut = len(part.text) * (left + 1) // (part.budget + 1)
+        todo += [Part(item, part.text[:cut], part.start, left, part), Part(item, part.text[cut:], part.start + cut, right, part)]
+    return out
+
+
+def myers(masks: dict[str, int], size: int, text: str) -> tuple[int, int]:
+    """The least edit distance between a pattern, given by its masks, and any part of the text; the first end of such a part."""
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    plus, minus, score = full, 0, size
     best, end = score, 0
     get = masks.get
     for at, c in enumerate(text, 1):
@@ -60,12 +79,12 @@ def myers(item: str, text: str) -> tuple[int, int]:
             score += 1
         elif down & top:
             score -= 1
+            if score < best:
+                best, end = score, at
         up <<= 1
         down <<= 1
         plus = (down | ~(across | up)) & full
         minus = up & across & full
-        if score < best:
-            best, end = score, at
     return best, end
 
 
@@ -73,55 +92,51 @@ class Matcher:
     def __init__(self, items: list[tuple[int | None, str]], rate: float, least_chars: int):
         import ahocorasick
 
-        self.items = []
-        at: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.items: list[tuple[int | None, int]] = []
+        at: dict[str, list[Part]] = defaultdict(list)
         for item_id, text in items:
             folded = fold(text)
             if len(folded) < least_chars:
                 continue
             budget = int(len(folded) * rate)
-            for start, piece in pieces(folded, budget):
-                at[piece].append((len(self.items), start))
-            self.items.append((item_id, folded, budget))
+            for part in pieces(len(self.items), folded, budget):
+                at[part.text].append(part)
+            self.items.append((item_id, budget))
         self.machine = ahocorasick.Automaton()
-        for piece, places in at.items():
-            self.machine.add_word(piece, (len(piece), places))
+        for piece, parts in at.items():
+            self.machine.add_word(piece, (len(piece), parts))
         if at:
             self.machine.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int | None, int, int]]:
-        """(item id, distance, end in the folded text) of each item within its budget."""
+    def find(self, text: str) -> list[tuple[int | None, int, int, int]]:
+        """(item id, distance, end in the folded text, budget) of each item within its budget, at its best place."""
         if not self.items:
             return []
         folded = fold(text)
-        spots: dict[int, list[int]] = defaultdict(list)
-        for last, (size, places) in self.machine.iter(folded):
-            for item, start in places:
-                spots[item].append(last + 1 - size - start)
-        out = []
-        for item, begins in spots.items():
-            item_id, form, budget = self.items[item]
-            best = (budget + 1, 0)
-            for lo, hi in _joined(sorted(begins), budget, len(form) + budget):
-                lo = max(0, lo)
-                found, end = myers(form, folded[lo:hi])
-                best = min(best, (found, lo + end))
-            if best[0] <= budget:
-                out.append((item_id, *best))
-        return out
-
-
-def _joined(begins: list[int], before: int, after: int) -> Iterator[tuple[int, int]]:
-    lo = hi = None
-    for b in begins:
-        if hi is not None and b - before <= hi:
-            hi = b + after
-        else:
-            if hi is not None:
-                yield lo, hi
-            lo, hi = b - before, b + after
-    if hi is not None:
-        yield lo, hi
+        best: dict[int, tuple[int, int]] = {}
+        seen: dict[int, list[tuple[int, int]]] = defaultdict(list)  # spans of items that were verified whole
+        for last, (size, parts) in self.machine.iter(folded):
+            for part in parts:
+                begin = last + 1 - size - part.start  # where the item would begin without edits
+                if any(lo <= begin <= hi for lo, hi in seen[part.item]):
+                    continue
+                found, end = 0, last + 1
+                while part.above is not None:
+                    part = part.above
+                    # the piece is exact and the part within its share: its ends are off by no more than that
+                    slack = part.budget
+                    lo = max(0, begin + part.start - slack)
+                    found, end = myers(part.masks, len(part.text), folded[lo : begin + part.start + len(part.text) + slack])
+                    end += lo
+                    if found > part.budget:
+                        break
+                else:
+                    seen[part.item].append((begin, begin))
+                    best[part.item] = min(best.get(part.item, (found, end)), (found, end))
+                    continue
+                if part.above is None:
+                    seen[part.item].append((begin, begin))
+        return [(*self.items[i][:1], *b, self.items[i][1]) for i, b in best.items()]
 
 
 _built: dict[int, Matcher] = {}
@@ -148,10 +163,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.1, leas
     def search(items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(*items.value, rate, least_chars)
-            budgets = {i: b for i, _, b in matcher.items}
             for batch in batches:
                 for block in blocks(batch, "text"):
-                    found = [(doc, *hit[:2], budgets[hit[0]]) for doc, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True) for hit in matcher.find(text)]
+                    found = [(doc, hit[0], hit[1], hit[3]) for doc, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True) for hit in matcher.find(text)]
                     cols = list(zip(*found, strict=True)) or [[]] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(cols)], names=["doc_id", "item_id", "distance", "budget"])
 
