@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, pick
+from .common import blocks, materialize, pick
 
 #: Payload bytes after which a task begins a new file; a single larger record has a file of its own.
 ROLL_BYTES = 16 << 20
@@ -39,6 +39,10 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _base32(sha1: bytes) -> bytes:
+    return base64.b32encode(sha1)
+
+
 def _name(page_id: int | None) -> bytes:
     return b"<urn:page:%s>" % (b"null" if page_id is None else str(page_id).encode())
 
@@ -47,7 +51,7 @@ def _escaped(url: str) -> bytes:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url).encode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, keeper: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, keeper: int | None, revisit: bool, sha1: bytes, sha256: bytes) -> bytes:
     """One WARC/1.1 record; a revisit has the HTTP header alone as its block."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
@@ -56,7 +60,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, keeper: int | N
         lines.append(b"WARC-Target-URI: " + _escaped(url))
     if revisit:
         lines += [b"WARC-Refers-To: " + _name(keeper), b"WARC-Profile: " + _PROFILE]
-    lines += [b"WARC-Payload-Digest: sha1:" + base32_sha1(payload).encode(), b"X-Payload-SHA256: " + hashlib.sha256(payload).hexdigest().encode()]
+    lines += [b"WARC-Payload-Digest: sha1:" + _base32(sha1), b"X-Payload-SHA256: " + sha256.hex().encode()]
     lines += [b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block)]
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -74,7 +78,7 @@ def write_archive(pages: DataFrame, folder: str, *, min_bytes: int = 0, id_col:
     keepers = narrow.groupBy("strong").agg(F.max("page_id").alias("keeper"))
     roles = narrow.join(keepers, "strong").select(F.col("page_id").alias("r_id"), F.col("strong").alias("r_strong"), "keeper", ((F.col("bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper"))).alias("revisit"))
     full = rows.join(roles.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("strong") == F.col("r_strong")))
-    full = full.select("page_id", "url", "payload", "keeper", "revisit")
+    full = full.select("page_id", "url", "payload", "keeper", "revisit", F.unhex(F.sha1("payload")).alias("sha1"), "strong")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -95,12 +99,12 @@ def write_archive(pages: DataFrame, folder: str, *, min_bytes: int = 0, id_col:
 
         for batch in batches:
             for block in blocks(batch, "payload"):
-                for page_id, url, payload, keeper, revisit in zip(*(block.column(i).to_pylist() for i in range(5)), strict=True):
+                for page_id, url, payload, keeper, revisit, sha1, sha256 in zip(*(block.column(i).to_pylist() for i in range(7)), strict=True):
                     if out is None:
                         part = f"{root}/_writing-{uuid.uuid4().hex}"
                         out = system.open_output_stream(part, compression=None)
                     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    out.write(squeeze.compress(record(page_id, url, payload, keeper, revisit)) + squeeze.flush())
+                    out.write(squeeze.compress(record(page_id, url, payload, keeper, revisit, sha1, sha256)) + squeeze.flush())
                     n, filled = n + 1, filled + (0 if revisit else len(payload)) + 512
                     if filled >= ROLL_BYTES:
                         close()
@@ -180,8 +184,8 @@ def rebuild_records(payloads: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def archive_report(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record: whose payload it is, how long that is, and what it refers to. Revisits get the size of the verified payload by a join on its digest."""
-    records = read_archive(spark, folder, with_bytes=False)
+    """One row per record: whose payload it is, how long that is, and what it refers to. Revisits get the size of the verified payload by a join on its digest. The files are parsed once."""
+    records = materialize(read_archive(spark, folder, with_bytes=False).select("page_id", "record_type", "refers_to", "payload_digest", "strong_digest", "payload_bytes"), f"{folder}/_records")
     stored = records.where("record_type = 'response'").groupBy("strong_digest").agg(F.max("payload_bytes").alias("full_bytes"))
     joined = records.join(stored, "strong_digest")
     return joined.select("page_id", F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
