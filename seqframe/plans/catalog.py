@@ -45,7 +45,7 @@ def _codon_case(codon: str) -> str:
 
 def _protein(seq: str) -> str:
     """DuckDB: the protein of a coding part that begins with ATG."""
-    residues = f"array_to_string(list_transform(range(0, cast(length({seq}) // 3 as bigint)), lambda i: {_codon_case(f'substr({seq}, i * 3 + 1, 3)')}), '')"
+    residues = f"array_to_string(list_transform(regexp_extract_all({seq}, '...'), lambda x: {_codon_case('x')}), '')"
     return f"split_part({residues}, '*', 1)"
 
 
@@ -180,13 +180,13 @@ def translate_orf(spark, d):
 @query(f"""with s as (select gene_id, '+' as strand, seq as s from {{genes}} g union all select gene_id, '-', reverse(translate(seq, 'ACGT', 'TGCA')) from {{genes}} g),
  f as (select gene_id, strand, o, length(s) as n, substr(s, cast(o + 1 as bigint)) as p from s, (select unnest(range(0, 3)) as o) x),
  c as (select gene_id, strand, o, n, instr(p, 'ATG') as spot, substr(p, instr(p, 'ATG')) as c from f where instr(p, 'ATG') > 0)
- select gene_id, strand || (o + 1) as frame, cast(spot - 1 + o as int) as orf, cast(case strand when '+' then spot - 1 + o else n - 1 - (spot - 1 + o) end as int) as orf_forward, {_protein('c')} as protein from c where length({_protein('c')}) > 0""")
+ select gene_id, strand || (o + 1) as frame, cast(spot - 1 + o as int) as orf, cast(case strand when '+' then spot - 1 + o else n - 1 - (spot - 1 + o) end as int) as orf_forward, protein from (select *, {_protein('c')} as protein from c) y where length(protein) > 0""")
 def six_frames(spark, d):
     return frames.six_frames(view(spark, d, "genes")).select("gene_id", "frame", "orf", "orf_forward", "protein")
 
 
 @query(f"""with c as (select gene_id, substr(seq, instr(seq, 'ATG')) as c from {{genes}} g where instr(seq, 'ATG') > 0),
- p as (select gene_id, c, array_to_string(list_transform(range(0, length(c) // 3), lambda i: {_codon_case('substr(c, i * 3 + 1, 3)')}), '') as r from c),
+ p as (select gene_id, c, array_to_string(list_transform(regexp_extract_all(c, '...'), lambda x: {_codon_case('x')}), '') as r from c),
  n as (select gene_id, c, r, case when instr(r, '*') > 0 then instr(r, '*') else length(r) end as n from p)
  select codon, residue, cast(count(*) as bigint) as n from (select substr(c, i * 3 - 2, 3) as codon, substr(r, i, 1) as residue from (select c, r, unnest(range(1, n + 1)) as i from n) x) y group by codon, residue""")
 def codon_usage(spark, d):
