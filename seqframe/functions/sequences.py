@@ -96,8 +96,7 @@ def composition(seq: Column, protein: bool = False) -> Column:
 
 def quality_scores(qual: Column) -> Column:
     """Phred scores of a Phred+33 string, kept within 0 and 93."""
-    scores = F.transform(F.sequence(F.lit(1), F.greatest(F.length(qual), F.lit(1))), lambda i: F.least(F.greatest(F.ascii(F.substr(qual, i, F.lit(1))) - 33, F.lit(0)), F.lit(93)))
-    return F.when(F.length(qual) == 0, F.array().cast("array<int>")).otherwise(scores)
+    return F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.least(F.greatest(F.ascii(c) - 33, F.lit(0)), F.lit(93)))
 
 
 def quality_sum(qual: Column) -> Column:
@@ -224,7 +223,9 @@ def codon_trace(seq: Column) -> Column:
     coding = F.substr(seq, F.locate("ATG", seq), F.length(seq))
     protein = translate_codons(coding)
     n = F.when(F.locate("*", protein) > 0, F.locate("*", protein)).otherwise(F.length(protein))
-    each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(F.substr(coding, i * 3 - 2, F.lit(3)).alias("codon"), F.substr(protein, i, F.lit(1)).alias("residue")))
+    every = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    zipped = F.arrays_zip(every(coding, "(...)").alias("codon"), every(protein, "(.)").alias("residue"))
+    each = F.slice(zipped, F.lit(1), n)
     return F.when((F.locate("ATG", seq) > 0) & (n > 0), each)
 
 

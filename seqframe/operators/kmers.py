@@ -7,17 +7,12 @@ from pyspark.sql import functions as F
 
 from ..errors import SeqValueError
 
-_ALL = "[^ACGT]"
-
 
 def windows(seq: Column, k: int) -> Column:
-    """Array of all k-long windows without unknown symbols; empty if the sequence is shorter."""
+    """Array of all k-long windows without unknown symbols, in one pass over the sequence; empty if it is shorter."""
     if k < 1:
         raise SeqValueError("k must be at least 1")
-    n = F.length(seq) - k + 1
-    every = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(seq, i, F.lit(k)))
-    clean = F.filter(every, lambda w: ~w.rlike(_ALL))
-    return F.when(n >= 1, clean).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(seq, F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
 
 
 def explode_kmers(reads: DataFrame, k: int, seq_col: str = "seq", *keep: str) -> DataFrame:
