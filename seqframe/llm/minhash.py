@@ -6,11 +6,13 @@ over the set. So two permutations stand for any number of hash functions. Coordi
 bands; documents that agree on a band are candidates. The number of bands follows from the
 threshold, so that two documents at the threshold share no band with a chance of at most ``miss``.
 
-No bucket is ever expanded into all its pairs at first. Documents with equal sets form classes; each
-bucket's classes are compared with its first class (a star), on the full sets. Where a bucket still
-holds several components after that, its pairs between different components are verified as well,
-those of unlike sizes excepted, which cannot reach the threshold. Thus every candidate pair ends
-verified or inside one component. Components are found by joins.
+No bucket is expanded into its pairs. Documents with equal sets form classes; each bucket's classes
+are compared, on the full sets, with its most central class (a star): the one that shares the most
+buckets with others, as the original of a group of copies does. Where a bucket still holds several
+components after that, its classes are dealt into blocks, and pairs of blocks are compared inside tasks:
+classes of one component, or of sizes that cannot reach the threshold, are passed over, and a pair is
+looked at only in the first bucket that it shares. Thus every candidate pair ends verified or inside one
+component, and rows grow with bucket size times blocks. Components are found by joins.
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing;
 fewer words than a shingle has make one shingle; rows of one doc_id are one document; repeated rows
@@ -37,6 +39,8 @@ PLACES = 1 << 20
 ROWS_PER_BAND = 4
 #: Star edges of one hub that are compared in one group; sets of one hub are sent once per group.
 PER_HUB = 64
+#: Classes of one block of a bucket that is not settled by its star.
+BLOCK = 1024
 SALTS = 32
 
 
@@ -123,15 +127,20 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return chosen.select("text").mapInArrow(run, "cls long, shingles binary")
 
 
+def _reaches(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int]) -> bool:
+    num, den = threshold
+    place = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    common = int((a[place] == b).sum())
+    return den * common >= num * (len(a) + len(b) - common)
+
+
 def _verified(edges: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Of edges (a, b): those whose sets reach the threshold.
+    """Of edges (a, b, size): those whose sets reach the threshold. size: that of a bucket that they share.
 
     A hub's edges are cut into groups of about PER_HUB, each of which gets the hub's set once, so
     that no task holds all edges of a hub; rows stream through in sorted order, one hub set in memory.
     """
-    num, den = threshold
-    degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    dealt = edges.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / PER_HUB)))
+    dealt = edges.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / PER_HUB)).alias("part"))
     hubs = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("cls", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
     spokes = dealt.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "part", "b", "shingles")
     rows = hubs.unionByName(spokes).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -147,13 +156,72 @@ def _verified(edges: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
                     continue
                 if at != (a, part):
                     raise ValueError("a hub's set is missing")
-                place = np.minimum(np.searchsorted(hub, s), len(hub) - 1)
-                common = int((hub[place] == s).sum())
-                if den * common >= num * (len(hub) + len(s) - common):
+                if _reaches(hub, s, threshold):
                     out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
+            yield _pairs(out)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _block_links(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links between components in buckets: rows (key, cls, label, n, size, bands, shingles) -> (a, b).
+
+    A bucket of one block is one group; a larger one has a group per pair of blocks, with 2 * BLOCK
+    classes at most or so, whatever the bucket's size.
+    """
+    num, den = threshold
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), n_blocks).cast("int")
+    dealt = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "label", "n", "bands", "shingles")
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def compare(key: int, lo: int, hi: int, held: list[tuple]) -> list[tuple[int, int]]:
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while top.setdefault(x, x) != x:
+                x = top[x]
+            return x
+
+        out = []
+        block, cls, label, n = (np.array([x[i] for x in held]) for i in range(4))
+        bands = np.array([x[4] for x in held])
+        for i in np.flatnonzero(block == lo):
+            like = (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & (label != label[i]) & (block == hi)
+            if lo == hi:
+                like[: i + 1] = False
+            others = np.flatnonzero(like)
+            if len(others) == 0:
+                continue
+            first = (bands[others] == bands[i]).argmax(axis=1)
+            for j in others[bands[i][first] == key]:
+                x, y = find(label[i]), find(label[j])
+                if x != y and _reaches(_unpacked(held[i][5]), _unpacked(held[j][5]), threshold):
+                    top[x] = y
+                    out.append((int(cls[i]), int(cls[j])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            for key, lo, hi, *rest, raw in zip(*columns, batch.column(8), strict=True):
+                if at != (key, lo, hi):
+                    if held:
+                        out += compare(*at, held)
+                    at, held = (key, lo, hi), []
+                held.append((*rest, raw.as_py()))
+            yield _pairs(out)
+        if held:
+            yield _pairs(compare(*at, held))
+
+    return dealt.mapInArrow(run, "a long, b long")
+
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,44 +241,43 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, in
     # classes of equal sets; their first document stands for them
     reps = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     classes = materialize(reps, f"{base}/classes")
-    first = signed.where("bands is not null").select("doc_id", "cls", "n", "bands").dropDuplicates(["cls"])  # bands depend on the set alone
-    spread = first.join(classes, "cls").select("cls", "rep", "n", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
-    spread = materialize(spread, f"{base}/bands")
+    first = signed.where("bands is not null").select("cls", "n", "bands").dropDuplicates(["cls"])  # bands depend on the set alone
+    first = materialize(first, f"{base}/first")
+    spread = first.select("cls", "n", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
 
     # buckets of two or more classes; hot ones are gathered by salt first, and joined back by salt
-    partial = spread.groupBy("key", "salt").agg(F.min(F.struct("rep", "cls", "n")).alias("hub"), F.count(F.lit(1)).alias("size"))
-    buckets = partial.groupBy("key").agg(F.min("hub").alias("hub"), F.sum("size").alias("size"), F.collect_list("salt").alias("salts")).where("size > 1")
-    buckets = buckets.select("key", "hub", F.explode("salts").alias("salt"))
-    members = materialize(spread.join(buckets, ["key", "salt"]).select("key", "cls", "rep", "n", F.col("hub.cls").alias("h_cls"), F.col("hub.rep").alias("h_rep"), F.col("hub.n").alias("h_n")), f"{base}/members")
-    remove(spark, f"{base}/bands")
-
-    like = den * F.least("n", "h_n") >= num * F.greatest("n", "h_n")
-    stars = members.where((F.col("cls") != F.col("h_cls")) & like).select(F.col("h_cls").alias("a"), F.col("cls").alias("b"), F.col("h_rep").alias("a_rep"), F.col("rep").alias("b_rep")).distinct()
-    stars = materialize(stars, f"{base}/stars")
-    involved = members.select("cls", "rep").distinct()
-    sets = materialize(_sets_of(texts, involved, width), f"{base}/sets").dropDuplicates(["cls"])
-    links = materialize(_verified(stars.select("a", "b"), sets, threshold), f"{base}/links")
+    def per_bucket(rows: DataFrame, **sums) -> DataFrame:
+        """Aggregates per key in two steps, one row per (key, salt) that occurs."""
+        some = rows.groupBy("key", "salt").agg(*(f(c).alias(name) for name, (f, c) in sums.items()))
+        whole = some.groupBy("key").agg(*((F.sum if f is F.count else f)(name).alias(name) for name, (f, _) in sums.items()), F.collect_list("salt").alias("salts"))
+        return whole.select("key", *sums, F.explode("salts").alias("salt"))
+
+    buckets = per_bucket(spread, size=(F.count, "cls")).where("size > 1")
+    members = materialize(spread.join(buckets, ["key", "salt"]), f"{base}/members")
+    central = members.groupBy("cls").agg(F.sum("size").alias("degree"))
+    members = materialize(members.join(central, "cls"), f"{base}/central")
+    hubs = per_bucket(members, hub=(F.max, F.struct("degree", "cls", "n")))
+    like = den * F.least("n", "hub.n") >= num * F.greatest("n", "hub.n")
+    stars = members.join(hubs, ["key", "salt"]).where((F.col("cls") != F.col("hub.cls")) & like)
+    stars = materialize(stars.groupBy(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).agg(F.max("size").alias("size")), f"{base}/stars")
+    involved = members.select("cls").distinct().join(classes, "cls")
+    sets = materialize(_sets_of(texts, involved, width).dropDuplicates(["cls"]), f"{base}/sets")
+    links = materialize(_verified(stars, sets, threshold), f"{base}/links")
     labels = connected_components(links)
 
-    # buckets that still hold several components: pairs between them, not compared before
-    named = members.select("key", "cls", "n").join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left").select("key", "cls", "n", F.coalesce("label", "cls").alias("label"))
+    # buckets that still hold several components
+    named = members.select("key", "salt", "cls", "n", "size").join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = materialize(named, f"{base}/named")
-    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = named.join(open_keys, "key")
-    left, right = (rest.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "label"))) for side in ("a", "b"))
-    fits = (F.col("a_cls") < F.col("b_cls")) & (F.col("a_label") != F.col("b_label")) & (den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n"))
-    pairs = left.join(right, "key").where(fits).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), f"{base}/pairs")
-    if not pairs.isEmpty():
-        more = materialize(_verified(pairs, sets, threshold), f"{base}/more")
-        if not more.isEmpty():
-            labels = connected_components(more, labels)
+    open_ = per_bucket(named, lo=(F.min, "label"), hi=(F.max, "label")).where("lo <> hi").select("key", "salt")
+    rest = named.join(open_, ["key", "salt"]).join(first.select("cls", "bands"), "cls").join(sets, "cls")
+    more = materialize(_block_links(rest, threshold), f"{base}/more")
+    if not more.isEmpty():
+        labels = connected_components(more, labels)
 
     smallest = classes.join(labels, classes["cls"] == labels["id"], "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     tops = smallest.groupBy("label").agg(F.min("rep").alias("component"))
     found = materialize(smallest.join(tops, "label").select("cls", "component"), f"{base}/found")
-    for part in ("members", "stars", "sets", "links", "named", "pairs", "more", "classes"):
+    for part in ("members", "central", "first", "stars", "sets", "links", "named", "more", "classes"):
         remove(spark, f"{base}/{part}")
     out = signed.select("doc_id", "n", "cls").join(found, "cls", "left")
     component = F.coalesce("component", "doc_id")
