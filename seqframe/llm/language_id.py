@@ -6,8 +6,10 @@ so a common language outweighs no other). A text's margins are compared with eve
 logistic loss in which a bit weighs as much as it separates its sides; the least loss names the
 language. ``ambiguous`` marks texts whose two best languages lie close together.
 
-Training: per language, the TRAIN_DOCS documents whose hashed ids are least, a bounded sample that
-does not depend on partitioning. The model has languages x BUCKETS counts, whatever the corpus.
+Training: per language, a sample of about TRAIN_DOCS documents (all, if there are fewer): those whose
+hashed ids lie below the share that TRAIN_DOCS is of the language's documents. It does not depend on
+partitioning, and no language's rows meet in one task. The model has languages x BUCKETS counts,
+whatever the corpus.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every text where
 nothing could be learned; with one learned language that language is predicted; repeated rows get equal
@@ -22,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, pick, text_views
 
-#: Documented bound of the training sample, per language.
+#: Documented bound of the training sample, per language (to within the chance of hashing).
 TRAIN_DOCS = 3000
 BUCKETS = 1 << 15
 _LETTER = re.compile(r"[^\W\d_]")
@@ -129,11 +131,10 @@ class Model:
 
 
 def train(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """rows: (doc_id, lang, text) to learn from. Per language only the ``train_docs`` least hashed ids go on, cut in each task first."""
-    spark = rows.sparkSession
-    ranked = rows.select("doc_id", "lang").withColumn("__r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.where(F.col("__r") <= train_docs).select("doc_id", "lang").distinct()
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")  # at most train_docs ids per language
+    """rows: (doc_id, lang, text) to learn from."""
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))  # one row per language
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("double") * F.col("docs") < F.lit(float(train_docs << 30))
+    sample = rows.join(F.broadcast(sizes), "lang").where(share).select("lang", "text")
     counts: dict[str, np.ndarray] = {}
     table = count_trigrams(sample).toArrow()
     lang, bucket, n = (table.column(i) for i in range(3))
@@ -142,7 +143,6 @@ def train(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     for x in set(names):
         here = np.array([y == x for y in names])
         counts[x] = np.bincount(bucket[here], weights=n[here], minlength=BUCKETS)
-    del spark
     return Model(counts)
 
 
