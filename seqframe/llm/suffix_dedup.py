@@ -170,11 +170,10 @@ def removed_spans(docs: DataFrame, apply, out_schema, *, length: int = 100, id_c
     more = [c for i, c in enumerate(flat.columns) if carry and i != docs.columns.index(text_col)]
     texts = flat.select(at[0].cast("long").alias("doc_id"), at[1].alias("text"), *more)
     joins = shuffle_partitions(spark)
-    shards = max(3 * joins, input_bytes(texts) // (4 << 20))
-
     name = f"parts_{uuid.uuid4().hex}"
     texts.mapInArrow(_pack, "part long, docs binary").write.format("parquet").bucketBy(joins, "part").option("path", f"{base}/parts").option("compression", "none").saveAsTable(name)
     parts = spark.table(name)
+    shards = max(3 * joins, input_bytes(parts) // (2 << 20))  # the parts are files of known size
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,7 +322,7 @@ def _marked(table: pa.Table, length: int) -> pa.Table:
         order = np.argsort(parts_, kind="stable")
         rows_, parts_, los, his = rows_[order], parts_[order], los[order], his[order]
         begin = np.flatnonzero(np.append(True, np.diff(parts_) != 0)) if len(parts_) else np.zeros(0, np.int64)
-        for a, b in zip(begin, np.append(begin[1:], len(parts_)), strict=True):
+        for a, b in zip(begin, [*begin[1:], len(parts_)], strict=False):  # none, if nothing repeats
             spans = pa.table([pa.array(rows_[a:b], pa.int32()), pa.array(los[a:b], pa.int64()), pa.array(his[a:b], pa.int64())], schema=_SPANS)
             r, x, y = _union(spans)
             out_parts.append(int(parts_[a]))
