@@ -1,6 +1,6 @@
 """URL filters: rules by host and path, and a classifier on segmented host names for what no rule decides.
 
-Words are counted over all page texts; the VOCABULARY most frequent make a unigram model. A Viterbi
+Words are counted over all page texts; the most frequent, VOCABULARY at most, make a unigram model. A Viterbi
 pass splits each letter run of a host or path into its most probable words. Multinomial naive Bayes on
 the words, learned from the pages that a rule decides and from ``SPAM_WORDS``, judges the rest. Words that
 a rule names itself are left out: they would only repeat the rule. Word and class counts are
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ BUCKETS = 1 << 14
 LONGEST_WORD = 16
 #: Words of hosts that are blocked as a rule, each seen so many times in the class block.
 SPAM_WORDS = ("adult", "bet", "bets", "betting", "bonus", "casino", "cheap", "coupon", "escort", "gamble", "jackpot", "loan", "loans", "lottery", "pharma", "pills", "poker", "porn", "replica", "sex", "slots", "viagra", "win", "xxx")
-SPAM_WEIGHT = 50
+SPAM_WEIGHT = 200
 _TAGS = re.compile(r"<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>", re.S | re.I)
 _WORDS = re.compile(r"[a-z]{1,16}(?![a-z])")
 _RUNS = re.compile(r"[^\W\d_]+|\d+")
@@ -81,6 +82,22 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(words: DataFrame, most: int) -> DataFrame:
+    """The words of at least some frequency, the lowest for which they are ``most`` or fewer.
+
+    The frequency is read off a table of logarithmic classes, 8 to the octave; so neither the driver nor
+    a task ever gets more than ``most`` words, as it would if each task sent its own most frequent.
+    """
+    level = F.floor(F.log2("n") * 8).cast("int")
+    total, least = 0, 0
+    for r in words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect():  # under 512 rows
+        total += r["words"]
+        if total > most:
+            least = r["level"] + 1
+            break
+    return words.where(level >= least)
+
+
 class Segmenter:
     """Most probable split of a letter run into words of a unigram model; a run of unknown letters costs more the longer it is."""
 
@@ -136,8 +153,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str =
 
     named = frozenset(x for _, rule in rules for x in _RUNS.findall(rule))
     spam = {w: SPAM_WEIGHT for w in SPAM_WORDS}
-    words = count_words(pick(pages, html=text_col)).orderBy(F.desc("n"), "word").limit(vocabulary)  # bounded
-    model = spark.sparkContext.broadcast(Segmenter(spam | {r["word"]: r["n"] for r in words.collect()}))
+    words = count_words(pick(pages, html=text_col)).persist(StorageLevel.MEMORY_AND_DISK)  # read twice; a lost part is counted again
+    model = spark.sparkContext.broadcast(Segmenter(spam | {r["word"]: r["n"] for r in frequent_words(words, vocabulary).collect()}))
+    words.unpersist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS + 1), np.int64)
@@ -157,6 +175,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str =
     np.add.at(sums[1], _buckets([f"{kind}:{w}" for w in SPAM_WORDS for kind in "hp"]), SPAM_WEIGHT)
     words_of = sums[:, :BUCKETS] + 0.5
     odds = np.log(words_of[1] / words_of[1].sum()) - np.log(words_of[0] / words_of[0].sum())
+    odds[(sums[:, :BUCKETS] == 0).all(axis=0)] = 0.0  # words that neither class has seen say nothing
     prior = math.log((seen[1] + 0.5) / (seen[0] + 0.5)) if seen.sum() else -1.0
     bayes = spark.sparkContext.broadcast((odds, prior))
 
