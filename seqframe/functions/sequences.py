@@ -178,34 +178,49 @@ def find_orf(seq: Column) -> Column:
     return F.locate("ATG", seq) - 1
 
 
-def _codon_table(ambiguous: str) -> dict[str, str]:
-    table = {a + b + c: GENETIC_CODE[16 * i + 4 * j + k] for i, a in enumerate("ACGT") for j, b in enumerate("ACGT") for k, c in enumerate("ACGT")}
-    if ambiguous == "alias":  # the place in the table is computed from the codes, whatever they are
-        code = alphabet.NUCLEOTIDE_CODES
-        for a in code:
-            for b in code:
-                for c in code:
-                    at = 16 * code[a] + 4 * code[b] + code[c]
-                    if at < 64:
-                        table[a + b + c] = GENETIC_CODE[at]
-    elif ambiguous != "strict":
+def _residues(codings: pd.Series, ambiguous: str, to_stop: bool) -> pd.Series:
+    """A batch's codons as one array: three table look-ups a codon, whatever the number of rows."""
+    import numpy as np
+
+    code = np.full(256, alphabet.UNKNOWN, np.int16)
+    for c, v in alphabet.NUCLEOTIDE_CODES.items():
+        code[ord(c)] = v
+    known = [c is not None for c in codings]
+    whole = [c[: len(c) - len(c) % 3] if k else "" for c, k in zip(codings, known, strict=True)]
+    found = code[np.frombuffer("".join(whole).encode("ascii", "replace"), np.uint8)].reshape(-1, 3)
+    place = found @ np.array([16, 4, 1], np.int16)
+    good = place < 64 if ambiguous == "alias" else (found < 4).all(axis=1)
+    signs = np.frombuffer(GENETIC_CODE.encode(), np.uint8)
+    text = np.where(good, signs[np.where(good, place, 0)], ord("X")).astype(np.uint8).tobytes().decode()
+    out, at = [], 0
+    for w, k in zip(whole, known, strict=True):
+        end = at + len(w) // 3
+        stop = text.find("*", at, end) if to_stop else -1
+        out.append(text[at : end if stop < 0 else stop] if k else None)
+        at = end
+    return pd.Series(out, dtype=object)
+
+
+def translate_codons(coding: Column, ambiguous: str = "strict", to_stop: bool = False) -> Column:
+    """Residues of all whole codons, or of those before the first stop.
+
+    Runs on Arrow batches: string expressions need a call or a pass per codon kind and took 20 times as
+    long (24 s against 1.2 s for 25 million bases).
+    """
+    if ambiguous not in ("strict", "alias"):
         raise SeqValueError("ambiguous must be 'strict' or 'alias'")
-    return table
 
+    @F.pandas_udf(StringType())
+    def run(codings: pd.Series) -> pd.Series:
+        return _residues(codings, ambiguous, to_stop)
 
-def translate_codons(coding: Column, ambiguous: str = "strict") -> Column:
-    """Residues of all whole codons. Each codon, marked off by a space, is replaced in one pass per codon kind, which beats a call per codon."""
-    whole = F.substr(coding, F.lit(1), (F.length(coding) - F.length(coding) % 3).cast("int"))
-    out = F.regexp_replace(whole, "(...)", "$1 ")
-    for codon, residue in _codon_table(ambiguous).items():
-        out = F.replace(out, F.lit(codon + " "), F.lit(residue.lower()))
-    return F.translate(F.regexp_replace(out, "[^ ]{3} ", "x"), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    return run.asNondeterministic()(coding)  # so that a filter on the protein does not translate twice
 
 
 def translate_orf(seq: Column, ambiguous: str = "strict") -> Column:
     """Protein from the first ATG up to the first stop, or to the last whole codon; null without an ATG."""
     coding = F.substr(seq, F.locate("ATG", seq), F.length(seq))
-    return F.when(F.locate("ATG", seq) > 0, F.substring_index(translate_codons(coding, ambiguous), "*", 1))
+    return translate_codons(F.when(F.locate("ATG", seq) > 0, coding), ambiguous, to_stop=True)
 
 
 def translate_strict(seq: Column, ambiguous: str = "strict") -> Column:

@@ -12,9 +12,7 @@ from ..functions.sequences import translate_codons
 def _frame_locked(s: Column) -> Column:
     """Place (from 1) of the first ATG that lies on a codon border; 0 without one."""
     marked = F.regexp_replace(s, "(...)", "$1 ")
-    place = F.locate("ATG ", F.concat(F.lit(" "), marked))  # a codon begins after a space
     inside = F.regexp_instr(F.concat(F.lit(" "), marked), F.lit("(?<= )ATG "))
-    del place
     return F.when(inside > 0, F.floor((inside - 2) / 4).cast("int") * 3 + 1).otherwise(F.lit(0))
 
 
@@ -31,7 +29,7 @@ def six_frames(seqs: DataFrame, *, seq_col: str = "seq", frame_locked: bool = Fa
     part = F.substr(F.col("__x.s"), F.col("__o") + 1, F.length("__x.s"))
     at = both.withColumn("__p", part)
     at = at.withColumn("__at", _frame_locked(F.col("__p")) if frame_locked else F.locate("ATG", F.col("__p"))).where("__at > 0")
-    protein = F.substring_index(translate_codons(F.substr(F.col("__p"), F.col("__at"), F.length("__p")), ambiguous), "*", 1)
+    protein = translate_codons(F.substr(F.col("__p"), F.col("__at"), F.length("__p")), ambiguous, to_stop=True)
     orf = F.col("__at") - 1 + F.col("__o")
     forward = F.when(F.col("__x.strand") == "+", orf).otherwise(F.length("__x.s") - 1 - orf)
     out = at.select(*seqs.columns, F.concat("__x.strand", (F.col("__o") + 1).cast("string")).alias("frame"), orf.cast("int").alias("orf"), forward.cast("int").alias("orf_forward"), protein.alias("protein"))
