@@ -88,12 +88,22 @@ def symbol_count(seq: Column, symbols: str) -> Column:
 
 
 def composition(seq: Column, protein: bool = False) -> Column:
-    """Map from each symbol that occurs to its count; unknown symbols are left out."""
-    known = (alphabet.AMINO_ACIDS + "*-") if protein else (alphabet.NUCLEOTIDES + "-")
+    """Map from each symbol of a canonical sequence that occurs to its count; N or X stands for the unknown ones."""
+    known = "".join(alphabet.PROTEIN_CODES if protein else alphabet.NUCLEOTIDE_CODES)
     pairs = F.array(*(F.struct(F.lit(c), symbol_count(seq, c).cast("long")) for c in known))
     return F.map_from_entries(F.filter(pairs, lambda p: p["col2"] > 0))
 
 
+def sequence_stats(seq: Column, protein: bool = False) -> Column:
+    """Struct of n_symbols, n_packed_bytes, compression_pct (saved against a byte a symbol) and composition."""
+    return F.struct(
+        F.length(seq).alias("n_symbols"),
+        packed_size(F.length(seq)).alias("n_packed_bytes"),
+        ((F.lit(1.0) - memory_ratio(seq)) * 100.0).alias("compression_pct"),
+        composition(seq, protein).alias("composition"),
+    )
+
+
 def quality_scores(qual: Column) -> Column:
     """Phred scores of a Phred+33 string, kept within 0 and 93."""
     return F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.least(F.greatest(F.ascii(c) - 33, F.lit(0)), F.lit(93)))
@@ -244,6 +254,14 @@ def codon_trace(seq: Column) -> Column:
     return F.when((F.locate("ATG", seq) > 0) & (n > 0), each)
 
 
+def protein_header(header: Column, orf: Column) -> Column:
+    return F.concat(F.lit("[PROT | ORF@"), orf.cast("string"), F.lit("] "), header)
+
+
+def reverse_header(header: Column) -> Column:
+    return F.concat(F.lit("[RC] "), header)
+
+
 # --- changes
 
 

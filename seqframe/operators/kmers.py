@@ -19,6 +19,11 @@ def explode_kmers(reads: DataFrame, k: int, seq_col: str = "seq", *keep: str) ->
     return reads.select(*keep, F.explode(windows(F.col(seq_col), k)).alias("kmer"))
 
 
+def explode_distinct(reads: DataFrame, k: int, seq_col: str = "seq", *keep: str) -> DataFrame:
+    """Each sequence's k-mers once: enough for sets of k-mers, and far fewer rows."""
+    return reads.select(*keep, F.explode(F.array_distinct(windows(F.col(seq_col), k))).alias("kmer"))
+
+
 def kmer_id(kmer: Column) -> Column:
     """Place of a k-mer in the dense spectrum: its letters as base-4 digits."""
     return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")

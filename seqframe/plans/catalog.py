@@ -199,6 +199,17 @@ def composition(spark, d):
     return view(spark, d, "genes").select("gene_id", F.explode(sq.composition(F.col("seq"))).alias("symbol", "n"))
 
 
+@query("select read_id, cast(length(seq) as int) as n_symbols, cast((length(seq) * 5 + 7) // 8 as int) as n_packed_bytes, (cast(1 as double) - ((length(seq) * 5 + 7) // 8) / length(seq)) * cast(100 as double) as compression_pct, cast(length(seq) - length(replace(seq, 'N', '')) as bigint) as unknown from {ragged} r")
+def sequence_stats(spark, d):
+    out = view(spark, d, "ragged").select("read_id", sq.sequence_stats(F.col("seq")).alias("s"))
+    return out.select("read_id", "s.n_symbols", "s.n_packed_bytes", "s.compression_pct", F.coalesce(F.try_element_at("s.composition", F.lit("N")), F.lit(0)).cast("long").alias("unknown"))
+
+
+@query("select pair_id, cast(instr(b, 'ATG') - 1 as int) as orf, kind, cast(length(b) as int) as n from {alleles} x where a <> b")
+def changed_alleles(spark, d):
+    return view(spark, d, "alleles").where("a <> b").select("pair_id", sq.find_orf(F.col("b")).alias("orf"), "kind", F.length("b").alias("n"))
+
+
 @query("select gene_id, len, gc, orf from (select gene_id, cast(length(seq) as int) as len, case when length(seq) = 0 then 0.0 else (length(seq) - length(translate(seq, 'GC', ''))) / length(seq) end as gc, cast(instr(seq, 'ATG') - 1 as int) as orf from {genes} g) x")
 def sql_functions(spark, d):
     sqlfunctions.register(spark)
@@ -237,17 +248,17 @@ def kmer_topk(spark, d):
 
 @query(f"select kmer from {_win('reads', 'read_id', 6)} w intersect select kmer from {_win('genes', 'gene_id', 6)} v")
 def kmer_intersect(spark, d):
-    return kmers.explode_kmers(view(spark, d, "reads"), 6).intersect(kmers.explode_kmers(view(spark, d, "genes"), 6))
+    return kmers.explode_distinct(view(spark, d, "reads"), 6).intersect(kmers.explode_distinct(view(spark, d, "genes"), 6))
 
 
 @query(f"select kmer from {_win('reads', 'read_id', 6)} w except select kmer from {_win('genes', 'gene_id', 6)} v")
 def kmer_except(spark, d):
-    return kmers.explode_kmers(view(spark, d, "reads"), 6).subtract(kmers.explode_kmers(view(spark, d, "genes"), 6))
+    return kmers.explode_distinct(view(spark, d, "reads"), 6).subtract(kmers.explode_distinct(view(spark, d, "genes"), 6))
 
 
 @query(f"select cast(count(distinct kmer) as bigint) as n from {_win('reads', 'read_id', 7)} w")
 def kmer_distinct(spark, d):
-    return kmers.explode_kmers(view(spark, d, "reads"), 7).agg(F.count_distinct("kmer").alias("n"))
+    return kmers.explode_distinct(view(spark, d, "reads"), 7).agg(F.count_distinct("kmer").alias("n"))
 
 
 @query(f"select kmer, {_kid(4)} as kmer_id, cast(count(*) as bigint) as n from (select * from {_win('reads', 'read_id', 4)} w union all select * from {_win('ragged', 'read_id', 4)} v) x group by kmer")

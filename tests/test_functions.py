@@ -84,7 +84,9 @@ def test_metrics(spark):
     assert one(spark, sq.mean_quality(F.col("q")), q="") == 0.0
     assert one(spark, sq.quality_scores(F.col("q")), q="!I\x7f") == [0, 40, 93]
     assert one(spark, sq.passes_quality(F.col("q"), 20), q="I5!") is True
-    assert one(spark, sq.composition(F.col("s")), s="AACN") == {"A": 2, "C": 1}
+    assert one(spark, sq.composition(F.col("s")), s="AACN") == {"A": 2, "C": 1, "N": 1}
+    stats = one(spark, sq.sequence_stats(F.col("s")), s="AACN")
+    assert (stats["n_symbols"], stats["n_packed_bytes"], stats["compression_pct"]) == (4, 3, 25.0)
 
 
 def test_every_codon(spark):
