@@ -1,22 +1,30 @@
-"""seqframe: a PySpark-native analytics engine for biological sequence data."""
+"""seqframe: a PySpark-native analytics engine for biological sequence data.
 
-from .errors import AlignmentError, EngineError, SeqError, SeqIOError, SeqTypeError, SeqValueError, TranslationError
-from .functions.alphabet import canonical, codes, detect_type, letters, reverse_complement
-from .functions.sequences import composition, find_orf, gc_content, mean_quality, quality_scores, sequence_stats, translate_orf
-from .operators.alignment import align, align_pairs, format_alignment
-from .operators.frames import six_frames
-from .operators.kmers import dense_spectrum, spectrum
-from .operators.mutations import explode_mutations, mutation_pipeline
-from .operators.quality_control import filter_reads, report
-from .sources.bgzf import compress_bytes, compress_file
-from .sources.fasta import parse_fasta, read_fasta, write_fasta
-from .sources.fastq import read_any, read_fastq, write_fastq
+The public names are loaded when they are first used, so that workers import only what a task needs.
+"""
+
+from importlib import import_module
 
 __version__ = "0.1.0"
-__all__ = [
-    "AlignmentError", "EngineError", "SeqError", "SeqIOError", "SeqTypeError", "SeqValueError", "TranslationError",
-    "align", "align_pairs", "canonical", "codes", "composition", "compress_bytes", "compress_file", "dense_spectrum", "detect_type",
-    "explode_mutations", "filter_reads", "find_orf", "format_alignment", "gc_content", "letters", "mean_quality", "mutation_pipeline",
-    "parse_fasta", "quality_scores", "read_any", "read_fasta", "read_fastq", "report", "reverse_complement", "sequence_stats",
-    "six_frames", "spectrum", "translate_orf", "write_fasta", "write_fastq",
-]
+
+_PLACES = {
+    "errors": "AlignmentError EngineError SeqError SeqIOError SeqTypeError SeqValueError TranslationError",
+    "functions.alphabet": "canonical codes detect_type letters reverse_complement",
+    "functions.sequences": "composition find_orf gc_content mean_quality quality_scores sequence_stats translate_orf",
+    "operators.alignment": "align align_pairs format_alignment",
+    "operators.frames": "six_frames",
+    "operators.kmers": "dense_spectrum spectrum",
+    "operators.mutations": "explode_mutations mutation_pipeline",
+    "operators.quality_control": "filter_reads report",
+    "sources.bgzf": "compress_bytes compress_file",
+    "sources.fasta": "parse_fasta read_fasta write_fasta",
+    "sources.fastq": "read_any read_fastq write_fastq",
+}
+_WHERE = {name: place for place, names in _PLACES.items() for name in names.split()}
+__all__ = sorted(_WHERE)
+
+
+def __getattr__(name: str):
+    if name in _WHERE:
+        return getattr(import_module(f"{__name__}.{_WHERE[name]}"), name)
+    raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
