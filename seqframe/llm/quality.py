@@ -138,7 +138,7 @@ def measure(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_co
     return rows.mapInArrow(each, METRICS)
 
 
-def judge(metrics: DataFrame, *, chars_reach: float = 2.2, entropy_reach: float = 1.4, joint_reach: float = 1.9, fallback_reach: float = 5.0, least_docs: int = 100) -> DataFrame:
+def judge(metrics: DataFrame, *, chars_reach: float = 1.6, entropy_reach: float = 1.0, joint_reach: float = 1.4, fallback_reach: float = 5.0, least_docs: int = 100) -> DataFrame:
     """Adds ``kept``. ``metrics`` should be stored: it is read twice.
 
     One row of percentiles per band, over all documents, is made and broadcast: at most as many rows
@@ -146,7 +146,7 @@ def judge(metrics: DataFrame, *, chars_reach: float = 2.2, entropy_reach: float
     95th percentile. Bands of fewer than ``least_docs`` documents have no spread to speak of; their
     documents are held against the outer limits alone.
     """
-    figures = {"chars_per_token": 0.15, "fallback_share": 0.02, "token_entropy": 0.025}  # with the least spread
+    figures = {"chars_per_token": 0.16, "fallback_share": 0.02, "token_entropy": 0.033}  # with the least spread, that of plain prose
     cuts = (F.percentile_approx(c, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), 1000).alias(f"b_{c}") for c in figures)
     bands = metrics.where(~F.col("base_failed")).groupBy(F.col("band").alias("b_band")).agg(F.count(F.lit(1)).alias("b_n"), *cuts)
     loose = F.sqrt(1 + 128 / F.greatest("n_tokens", F.lit(1)))
