@@ -35,8 +35,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/seqframe-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: later steps do not recompute it and lost executors cost nothing."""
+def materialize(df: DataFrame, path: str, shrink: int = 1) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: later steps do not recompute it and lost executors cost nothing.
+
+    shrink: narrow results of a shuffle go into so many times fewer files than there are shuffle partitions.
+    """
+    if shrink > 1:
+        df = df.coalesce(max(1, shuffle_partitions(df.sparkSession) // shrink))
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

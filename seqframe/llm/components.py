@@ -22,8 +22,8 @@ def connected_components(links: DataFrame, start: DataFrame | None = None) -> Da
             named = known.select(F.col("id").alias(end), F.col("label").alias(f"__{end}"))
             links = links.join(named, end, "left").withColumn(end, F.coalesce(f"__{end}", end)).drop(f"__{end}")
     both = links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, f"{base}/links")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")), f"{base}/0")
+    both = materialize(both, f"{base}/links", 16)
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")), f"{base}/0", 16)
     round_no = 0
     while True:
         round_no += 1
@@ -31,7 +31,7 @@ def connected_components(links: DataFrame, start: DataFrame | None = None) -> Da
         lower = labels.join(near, "id").select("id", "label", F.least("label", "l").alias("to"))
         jump = labels.select(F.col("id").alias("to"), F.col("label").alias("far"))
         moved = lower.join(jump, "to", "left").select("id", F.least("to", F.coalesce("far", "to")).alias("label"), (F.least("to", F.coalesce("far", "to")) != F.col("label")).alias("changed"))
-        moved = materialize(moved, f"{base}/{round_no}")
+        moved = materialize(moved, f"{base}/{round_no}", 16)
         labels, done = moved.select("id", "label"), moved.where("changed").isEmpty()
         if round_no > 1:
             remove(spark, f"{base}/{round_no - 1}")
@@ -41,4 +41,4 @@ def connected_components(links: DataFrame, start: DataFrame | None = None) -> Da
         return labels
     named = labels.select(F.col("id").alias("label"), F.col("label").alias("__top"))
     old = start.join(named, "label", "left").select("id", F.coalesce("__top", "label").alias("label"))
-    return materialize(old.unionByName(labels.join(start, "id", "left_anti")), f"{base}/all")
+    return materialize(old.unionByName(labels.join(start, "id", "left_anti")), f"{base}/all", 16)

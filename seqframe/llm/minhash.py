@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, in
 
     # classes of equal sets; their first document stands for them
     reps = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(reps, f"{base}/classes")
+    classes = materialize(reps, f"{base}/classes", 8)
     first = signed.where("bands is not null").select("cls", "n", "bands").dropDuplicates(["cls"])  # bands depend on the set alone
     first = materialize(first, f"{base}/first")
     spread = first.select("cls", "n", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
@@ -253,13 +253,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, in
         return whole.select("key", *sums, F.explode("salts").alias("salt"))
 
     buckets = per_bucket(spread, size=(F.count, "cls")).where("size > 1")
-    members = materialize(spread.join(buckets, ["key", "salt"]), f"{base}/members")
+    members = materialize(spread.join(buckets, ["key", "salt"]), f"{base}/members", 8)
     central = members.groupBy("cls").agg(F.sum("size").alias("degree"))
-    members = materialize(members.join(central, "cls"), f"{base}/central")
+    members = materialize(members.join(central, "cls"), f"{base}/central", 8)
     hubs = per_bucket(members, hub=(F.max, F.struct("degree", "cls", "n")))
     like = den * F.least("n", "hub.n") >= num * F.greatest("n", "hub.n")
     stars = members.join(hubs, ["key", "salt"]).where((F.col("cls") != F.col("hub.cls")) & like)
-    stars = materialize(stars.groupBy(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).agg(F.max("size").alias("size")), f"{base}/stars")
+    stars = materialize(stars.groupBy(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).agg(F.max("size").alias("size")), f"{base}/stars", 8)
     involved = members.select("cls").distinct().join(classes, "cls")
     sets = materialize(_sets_of(texts, involved, width).dropDuplicates(["cls"]), f"{base}/sets")
     links = materialize(_verified(stars, sets, threshold), f"{base}/links")
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, in
 
     # buckets that still hold several components
     named = members.select("key", "salt", "cls", "n", "size").join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    named = materialize(named, f"{base}/named")
+    named = materialize(named, f"{base}/named", 8)
     open_ = per_bucket(named, lo=(F.min, "label"), hi=(F.max, "label")).where("lo <> hi").select("key", "salt")
     rest = named.join(open_, ["key", "salt"]).join(first.select("cls", "bands"), "cls").join(sets, "cls")
     more = materialize(_block_links(rest, threshold), f"{base}/more")
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, in
 
     smallest = classes.join(labels, classes["cls"] == labels["id"], "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     tops = smallest.groupBy("label").agg(F.min("rep").alias("component"))
-    found = materialize(smallest.join(tops, "label").select("cls", "component"), f"{base}/found")
+    found = materialize(smallest.join(tops, "label").select("cls", "component"), f"{base}/found", 8)
     for part in ("members", "central", "first", "stars", "sets", "links", "named", "more", "classes"):
         remove(spark, f"{base}/{part}")
     out = signed.select("doc_id", "n", "cls").join(found, "cls", "left")
