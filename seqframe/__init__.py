@@ -15,7 +15,7 @@ _PLACES = {
     "operators.frames": "six_frames",
     "operators.kmers": "dense_spectrum spectrum",
     "operators.mutations": "explode_mutations mutation_pipeline",
-    "operators.quality_control": "filter_reads report",
+    "operators.quality_control": "filter_reads scalars",
     "sources.bgzf": "compress_bytes compress_file",
     "sources.fasta": "parse_fasta read_fasta write_fasta",
     "sources.fastq": "read_any read_fastq write_fastq",

@@ -82,6 +82,9 @@ def test_metrics(spark):
     assert one(spark, sq.gc_content(F.col("s")), s="") == 0.0
     assert one(spark, sq.mean_quality(F.col("q")), q="I5!") == 20.0
     assert one(spark, sq.mean_quality(F.col("q")), q="") == 0.0
+    assert one(spark, sq.mean_quality(F.col("q")), q=None) is None
+    many = spark.createDataFrame([("I" * i + "€" * (i % 2),) for i in range(50)], "q string")
+    assert many.where(sq.quality_sum("q") != F.aggregate(sq.quality_scores(F.col("q")), F.lit(0).cast("long"), lambda t, x: t + x)).isEmpty()
     assert one(spark, sq.quality_scores(F.col("q")), q="!I\x7f") == [0, 40, 93]
     assert one(spark, sq.passes_quality(F.col("q"), 20), q="I5!") is True
     assert one(spark, sq.composition(F.col("s")), s="AACN") == {"A": 2, "C": 1, "N": 1}
