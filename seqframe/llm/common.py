@@ -5,6 +5,7 @@ Nothing here keeps data on the driver; work tables go to the folder that all exe
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,17 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone`` (one column; nulls match null ids).
+
+    The ids are stored first: so Spark knows their size before it plans the join, and broadcasts them below
+    its threshold instead of moving all texts; above it, both sides are shuffled.
+    """
+    ids = gone.toDF("__gone").select(F.col("__gone").cast("long").alias("__gone")).distinct()
+    ids = materialize(ids, work_path(docs.sparkSession, "gone"), 16)
+    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -119,6 +131,27 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         start = stop
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
+
+
+def lean(run):
+    """An Arrow function that releases memory when its partition is done."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 # --- words ----------------------------------------------------------------------------------
 
 #: The bytes that part words, 0x20 and 0x09 to 0x0D.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, pick
+from .common import blocks, lean, pick, without
 
 _GAPS = re.compile(r"[\W_]+")
 
@@ -175,12 +175,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.1, leas
     for b in range(n):
         block = tests.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b) if n > 1 else tests
         items = spark.sparkContext.broadcast((uuid.uuid4().int, [(r["item_id"], r["text"]) for r in block.collect()]))  # block_bytes in the mean
-        part = rows.mapInArrow(search(items), "doc_id long, item_id long, distance int, budget int")
+        part = rows.mapInArrow(lean(search(items)), "doc_id long, item_id long, distance int, budget int")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents in which no item was found, with all their columns."""
-    found = find_items(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("__found")), "left_anti")
+    return without(docs, id_col, find_items(docs, benchmark, id_col=id_col, **options).select("doc_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import json
 import os
 import re
 
@@ -56,7 +57,9 @@ def _ranks(name: str):
 
 @functools.lru_cache(maxsize=4)
 def _specials(name: str) -> tuple[str, ...]:
-    return tuple(x.content for x in library_tokenizer(name).get_added_tokens_decoder().values())
+    """The added tokens' strings, from the file alone: most workers never load the library's tokenizer."""
+    with open(tokenizer_path(name), "rb") as f:
+        return tuple(x["content"] for x in json.load(f).get("added_tokens", ()))
 
 
 def encode(name: str, texts: list[str]) -> list[list[int]]:

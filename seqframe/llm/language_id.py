@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, pick, text_views
+from .common import blocks, lean, pick, text_views
 
 #: Documented bound of the training sample, per language (to within the chance of hashing).
 TRAIN_DOCS = 3000
@@ -89,7 +89,7 @@ def count_trigrams(sample: DataFrame) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    return sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return sample.mapInArrow(lean(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -161,4 +161,4 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 cols = list(zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return rows.select("doc_id", "held_out", "text").mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")

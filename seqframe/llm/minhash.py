@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, blocks, materialize, mix, pick, remove, shingle_hashes, text_views, word_table, work_path
+from .common import LOWER, U64, blocks, lean, materialize, mix, pick, remove, shingle_hashes, text_views, without, word_table, work_path
 from .components import connected_components
 
 #: Places of the circle; a power of two.
@@ -101,7 +101,7 @@ def sign(docs: DataFrame, width: int, threshold: tuple[int, int], bands: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, "text", 2 << 20):
+            for block in blocks(batch, "text", 1 << 20):
                 sizes, classes, keys = [], [], []
                 for s in shingle_sets(*text_views(block.column(1)), width):
                     n = len(s)
@@ -111,20 +111,20 @@ def sign(docs: DataFrame, width: int, threshold: tuple[int, int], bands: int) ->
                     keys.append(band_keys(signature(s << U64(16), bands * ROWS_PER_BAND), bands).tolist() if n and reach >= 0 else None)
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, cls long, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(cls, shingles) of the classes in ``wanted`` (cls, rep): their texts are fetched by id and cut anew."""
-    chosen = docs.join(wanted.select("rep").distinct().hint("shuffle_hash"), docs["doc_id"] == F.col("rep"), "left_semi")
+    chosen = docs.join(wanted.select("rep").distinct().hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, "text", 2 << 20):
+            for block in blocks(batch, "text", 1 << 20):
                 sets = [s for s in shingle_sets(*text_views(block.column(0)), width) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([_packed(s) for s in sets], pa.binary())], names=["cls", "shingles"])
 
-    return chosen.select("text").mapInArrow(run, "cls long, shingles binary")
+    return chosen.select("text").mapInArrow(lean(run), "cls long, shingles binary")
 
 
 def _reaches(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int]) -> bool:
@@ -160,7 +160,7 @@ def _verified(edges: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
                     out.append((a, b))
             yield _pairs(out)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def _block_links(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -217,7 +217,7 @@ def _block_links(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         if held:
             yield _pairs(compare(*at, held))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -285,6 +285,6 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, in
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that stay, with all their columns: one of each component, and all that link with nothing."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    """The documents that stay, with all their columns: one of each component, all that link with nothing, and those of null id."""
+    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept and doc_id is not null")
+    return without(docs, id_col, gone.select("doc_id"))

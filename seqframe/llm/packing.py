@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encoders
-from .common import blocks, dense_numbers, materialize, pick, work_path
+from .common import blocks, dense_numbers, lean, materialize, pick, work_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int"
 
@@ -45,7 +45,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, *, most: int = 1024, end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, "text", 2 << 20):
+            for block in blocks(batch, "text", 1 << 20):
                 out: list[list] = [[], [], [], [], [], []]
                 pieces_ids = []
                 for doc, ids in zip(block.column(0).to_pylist(), encoders.encode(tokenizer, block.column(1).to_pylist()), strict=True):
@@ -62,7 +62,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, *, most: int = 1024, end_id:
                     arrays.append(pa.array(pieces_ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket"] + ["ids"] * with_ids)
 
-    return rows.mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(lean(cut), PIECES + ", ids array<int>" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, *, most: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, chunks: int = 1024) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encoders
-from .common import SEPARATORS, blocks, materialize, pick, shingle_hashes, text_views, word_table, work_path
+from .common import SEPARATORS, blocks, lean, materialize, pick, shingle_hashes, text_views, word_table, work_path
 
 METRICS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, band string, n_tokens long, chars_per_token double, fallback_share double, token_entropy double"
 
@@ -121,7 +121,7 @@ def measure(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_co
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, "text", 2 << 20):
+            for block in blocks(batch, "text", 1 << 20):
                 base = base_counts(*text_views(block.column(1)))
                 failed = [b[0] < min_words or 100 * b[4] > repeat_share * b[0] for b in base]
                 texts, langs = block.column(1).to_pylist(), block.column(2).to_pylist()
@@ -135,7 +135,7 @@ def measure(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_co
                 names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "band", "n_tokens", "chars_per_token", "fallback_share", "token_entropy"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return rows.mapInArrow(each, METRICS)
+    return rows.mapInArrow(lean(each), METRICS)
 
 
 def judge(metrics: DataFrame, *, chars_reach: float = 1.6, entropy_reach: float = 1.0, joint_reach: float = 1.4, fallback_reach: float = 5.0, least_docs: int = 100) -> DataFrame:

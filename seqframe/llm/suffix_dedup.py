@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, U64, blocks, input_bytes, materialize, mix, remove, shuffle_partitions, work_path
+from .common import BYTE_KEYS, U64, blocks, input_bytes, lean, materialize, mix, release, remove, shuffle_partitions, work_path
 from .induced import suffixes_down
 
 ANCHOR = 24
@@ -171,7 +171,7 @@ def removed_spans(docs: DataFrame, apply, out_schema, *, length: int = 100, id_c
     texts = flat.select(at[0].cast("long").alias("doc_id"), at[1].alias("text"), *more)
     joins = shuffle_partitions(spark)
     name = f"parts_{uuid.uuid4().hex}"
-    texts.mapInArrow(_pack, "part long, docs binary").write.format("parquet").bucketBy(joins, "part").option("path", f"{base}/parts").option("compression", "none").saveAsTable(name)
+    texts.mapInArrow(lean(_pack), "part long, docs binary").write.format("parquet").bucketBy(joins, "part").option("path", f"{base}/parts").option("compression", "none").saveAsTable(name)
     parts = spark.table(name)
     shards = max(3 * joins, input_bytes(parts) // (2 << 20))  # the parts are files of known size
 
@@ -205,7 +205,7 @@ def removed_spans(docs: DataFrame, apply, out_schema, *, length: int = 100, id_c
         own = table.column("part").to_numpy()[ids] if len(ids) else np.zeros(0, np.int64)
         return pa.table({"part": pa.array(own, pa.int64()), "hashes": pa.array(blobs, pa.binary())})
 
-    repeated = parts.mapInArrow(anchors, "bucket int, part long, hashes binary").groupBy("bucket").applyInArrow(shared, "part long, hashes binary")
+    repeated = parts.mapInArrow(lean(anchors), "bucket int, part long, hashes binary").groupBy("bucket").applyInArrow(shared, "part long, hashes binary")
     gathered = repeated.groupBy("part").agg(F.collect_list("hashes").alias("hashes"))
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,10 +213,13 @@ def removed_spans(docs: DataFrame, apply, out_schema, *, length: int = 100, id_c
             for part, raw, blobs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 yield from _sent(part, _load(raw.as_py()), np.sort(np.frombuffer(b"".join(blobs or []), "<u8")), length, shards)
 
-    sent = parts.join(gathered, "part", "left").select("part", "docs", "hashes").mapInArrow(fragments, "bucket int, part long, own boolean, rows binary")
+    sent = parts.join(gathered, "part", "left").select("part", "docs", "hashes").mapInArrow(lean(fragments), "bucket int, part long, own boolean, rows binary")
 
     def sort_shard(table: pa.Table) -> pa.Table:
-        return _marked(table, length)
+        try:
+            return _marked(table, length)
+        finally:
+            release()
 
     marked = sent.groupBy("bucket").applyInArrow(sort_shard, "part long, spans binary")
     back = materialize(marked.groupBy("part").agg(F.collect_list("spans").alias("spans")), f"{base}/spans")
@@ -228,7 +231,7 @@ def removed_spans(docs: DataFrame, apply, out_schema, *, length: int = 100, id_c
                 spans = pa.concat_tables([_load(x) for x in blobs or []] or [_SPANS.empty_table()])
                 yield apply(table, table.column("text").to_pylist(), _union(spans))
 
-    done = materialize(parts.join(back, "part", "left").select("docs", "spans").mapInArrow(cut, out_schema), f"{base}/done")
+    done = materialize(parts.join(back, "part", "left").select("docs", "spans").mapInArrow(lean(cut), out_schema), f"{base}/done")
     spark.sql(f"DROP TABLE {name}")
     remove(spark, f"{base}/parts", f"{base}/spans")
     return done

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import encoders
-from .common import blocks, pick, work_path
+from .common import blocks, lean, pick, work_path
 
 _CACHE = T.StructType([T.StructField("version", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
@@ -73,7 +73,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, l
                     names=["version", "digest", "n_tokens"],
                 )
 
-    misses.select("text").mapInArrow(encode, _CACHE).write.mode("append").parquet(cache)
+    misses.select("text").mapInArrow(lean(encode), _CACHE).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     # the join back is salted: a digest of several documents is repeated for each salt, one of a single document is not
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))

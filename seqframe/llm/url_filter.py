@@ -27,7 +27,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, pick
+from .common import blocks, lean, pick
 
 VOCABULARY = 50_000
 BUCKETS = 1 << 14
@@ -79,7 +79,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(words: DataFrame, most: int) -> DataFrame:
@@ -167,7 +167,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str =
         block, at = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(block == 1, pa.bool_()), pa.array(at, pa.int32()), pa.array(sums[block, at], pa.int64())], names=["block", "bucket", "n"])
 
-    learned = rows.where("said is not null").select("host", "path", "said").mapInArrow(count, "block boolean, bucket int, n long")
+    learned = rows.where("said is not null").select("host", "path", "said").mapInArrow(lean(count), "block boolean, bucket int, n long")
     sums = np.zeros((2, BUCKETS + 1))
     for r in learned.groupBy("block", "bucket").agg(F.sum("n").alias("n")).collect():  # at most 2 x BUCKETS rows
         sums[int(r["block"]), r["bucket"]] = r["n"]
@@ -192,4 +192,4 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str =
                 verdicts = [v or ("block" if s > least_odds else "allow") for v, s in zip(verdict.to_pylist(), score, strict=True)]
                 yield pa.RecordBatch.from_arrays([page, host, path, rule, pa.array(verdicts, pa.string()), pa.array(split, pa.list_(pa.string())), pa.array(score, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "host_words", "block_odds"])
 
-    return rows.select("page_id", "host", "path", "rule", "said").mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, host_words array<string>, block_odds double")
+    return rows.select("page_id", "host", "path", "rule", "said").mapInArrow(lean(judge), "page_id long, host string, path string, rule string, verdict string, host_words array<string>, block_odds double")

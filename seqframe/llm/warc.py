@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, pick
+from .common import blocks, lean, materialize, pick
 
 #: Payload bytes after which a task begins a new file; a single larger record has a file of its own.
 ROLL_BYTES = 16 << 20
@@ -112,7 +112,7 @@ def write_archive(pages: DataFrame, folder: str, *, min_bytes: int = 0, id_col:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["name", "records"])
 
-    written = full.mapInArrow(write, "name string, records long")
+    written = full.mapInArrow(lean(write), "name string, records long")
     written.write.mode("overwrite").parquet(f"{folder}/_files")  # one run of the writers, its list kept beside the files
     return pages.sparkSession.read.parquet(f"{folder}/_files")
 
@@ -163,7 +163,7 @@ def read_archive(spark: SparkSession, folder: str, *, with_bytes: bool = True) -
                 if rows:
                     yield _batch(rows)
 
-    return files.mapInArrow(parse, RECORDS)
+    return files.mapInArrow(lean(parse), RECORDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
