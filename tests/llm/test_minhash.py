@@ -90,6 +90,12 @@ def test_odd_rows(make, odd):
     assert kept.columns == make(odd).columns and {r["doc_id"] for r in kept.collect()} == {1, None, 3, 4, 5, 6, 7, 8, 9}
 
 
+def test_near_duplicates_without_ids(make):
+    rows = families(2, 1, 12, (0, 1))
+    got = mh.near_duplicates(make([(None, t) for _, t in rows])).collect()
+    assert len(got) == 12 and all(r["component_id"] is None and r["kept"] for r in got)
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(3)
     for share in (0.3, 0.6, 0.9):
