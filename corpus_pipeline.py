@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.llm import decontaminate, minhash, packing, quality, suffix_dedup
-from seqframe.llm.common import materialize, work_path
+from seqframe.llm.common import materialize, without, work_path
 
 #: Some stages have no SQL form; tests/llm compares each stage and the whole with brute force.
 ORACLE_SQL = None
@@ -14,8 +14,7 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the fertility bands reject go."""
-    bad = quality.quality(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    return without(docs, "doc_id", quality.quality(docs).where(~F.col("kept")).select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
