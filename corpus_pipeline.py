@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.llm import decontaminate, minhash, packing, quality, suffix_dedup
-from seqframe.llm.common import materialize, without, work_path
+from seqframe.llm.common import ROW, keyed, materialize, without, work_path
 
 #: Some stages have no SQL form; tests/llm compares each stage and the whole with brute force.
 ORACLE_SQL = None
@@ -14,7 +14,8 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the fertility bands reject go."""
-    return without(docs, "doc_id", quality.quality(docs).where(~F.col("kept")).select("doc_id"))
+    rows = keyed(docs)
+    return without(rows, ROW, quality.quality(rows, id_col=ROW).where(~F.col("kept")).select("doc_id")).drop(ROW)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, up to its error budget, go."""
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.drop_contaminated(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW).drop(ROW)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

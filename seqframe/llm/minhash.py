@@ -15,8 +15,8 @@ looked at only in the first bucket that it shares. Thus every candidate pair end
 component, and rows grow with bucket size times blocks. Components are found by joins.
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing;
-fewer words than a shingle has make one shingle; rows of one doc_id are one document; repeated rows
-get equal results; an empty table gives an empty result; extra columns are ignored.
+fewer words than a shingle has make one shingle; rows of one doc_id are one document, except in
+``deduplicate``, which drops single rows; repeated rows get equal results; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, blocks, lean, materialize, mix, pick, remove, shingle_hashes, text_views, without, word_table, work_path
+from .common import LOWER, ROW, U64, blocks, keyed, lean, materialize, mix, pick, remove, shingle_hashes, text_views, without, word_table, work_path
 from .components import connected_components
 
 #: Places of the circle; a power of two.
@@ -285,6 +285,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, in
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that stay, with all their columns: one of each component, all that link with nothing, and those of null id."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept and doc_id is not null")
-    return without(docs, id_col, gone.select("doc_id"))
+    """The rows that stay, with all their columns: of each component the one of smallest id (null ids come last), and all that link with nothing.
+
+    Rows are told apart by a key of their own, so rows of one id, or of none, are documents of their own here.
+    """
+    rows = keyed(docs)
+    ids = pick(rows, row=ROW, id=id_col).select("row", F.col("id").cast("long").alias("id"))
+    found = near_duplicates(rows, id_col=ROW, **options).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    several = found.where("row <> component").select("component").distinct()
+    linked = found.join(several, "component").join(ids, "row")
+    linked = materialize(linked, work_path(docs.sparkSession, "linked"), 8)
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("first"))
+    gone = linked.join(first, "component").where("row <> first")
+    return without(rows, ROW, gone.select("row")).drop(ROW)

@@ -46,6 +46,26 @@ def test_planted_cases(spark, make):
     assert set(after[2]) - set(after[3]) == {300}
 
 
+def test_rows_without_or_of_one_id_stand_on_their_own(spark, make):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    a, b, c, d = (prose(100) for _ in range(4))
+    leak = prose(60) + " " + item + " " + prose(60)
+    texts = lambda df: sorted((r["doc_id"] or -1, r["text"]) for r in df.collect())
+    plain = [(100 + i, prose(100)) for i in range(20)]
+    rows = [(None, a), (None, b), (7, c), (7, d), *plain]
+    clean = sorted((i or -1, t) for i, t in rows)
+    assert texts(cp.quality_rules(spark, make([*rows, (None, "too short"), (7, "short too")], clashes=False), SF)) == clean
+    assert texts(cp.decontamination(spark, make([*rows, (None, leak), (7, leak)], clashes=False), SF)) == clean
+    near = a.split()
+    near = " ".join([*near[:50], "edited", *near[51:]])
+    assert texts(cp.near_duplicates(spark, make([*rows, (None, b), (7, c), (8, d)], clashes=False), SF)) == clean
+    left = texts(cp.near_duplicates(spark, make([*rows, (None, near)], clashes=False), SF))
+    assert len(left) == len(clean) and set(left) < {*clean, (-1, near)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run_over_whole_tables(spark, name):
     table = "pages" if name.startswith(("op5", "op10")) else "documents"
