@@ -10,8 +10,11 @@ almost all chance hits end after a few characters, and none that counts is lost.
 The items travel to the tasks in blocks of bounded size (``block_bytes``), one pass over the texts
 for each block, so what is broadcast does not grow with the table.
 
-Edge cases: null and empty texts match nothing; an item of fewer than ``least_chars`` folded
-characters is no evidence and matches nothing; repeated rows and repeated items each give their own
+An item of fewer than ``least_chars`` folded characters has no budget: it goes whole into the same
+automaton and counts where it stands unchanged between word borders. In scripts written without spaces
+every place between two characters is a border.
+
+Edge cases: null and empty texts match nothing, nor do items without a letter or digit; repeated rows and repeated items each give their own
 result rows; ties of distance go to the first occurrence; empty tables give an empty result; extra
 columns are ignored; long texts are searched whole.
 """
@@ -32,6 +35,18 @@ from .common import blocks, lean, pick, without
 _GAPS = re.compile(r"[\W_]+")
 
 
+#: Thai, Lao, Burmese, Khmer, kana and Han letters; these scripts put no spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def on_border(folded: str, at: int) -> bool:
+    """Whether a word may begin or end before place ``at`` of a folded text."""
+    if at == 0 or at == len(folded):
+        return True
+    pair = folded[at - 1 : at + 1]
+    return " " in pair or _UNSPACED.search(pair) is not None
+
+
 def fold(text: str) -> str:
     return _GAPS.sub(" ", text.lower()).strip()
 
@@ -93,12 +108,16 @@ class Matcher:
         import ahocorasick
 
         self.items: list[tuple[int | None, int]] = []
+        self.short: set[int] = set()
         at: dict[str, list[Part]] = defaultdict(list)
         for item_id, text in items:
             folded = fold(text)
-            if len(folded) < least_chars:
+            if not folded:
                 continue
-            budget = int(len(folded) * rate)
+            short = len(folded) < least_chars
+            budget = 0 if short else int(len(folded) * rate)
+            if short:
+                self.short.add(len(self.items))
             for part in pieces(len(self.items), folded, budget):
                 at[part.text].append(part)
             self.items.append((item_id, budget))
@@ -117,6 +136,10 @@ class Matcher:
         seen: dict[int, list[tuple[int, int]]] = defaultdict(list)  # spans of items that were verified whole
         for last, (size, parts) in self.machine.iter(folded):
             for part in parts:
+                if part.item in self.short:
+                    if part.item not in best and on_border(folded, last + 1 - size) and on_border(folded, last + 1):
+                        best[part.item] = (0, last + 1)
+                    continue
                 begin = last + 1 - size - part.start  # where the item would begin without edits
                 if any(lo <= begin <= hi for lo, hi in seen[part.item]):
                     continue

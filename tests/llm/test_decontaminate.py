@@ -54,6 +54,15 @@ def test_no_occurrence_is_lost(rate):
         assert got.get(i, 0) <= len(item)
 
 
+def test_short_items_match_whole_and_on_word_borders():
+    matcher = dc.Matcher([(1, "What is pi?"), (2, "pi"), (3, "法国的首都是哪里？"), (4, " -- "), (5, "수도는 어디"), (6, "long enough to have a budget")], 0.1, 12)
+    found = lambda text: sorted(x[:3] for x in matcher.find(text))
+    assert found("so WHAT  is, pi") == [(1, 0, 13), (2, 0, 13)] and found("what is pie") == [] and found("spin") == [] and found("Whatis pi") == [(2, 0, 9)]
+    assert found("问题法国的首都是哪里呢") == [(3, 0, 10)] and found("法国的首都是那里") == []
+    assert found("한국의 수도는 어디?") == [(5, 0, 10)] and found("수도는 어디에") == []
+    assert [x[0] for x in matcher.find("long enough to hve a budget")] == [6]
+
+
 def test_pieces_cover_the_item():
     for n in (5, 12, 100):
         for budget in range(0, n, 3):
