@@ -8,9 +8,14 @@ A band is the median of all documents of the language that pass the base rules,
 multiple of the spread between their 5th and 95th percentile; it widens for texts of few tokens,
 whose figures scatter. Prose lies well inside; tables, decorated or encoded text do not.
 
+A band of few documents is drawn towards the pool of its main script (of all documents, where it has no
+letters): the pool counts as ``prior_docs`` documents. The spread is that of both together, with the
+distance of their medians in it, so that a small language unlike the rest of its script still fits. So
+every document meets a band, and its verdict does not jump with the number of its neighbours. Where a
+script has one language only, the pool is that language itself.
+
 Edge cases: a null text has no words; it and an empty text fail the base rules; their fertility
-figures are null; repeated rows get equal results; a band with few documents falls back to the outer
-limits; an empty table gives an empty result; extra columns are ignored.
+figures are null; repeated rows get equal results; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 from . import encoders
 from .common import SEPARATORS, blocks, lean, materialize, pick, shingle_hashes, text_views, word_table, work_path
 
-METRICS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, band string, n_tokens long, chars_per_token double, fallback_share double, token_entropy double"
+METRICS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, band string, script string, n_tokens long, chars_per_token double, fallback_share double, token_entropy double"
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -129,37 +134,50 @@ def measure(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_co
                 figures: list = [None] * len(texts)
                 for i, x in zip(good, fertility(vocabulary, [texts[i] for i in good]), strict=True):
                     figures[i] = x
-                bands = [None if f else lang or f"script {main_script(t)}" for f, t, lang in zip(failed, texts, langs, strict=True)]
-                arrays = [block.column(0), *(pa.array([b[k] for b in base], pa.int64()) for k in range(5)), pa.array(failed, pa.bool_()), pa.array(bands, pa.string())]
+                scripts = [None if f else main_script(t) for f, t in zip(failed, texts, strict=True)]
+                bands = [None if f else lang or f"script {x}" for f, x, lang in zip(failed, scripts, langs, strict=True)]
+                arrays = [block.column(0), *(pa.array([b[k] for b in base], pa.int64()) for k in range(5)), pa.array(failed, pa.bool_()), pa.array(bands, pa.string()), pa.array(scripts, pa.string())]
                 arrays += [pa.array([x and x[k] for x in figures], pa.float64() if k else pa.int64()) for k in range(4)]
-                names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "band", "n_tokens", "chars_per_token", "fallback_share", "token_entropy"]
+                names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "band", "script", "n_tokens", "chars_per_token", "fallback_share", "token_entropy"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return rows.mapInArrow(lean(each), METRICS)
 
 
-def judge(metrics: DataFrame, *, chars_reach: float = 1.6, entropy_reach: float = 1.0, joint_reach: float = 1.4, fallback_reach: float = 5.0, least_docs: int = 100) -> DataFrame:
-    """Adds ``kept``. ``metrics`` should be stored: it is read twice.
+def judge(metrics: DataFrame, *, chars_reach: float = 1.6, entropy_reach: float = 1.0, joint_reach: float = 1.4, fallback_reach: float = 5.0, prior_docs: int = 10) -> DataFrame:
+    """Adds ``kept``. ``metrics`` should be stored: it is read four times.
 
-    One row of percentiles per band, over all documents, is made and broadcast: at most as many rows
-    as there are languages and scripts. A ``reach`` is in units of the spread between the 5th and
-    95th percentile. Bands of fewer than ``least_docs`` documents have no spread to speak of; their
-    documents are held against the outer limits alone.
+    One row of percentiles per band, per script and over all documents is made; the bands are broadcast, at
+    most as many rows as there are languages and scripts. A ``reach`` is in units of the spread between the
+    5th and 95th percentile.
     """
     figures = {"chars_per_token": 0.16, "fallback_share": 0.02, "token_entropy": 0.033}  # with the least spread, that of plain prose
-    cuts = (F.percentile_approx(c, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), 1000).alias(f"b_{c}") for c in figures)
-    bands = metrics.where(~F.col("base_failed")).groupBy(F.col("band").alias("b_band")).agg(F.count(F.lit(1)).alias("b_n"), *cuts)
+    good = metrics.where(~F.col("base_failed"))
+
+    def cuts(prefix: str) -> list[F.Column]:
+        return [F.percentile_approx(c, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), 1000).alias(f"{prefix}_{c}") for c in figures]
+
+    bands = good.groupBy(F.col("band").alias("b_band")).agg(F.count(F.lit(1)).alias("b_n"), F.mode("script", True).alias("b_script"), *cuts("b"))
+    scripts = good.where("script <> 'none'").groupBy(F.col("script").alias("s_script")).agg(*cuts("s"))
+    bands = bands.join(F.broadcast(scripts), F.col("b_script") == F.col("s_script"), "left").crossJoin(F.broadcast(good.agg(*cuts("a"))))
+    own = F.col("b_n") / (F.col("b_n") + prior_docs)
+    for c, least in figures.items():
+        pool = F.coalesce(f"s_{c}", f"a_{c}")
+        mid, pool_mid = F.col(f"b_{c}")[1], pool[1]
+        wide, pool_wide = (F.greatest(x[2] - x[0], F.lit(least)) for x in (F.col(f"b_{c}"), pool))
+        both = F.sqrt(own * wide * wide + (1 - own) * pool_wide * pool_wide + own * (1 - own) * (mid - pool_mid) * (mid - pool_mid))
+        bands = bands.withColumn(f"mid_{c}", own * mid + (1 - own) * pool_mid).withColumn(f"wide_{c}", both)
+    bands = bands.select("b_band", *(f"{x}_{c}" for c in figures for x in ("mid", "wide")))
     loose = F.sqrt(1 + 128 / F.greatest("n_tokens", F.lit(1)))
 
     def off(figure: str) -> F.Column:
-        low, mid, high = (F.col(f"b_{figure}")[i] for i in range(3))
-        return (F.col(figure) - mid) / F.greatest(high - low, F.lit(figures[figure])) / loose
+        return (F.col(figure) - F.col(f"mid_{figure}")) / F.col(f"wide_{figure}") / loose
 
     chars, entropy = off("chars_per_token"), off("token_entropy")
     fits = (F.abs(chars) <= chars_reach) & (entropy >= -entropy_reach) & (chars + entropy >= -joint_reach) & (off("fallback_share") <= fallback_reach)
     outer = F.col("chars_per_token").between(0.6, 12.0) & (F.col("fallback_share") <= 0.6) & (F.col("token_entropy") >= 0.5)
     joined = metrics.join(F.broadcast(bands), F.col("band") == F.col("b_band"), "left")
-    return joined.select(*metrics.columns, F.coalesce(~F.col("base_failed") & ((F.col("b_n") < least_docs) | fits) & outer, F.lit(False)).alias("kept"))
+    return joined.select(*(c for c in metrics.columns if c != "script"), F.coalesce(~F.col("base_failed") & fits & outer, F.lit(False)).alias("kept"))
 
 
 def quality(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", **options) -> DataFrame:

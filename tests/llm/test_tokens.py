@@ -105,6 +105,22 @@ def test_bands_reject_decorated_text_and_keep_prose(make):
     assert not kept & {i for i, _ in noise} and len(kept & {i for i, _ in prose}) >= 398
 
 
+def test_small_bands_are_drawn_to_their_script(make):
+    import random
+
+    rng = random.Random(2)
+    stock = "the of and with from river stone bridge winter garden letter morning evening village teacher doctor window silver mountain forest thunder harbour journey captain".split()
+    words = lambda n: [rng.choice(stock) for _ in range(n)]
+    prose = [(i, " ".join(words(150)) + ".") for i in range(60)]
+    rare = [(100 + i, " ".join(words(150)) + ".", "xx") for i in range(3)]
+    noise = [(200, " ".join(w + rng.choice(("###", "$$$", "%%%")) for w in words(150)), "xx"), (201, " ".join(w + "$$$" for w in words(150)))]
+    russian = "река камень мост зима сад письмо утро вечер деревня учитель врач окно серебро гора лес гром гавань путь капитан сестра брат рынок свеча зеркало".split()
+    small = [(300 + i, " ".join(rng.choice(russian) for _ in range(150)) + ".", "ru") for i in range(4)]
+    rows = quality.quality(make(prose + rare + noise + small))
+    kept = {r["doc_id"] for r in rows.where("kept").collect()}
+    assert "script" not in rows.columns and not kept & {200, 201} and kept >= {i for i, *_ in rare + small} and len(kept & set(range(60))) >= 59
+
+
 def test_fertility_figures():
     n, chars, fallback, entropy = quality.fertility("piece_bpe_32k.model", ["𓀀𓁐𓂀"])[0]
     assert fallback > 0.5 and n >= 3 and chars <= 1
