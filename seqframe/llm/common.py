@@ -36,14 +36,15 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/seqframe-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, path: str, shrink: int = 1) -> DataFrame:
+def materialize(df: DataFrame, path: str, shrink: int = 1, codec: str | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: later steps do not recompute it and lost executors cost nothing.
 
     shrink: narrow results of a shuffle go into so many times fewer files than there are shuffle partitions.
     """
     if shrink > 1:
         df = df.coalesce(max(1, shuffle_partitions(df.sparkSession) // shrink))
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", codec) if codec else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -112,6 +113,19 @@ def dense_numbers(df: DataFrame, name: str, within: list[str], key: list[str], o
     return out.withColumn(name, (F.col("__first") + F.col("__rank") - 1).cast("long")).drop("__chunk", "__first", "__rank")
 
 
+def salted(rows: DataFrame, one: DataFrame, key: str, *spread: str, how: str = "inner") -> DataFrame:
+    """Joins ``one`` (a row per ``key``) to ``rows`` on ``key``, wherever one value of it may hold a large share of the rows.
+
+    A key's rows are dealt by the hash of ``spread`` over as many parts as there are shuffle partitions;
+    its row of ``one`` is repeated for the parts that occur, so once where the key is rare.
+    """
+    parts = shuffle_partitions(rows.sparkSession)
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int"))
+    occur = dealt.select(key, "__salt").distinct().groupBy(key).agg(F.collect_list("__salt").alias("__salts"))
+    repeated = one.join(occur, key).withColumn("__salt", F.explode("__salts")).drop("__salts")
+    return dealt.join(repeated, [key, "__salt"], how).drop("__salt")
+
+
 # --- Arrow text -----------------------------------------------------------------------------
 
 

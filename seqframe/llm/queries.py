@@ -57,7 +57,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), folder)
-    return warc.archive_report(spark, folder)
+    return warc.archive_report(spark, folder, f"{folder}/store")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

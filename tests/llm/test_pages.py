@@ -63,62 +63,132 @@ def test_spam_hosts_are_blocked_and_others_kept(pages, spark):
     assert 0 < uf.frequent_words(many, 50).count() <= 50 and uf.frequent_words(many, 500).count() == 199
 
 
-PAGES = [(1, "http://a/", "same"), (5, "http://b/\r\nX: y", "same"), (3, None, "same"), (2, "http://c/", None), (9, "http://d/", ""), (7, "http://e/", "é" * 5000), (7, "http://e/", "é" * 5000), (7, "http://f/", "other"), (None, "http://g/", "none")]
+PAGES = [(1, "http://a/", "same"), (5, "http://b/\r\nX: y", "same"), (3, None, "same"), (2, "http://c/", None), (9, "http://d/", ""), (7, "http://e/", "é" * 5000), (7, "http://e/", "é" * 5000), (7, "http://e/", "é" * 5000), (7, "http://f/%41 🙂", "other"), (None, "http://g/", "none"), (None, None, "none"), (-4, "", "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n")]
 
 
-def test_archive_round_trip(pages, spark, tmp_path, monkeypatch):
-    warc.write_archive(pages(PAGES), f"file://{tmp_path}/w")
-    rows = warc.archive_report(spark, f"file://{tmp_path}/w").collect()
-    assert len(rows) == len(PAGES)
-    got = {(r["page_id"], r["payload_digest"]): r for r in rows}
-    for i, _, html in PAGES:
-        raw = (html or "").encode()
-        r = got[i, warc.base32_sha1(raw)]
-        largest = max((j for j, _, h in PAGES if (h or "") == (html or "") and j is not None), default=None)
-        assert r["payload_bytes"] == len(raw) and r["record_type"] == ("response" if i == largest else "revisit")
-        assert r["refers_to"] == (None if i == largest else largest)
-    records = warc.read_archive(spark, f"file://{tmp_path}/w")
-    payloads, headers = warc.split_archive(records)
-    assert payloads.count() == len({(h or "") for _, _, h in PAGES})
-    rebuilt = warc.rebuild_records(payloads, headers).collect()
+def archive_bytes(folder):
     import glob
     import gzip
 
-    whole = b"".join(gzip.open(f).read() for f in glob.glob(f"{tmp_path}/w/*.warc.gz"))
+    return b"".join(gzip.open(f).read() for f in sorted(glob.glob(f"{folder}/warc/part-*")))
+
+
+def digest32(raw):
+    import base64
+
+    return base64.b32encode(hashlib.sha1(raw).digest()).decode()
+
+
+def expected(rows, least=0):
+    """By the contract's words: of equal payloads one record of the largest page_id is a response."""
+    out = []
+    groups = {}
+    for i, _, html in rows:
+        groups.setdefault((html or "").encode(), []).append(i)
+    for raw, ids in groups.items():
+        top = max((i for i in ids if i is not None), default=None)
+        left = 1
+        for i in ids:
+            response = len(raw) < least
+            if not response and i == top and left:
+                response, left = True, 0
+            out.append((i, len(raw), digest32(raw), "response" if response else "revisit", None if response else top))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least", [0, 5, 1 << 40])
+def test_archive_round_trip(pages, spark, tmp_path, least):
+    where = f"file://{tmp_path}/w"
+    warc.write_archive(pages(PAGES), where, min_bytes=least)
+    rows = warc.archive_report(spark, where, f"{where}/store").collect()
+    assert sorted((tuple(r) for r in rows), key=str) == expected(PAGES, least)
+    payloads, headers = warc.split_archive(spark, where, f"{where}/again")
+    assert sorted(bytes(r["payload"]) for r in payloads.collect()) == sorted({(h or "").encode() for _, _, h in PAGES})
+    rebuilt = warc.rebuild_records(payloads, headers).collect()
+    whole = archive_bytes(f"{tmp_path}/w")
     assert sum(len(r["record"]) for r in rebuilt) == len(whole) and all(bytes(r["record"]) in whole for r in rebuilt)
-    by = {(i, (h or "").encode()) for i, _, h in PAGES}
-    assert {(r["page_id"], bytes(r["payload"])) for r in rebuilt} == by
+    assert len({bytes(r["record"]) for r in rebuilt}) == len(PAGES)  # each record has a name of its own
+    pages_back = warc.rebuild_pages(payloads, headers).collect()
+    assert sorted((str(r["page_id"]), str(r["url"]), bytes(r["payload"])) for r in pages_back) == sorted((str(i), str(u), (h or "").encode()) for i, u, h in PAGES)
     assert b"\r\nX: y" not in whole and b"http://b/%0D%0AX:%20y" in whole
 
 
-def test_small_payloads_and_empty_table(pages, spark, tmp_path):
-    warc.write_archive(pages(PAGES), f"file://{tmp_path}/w", min_bytes=5)
-    rows = warc.archive_report(spark, f"file://{tmp_path}/w").where("payload_bytes < 5")
-    assert rows.count() == 6 and rows.where("record_type <> 'response'").isEmpty()
-    warc.write_archive(pages([]), f"file://{tmp_path}/e")
-    assert warc.archive_report(spark, f"file://{tmp_path}/e").count() == 0
+def test_archive_files_parse_by_the_format(pages, tmp_path):
+    """A reader of its own: header lines up to a blank one, then Content-Length bytes and two line ends."""
+    warc.write_archive(pages(PAGES), f"file://{tmp_path}/w")
+    raw, n = archive_bytes(f"{tmp_path}/w"), 0
+    while raw:
+        head, _, raw = raw.partition(b"\r\n\r\n")
+        assert head.startswith(b"WARC/1.1\r\n")
+        size = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
+        block, raw, n = raw[:size], raw[size:], n + 1
+        http, _, payload = block.partition(b"\r\n\r\n")
+        if b"WARC-Type: response" in head:
+            assert int(re.search(rb"Content-Length: (\d+)", http)[1]) == len(payload) and hashlib.sha256(payload).hexdigest().encode() in head
+        else:
+            assert payload == b""
+        assert raw.startswith(b"\r\n\r\n")
+        raw = raw[4:]
+    assert n == len(PAGES)
+
+
+def test_an_archive_replaces_the_one_before(pages, spark, tmp_path):
+    where = f"file://{tmp_path}/w"
+    warc.write_archive(pages([(i, f"http://a/{i}", f"page {i % 7}") for i in range(40)]), where)
+    assert warc.archive_report(spark, where, f"{where}/store").count() == 40
+    warc.write_archive(pages(PAGES[:3]), where)
+    assert warc.archive_report(spark, where, f"{where}/store").count() == 3
+    warc.write_archive(pages([]), where)
+    assert warc.archive_report(spark, where, f"{where}/store").count() == 0
+
+
+def test_large_payloads_take_more_files(pages, spark, tmp_path, monkeypatch):
+    import glob
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 1000)
+    monkeypatch.setattr(warc, "HELD_BYTES", 500)
+    rows = [(i, f"http://a/{i}", f"{i} " * 400) for i in range(60)]
+    warc.write_archive(pages(rows), f"file://{tmp_path}/w")
+    assert len(glob.glob(f"{tmp_path}/w/warc/part-*")) > 20
+    got = warc.archive_report(spark, f"file://{tmp_path}/w", f"file://{tmp_path}/s").collect()
+    assert sorted((tuple(r) for r in got), key=str) == expected(rows)
+
+
+def test_a_shared_payload_is_dealt_over_the_tasks(pages, spark):
+    from seqframe.llm.common import salted
+
+    rows = spark.range(4000).selectExpr("id", "'hot' as strong")
+    one = spark.createDataFrame([("hot", 1)], "strong string, x long")
+    dealt = salted(rows, one, "strong", "id")
+    assert dealt.count() == 4000 and dealt.where("x = 1").count() == 4000
 
 
 def test_a_changed_payload_is_found(pages, spark, tmp_path):
     import glob
     import gzip
+    import os
 
     warc.write_archive(pages([(1, "http://a/", "payload one")]), f"file://{tmp_path}/w")
-    (name,) = glob.glob(f"{tmp_path}/w/*.warc.gz")
+    (name,) = [f for f in glob.glob(f"{tmp_path}/w/warc/part-*") if gzip.open(f).read()]
     broken = gzip.open(name).read().replace(b"payload one", b"payload two")
-    crc = f"{tmp_path}/w/.{name.rsplit('/', 1)[1]}.crc"
-    import os
-
+    crc = f"{os.path.dirname(name)}/.{os.path.basename(name)}.crc"
     if os.path.exists(crc):
         os.remove(crc)
     with open(name, "wb") as f:
         f.write(gzip.compress(broken))
     with pytest.raises(Exception, match="differs from its digest"):
-        warc.read_archive(spark, f"file://{tmp_path}/w").collect()
+        warc.archive_report(spark, f"file://{tmp_path}/w", f"file://{tmp_path}/s").collect()
+
+
+def test_a_missing_payload_is_found(pages, spark, tmp_path):
+    warc.write_archive(pages(PAGES), f"file://{tmp_path}/w")
+    payloads, headers = warc.split_archive(spark, f"file://{tmp_path}/w", f"file://{tmp_path}/s")
+    with pytest.raises(Exception, match="payload is missing"):
+        warc.rebuild_records(payloads.where("payload_bytes <> 4"), headers).select("payload_digest").collect()
 
 
 def test_on_the_tables(spark, tmp_path):
     table = spark.read.parquet(f"{SF}/pages.parquet")
     warc.write_archive(table, f"file://{tmp_path}/w")
-    got = warc.rebuild_records(*warc.split_archive(warc.read_archive(spark, f"file://{tmp_path}/w"))).select("page_id", F.sha1("payload").alias("s"))
-    assert {(r["page_id"], r["s"]) for r in got.collect()} == {(r["page_id"], hashlib.sha1(r["html"].encode()).hexdigest()) for r in table.collect()}
+    got = warc.rebuild_pages(*warc.split_archive(spark, f"file://{tmp_path}/w", f"file://{tmp_path}/s")).select("page_id", "url", F.sha1("payload").alias("s"))
+    assert sorted((r["page_id"], r["url"], r["s"]) for r in got.collect()) == sorted((r["page_id"], r["url"], hashlib.sha1(r["html"].encode()).hexdigest()) for r in table.collect())
