@@ -117,7 +117,8 @@ def salted(rows: DataFrame, one: DataFrame, key: str, *spread: str, how: str = "
     """Joins ``one`` (a row per ``key``) to ``rows`` on ``key``, wherever one value of it may hold a large share of the rows.
 
     A key's rows are dealt by the hash of ``spread`` over as many parts as there are shuffle partitions;
-    its row of ``one`` is repeated for the parts that occur, so once where the key is rare.
+    its rows of ``one`` are repeated for the parts that occur, so once where the key is rare. ``rows`` is
+    read twice and must be the same both times.
     """
     parts = shuffle_partitions(rows.sparkSession)
     dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int"))

@@ -1,46 +1,50 @@
 """URL filters: rules by host and path, and a classifier on segmented host names for what no rule decides.
 
-Words are counted over all page texts; the most frequent, VOCABULARY at most, make a unigram model. A Viterbi
-pass splits each letter run of a host or path into its most probable words. Multinomial naive Bayes on
-the words, learned from the pages that a rule decides and from ``SPAM_WORDS``, judges the rest. Words that
-a rule names itself are left out: they would only repeat the rule. Word and class counts are
-summed in the tasks and by shuffle; what the driver holds is bounded by VOCABULARY and BUCKETS.
-
-Edge cases: a url that is null or has no ``://`` has an empty host and path, fits no rule and is judged
-by the classes' shares alone; without any page that a rule decides, the verdict is allow; ties of rule
-length go to the rule given first, odds up to ``least_odds`` to allow; repeated rows get equal results; an empty
-table gives an empty result; extra columns are ignored.
+The words of all page texts, of any length, make a unigram model. A Viterbi pass splits each letter run
+of a host or path into its most probable words: letters that are no word cost more the more there are of
+them. Multinomial naive Bayes on the words of hosts and paths, learned from the pages that a rule decides,
+judges the rest. The words that a rule names itself are left out: they would only repeat the rule. Rules
+say nothing of how common either class is, so the classes count as equally likely beforehand, and
+``least_odds`` says how much evidence it takes to block.
+
+Words, runs and urls are tables throughout. A run's words are found by joining its substrings with the
+word counts: those of up to SHORT letters as they are, longer words by their first SHORT letters. Each
+distinct run is split once, each distinct url is judged once, and joins on words, runs and urls are dealt
+by salt. The driver gets a few totals.
+
+Edge cases: a url that is null or has no ``://`` has an empty host and path, fits no rule and has no words;
+without words, or if no page of one of the classes is decided by a rule, the odds are 0 and the verdict is
+allow, as it is for odds up to ``least_odds``; of several rules for one host and path the one given first
+holds; repeated rows and null ids get results of their own; an empty table gives an empty result; extra
+columns are ignored; long urls and words are taken whole.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, lean, pick
-
-VOCABULARY = 50_000
-BUCKETS = 1 << 14
-LONGEST_WORD = 16
-#: Words of hosts that are blocked as a rule, each seen so many times in the class block.
-SPAM_WORDS = ("adult", "bet", "bets", "betting", "bonus", "casino", "cheap", "coupon", "escort", "gamble", "jackpot", "loan", "loans", "lottery", "pharma", "pills", "poker", "porn", "replica", "sex", "slots", "viagra", "win", "xxx")
-SPAM_WEIGHT = 200
-_TAGS = re.compile(r"<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>", re.S | re.I)
-_WORDS = re.compile(r"[a-z]{1,16}(?![a-z])")
-_RUNS = re.compile(r"[^\W\d_]+|\d+")
+from .common import lean, materialize, pick, salted, work_path
+
+#: Words of up to so many letters are looked up by all substrings of a run; longer ones by their beginning.
+SHORT = 24
+#: What an unknown stretch costs beyond a word seen once, and what each of its letters costs.
+UNKNOWN, LETTER = 2.0, 2.3
+#: What a word adds to the counts of each class.
+SMOOTH = 0.5
+_TAGS = r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>"
+_RUNS = r"\p{L}+|\p{Nd}+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+# --- urls and rules
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.translate(F.regexp_extract(url, r"(?s)\A.*?://([^/?#]*)", 1), _UPPER, _LOWER), F.lit(""))
 
@@ -50,146 +54,138 @@ def path_of(url: Column) -> Column:
 
 
 def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest of the rules (verdict, host/path) that fits; null where none does."""
+    """(rule, verdict) of the longest of the rules (verdict, host/path) that fits, the first given of equal ones; null where none does."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for said, rule in sorted(rules, key=lambda r: len(r[1])):  # a longer rule is tried before a shorter one
+    for said, rule in sorted(reversed(rules), key=lambda r: len(r[1])):  # what is tried last wins
         at = rule.index("/")
         fits = ((host == rule[:at]) | host.endswith("." + rule[:at])) & path.startswith(rule[at:])
         name, verdict = F.when(fits, F.lit(rule)).otherwise(name), F.when(fits, F.lit(said)).otherwise(verdict)
     return name, verdict
 
 
+def _url_id() -> Column:
+    return F.unhex(F.sha2(F.concat("host", "path"), 256))  # a path that is not empty begins with a slash, a host has none
+
+
+def runs_of(text: Column) -> Column:
+    """The letter runs and digit runs of a text, in order, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({_RUNS})"), F.lit(1))
+
+
+# --- the unigram model
+
+
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n) over all rows (html); each task sums before the shuffle."""
+    """(word, n): the letter runs, in lower case, of all rows (html) without tags, scripts and styles."""
+    plain = F.lower(F.regexp_replace("html", _TAGS, " "))
+    return texts.select(F.explode(F.regexp_extract_all(plain, F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def words_within(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """(run, words, counts): of each run those counted words that occur in it."""
+    named = runs.select(F.unhex(F.sha2("run", 256)).alias("id"), "run")
+    starts = named.select("id", "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start"))
+    sizes = starts.select("id", "run", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(SHORT), F.length("run") - F.col("start") + 1))).alias("size"))
+    parts = sizes.select("id", F.substr("run", F.col("start"), F.col("size")).alias("word"), (F.col("size") == SHORT).alias("long"))
+    found = salted(parts.distinct(), words.where(F.length("word") <= SHORT), "word", "id").select("id", "word", "n")
+
+    begin = F.substr("word", F.lit(1), F.lit(SHORT))
+    far = words.where(F.length("word") > SHORT).select(begin.alias("begin"), F.col("word").alias("longer"), "n")
+    begins = parts.where("long").select("id", F.col("word").alias("begin")).distinct()
+    more = salted(begins, far, "begin", "id").join(named, "id").where(F.contains("run", "longer")).select("id", F.col("longer").alias("word"), "n")
+    sets = found.unionByName(more).groupBy("id").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("counts"))
+    return named.join(sets, "id", "left").select("run", "words", "counts")
+
+
+def best_split(run: str, counts: dict[str, int], total: int) -> tuple[str, ...]:
+    """The split of least cost. A word costs minus the logarithm of its share; a stretch of no words what a word seen once costs, UNKNOWN more and LETTER for each letter."""
+    first = math.log(max(total, 1)) + UNKNOWN
+    cost = {w: math.log(total / n) for w, n in counts.items()}
+    sizes = sorted({len(w) for w in cost})
+    n = len(run)
+    best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    open_cost, open_at = [math.inf] * (n + 1), [0] * (n + 1)  # of splits that end in a stretch of no words
+    for end in range(1, n + 1):
+        begun, longer = best[end - 1] + first + LETTER, open_cost[end - 1] + LETTER
+        open_cost[end], open_at[end] = (longer, open_at[end - 1]) if longer < begun else (begun, end - 1)
+        best[end], back[end] = open_cost[end], open_at[end]
+        for size in sizes:
+            if size > end:
+                break
+            price = cost.get(run[end - size : end])
+            if price is not None and best[end - size] + price < best[end]:
+                best[end], back[end] = best[end - size] + price, end - size
+    out, at = [], n
+    while at:
+        out.append(run[back[at] : at])
+        at = back[at]
+    return tuple(reversed(out))
+
+
+def split_runs(runs: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """(run, split) of distinct letter runs (run)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter[str] = Counter()
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            splits = [best_split(r, dict(zip(w or (), n or (), strict=True)), total) for r, w, n in zip(names, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(splits, pa.list_(pa.string()))], names=["run", "split"])
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["word", "n"])
-            sums.clear()
-            return out
+    return words_within(runs, words).mapInArrow(lean(run), "run string, split array<string>")
 
-        for batch in batches:
-            for block in blocks(batch, "html"):
-                for html in block.column(0).to_pylist():
-                    if html:
-                        sums.update(_WORDS.findall(_TAGS.sub(" ", html).lower()))
-                if len(sums) > 500_000:
-                    yield flush()
-        yield flush()
-
-    return texts.mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def frequent_words(words: DataFrame, most: int) -> DataFrame:
-    """The words of at least some frequency, the lowest for which they are ``most`` or fewer.
-
-    The frequency is read off a table of logarithmic classes, 8 to the octave; so neither the driver nor
-    a task ever gets more than ``most`` words, as it would if each task sent its own most frequent.
-    """
-    level = F.floor(F.log2("n") * 8).cast("int")
-    total, least = 0, 0
-    for r in words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect():  # under 512 rows
-        total += r["words"]
-        if total > most:
-            least = r["level"] + 1
-            break
-    return words.where(level >= least)
-
-
-class Segmenter:
-    """Most probable split of a letter run into words of a unigram model; a run of unknown letters costs more the longer it is."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
-        self.cost = {w: -math.log(n / self.total) for w, n in counts.items()}
-        self.split = functools.lru_cache(maxsize=100_000)(self._split)
-
-    def __reduce__(self):
-        return _rebuild, (self.cost, self.total)
-
-    def _split(self, run: str) -> tuple[str, ...]:
-        best, back = [0.0] + [math.inf] * len(run), [0] * (len(run) + 1)
-        unknown = math.log(self.total) + 2.0
-        for end in range(1, len(run) + 1):
-            for start in range(max(0, end - LONGEST_WORD), end):
-                cost = best[start] + self.cost.get(run[start:end], unknown + 2.3 * (end - start))
-                if cost < best[end]:
-                    best[end], back[end] = cost, start
-        out, at = [], len(run)
-        while at:
-            out.append(run[back[at] : at])
-            at = back[at]
-        return tuple(reversed(out))
-
-
-def _rebuild(cost: dict[str, float], total: int) -> Segmenter:
-    out = Segmenter({})
-    out.cost, out.total = cost, total
-    return out
-
-
-def tokens(host: str, path: str, segmenter: Segmenter, named: frozenset[str] = frozenset()) -> list[str]:
-    """Words of the host and of the path, told apart, without those ``named`` by a rule; digits count as one token for their number of places."""
-    out = []
-    for kind, text in (("h", host), ("p", path.lower())):
-        for run in _RUNS.findall(text):
-            out += [f"{kind}#{len(run)}"] if run.isdigit() else [f"{kind}:{w}" for w in segmenter.split(run) if w not in named]
-    return out
-
-
-def _buckets(found: list[str]) -> np.ndarray:
-    return np.array([zlib.crc32(t.encode()) % BUCKETS for t in found], np.int64)
-
-
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", vocabulary: int = VOCABULARY, least_odds: float = 3.0) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, the host's words, and the log odds of block (blocked from ``least_odds`` on)."""
-    spark = pages.sparkSession
+
+# --- the classifier
+
+
+def word_odds(counts: DataFrame) -> DataFrame:
+    """(token, odds): log odds of block of each token, from its counts (token, block, allow) with SMOOTH added; none if a class has no tokens."""
+    sums = counts.agg(F.sum("block"), F.sum("allow"), F.count(F.lit(1))).first()
+    block, allow, distinct = (int(x or 0) for x in sums)
+    if not block or not allow:
+        return counts.where("false").select("token", F.lit(0.0).alias("odds"))
+    share = math.log((allow + SMOOTH * distinct) / (block + SMOOTH * distinct))
+    return counts.select("token", (F.log((F.col("block") + SMOOTH) / (F.col("allow") + SMOOTH)) + F.lit(share)).alias("odds"))
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least_odds: float = 3.0) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, the host's words, and the log odds of block (blocked above ``least_odds`` where no rule fits)."""
+    base = work_path(pages.sparkSession, "urls")
     rows = pick(pages, page_id=id_col, url=url_col)
     rows = rows.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    # stored with the task that read them: equal rows of many tasks are dealt apart by it later on
+    rows = materialize(rows.withColumn("url", _url_id()).withColumn("task", F.spark_partition_id()), f"{base}/rows")
     name, said = fitting_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", name).withColumn("said", said)
-
-    named = frozenset(x for _, rule in rules for x in _RUNS.findall(rule))
-    spam = {w: SPAM_WEIGHT for w in SPAM_WORDS}
-    words = count_words(pick(pages, html=text_col)).persist(StorageLevel.MEMORY_AND_DISK)  # read twice; a lost part is counted again
-    model = spark.sparkContext.broadcast(Segmenter(spam | {r["word"]: r["n"] for r in frequent_words(words, vocabulary).collect()}))
-    words.unpersist()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS + 1), np.int64)
-        for batch in batches:
-            for host, path, verdict in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                side = sums[int(verdict == "block")]
-                np.add.at(side, _buckets(tokens(host, path, model.value, named)), 1)
-                side[BUCKETS] += 1  # pages
-        block, at = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(block == 1, pa.bool_()), pa.array(at, pa.int32()), pa.array(sums[block, at], pa.int64())], names=["block", "bucket", "n"])
-
-    learned = rows.where("said is not null").select("host", "path", "said").mapInArrow(lean(count), "block boolean, bucket int, n long")
-    sums = np.zeros((2, BUCKETS + 1))
-    for r in learned.groupBy("block", "bucket").agg(F.sum("n").alias("n")).collect():  # at most 2 x BUCKETS rows
-        sums[int(r["block"]), r["bucket"]] = r["n"]
-    seen = sums[:, BUCKETS]
-    np.add.at(sums[1], _buckets([f"{kind}:{w}" for w in SPAM_WORDS for kind in "hp"]), SPAM_WEIGHT)
-    words_of = sums[:, :BUCKETS] + 0.5
-    odds = np.log(words_of[1] / words_of[1].sum()) - np.log(words_of[0] / words_of[0].sum())
-    odds[(sums[:, :BUCKETS] == 0).all(axis=0)] = 0.0  # words that neither class has seen say nothing
-    prior = math.log((seen[1] + 0.5) / (seen[0] + 0.5)) if seen.sum() else -1.0
-    bayes = spark.sparkContext.broadcast((odds, prior))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds, prior = bayes.value
-        for batch in batches:
-            for part in blocks(batch, "path"):
-                page, host, path, rule, verdict = (part.column(i) for i in range(5))
-                split, score = [], []
-                for h, p in zip(host.to_pylist(), path.to_pylist(), strict=True):
-                    found = tokens(h, p, model.value, named)
-                    split.append([w for run in _RUNS.findall(h) for w in ((run,) if run.isdigit() else model.value.split(run))])
-                    score.append(prior + float(odds[_buckets(found)].sum()))
-                verdicts = [v or ("block" if s > least_odds else "allow") for v, s in zip(verdict.to_pylist(), score, strict=True)]
-                yield pa.RecordBatch.from_arrays([page, host, path, rule, pa.array(verdicts, pa.string()), pa.array(split, pa.list_(pa.string())), pa.array(score, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "host_words", "block_odds"])
-
-    return rows.select("page_id", "host", "path", "rule", "said").mapInArrow(lean(judge), "page_id long, host string, path string, rule string, verdict string, host_words array<string>, block_odds double")
+    urls = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages")).withColumns({"rule": name, "said": said}).withColumn("url", _url_id())
+    urls = materialize(urls, f"{base}/urls", 8)
+
+    # what each url consists of: digit runs count as one token for their number of places
+    def marked(column: str) -> Column:
+        return F.transform(runs_of(F.col(column)), lambda x: F.struct(F.lit(column[0]).alias("kind"), x.alias("run")))
+
+    parts = F.concat(marked("host"), marked("path"))
+    each = urls.select("url", "said", "pages", F.posexplode(parts).alias("place", "x")).select("url", "said", "pages", "place", "x.*")
+    sizes = each.groupBy("kind", "run").agg(*(F.sum(F.when(F.col("said") == s, F.col("pages")).otherwise(0)).alias(s) for s in ("block", "allow")))
+    sizes = materialize(sizes, f"{base}/runs", 8)
+    words = materialize(count_words(pick(pages, html=text_col)), f"{base}/words", 2)
+    total = words.agg(F.sum("n")).first()[0] or 0
+    split = split_runs(sizes.where("run rlike '^\\\\p{L}'").select("run").distinct(), words, total)
+    known = sizes.join(split, "run", "left").withColumn("split", F.coalesce("split", F.array("run")))
+    known = materialize(known, f"{base}/split", 8)
+
+    # tokens, but for the words of a rule
+    named = sorted({w for _, rule in rules for w in re.findall(r"[^\W\d_]+|\d+", rule.lower())})
+    token = F.when(F.col("word").rlike(r"^\p{Nd}"), F.concat("kind", F.lit("#"), F.length("word").cast("string"))).otherwise(F.concat("kind", F.lit(":"), "word"))
+    tokens = known.select("kind", "run", "block", "allow", F.explode("split").alias("word")).where(~F.col("word").isin(named) if named else F.lit(True)).withColumn("token", token)
+    counts = tokens.groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).where("block + allow > 0")
+    counts = materialize(counts, f"{base}/counts", 8)
+    run_odds = salted(tokens.select("kind", "run", "token"), word_odds(counts), "token", "run").groupBy("kind", "run").agg(F.sum("odds").alias("odds"))
+    known = known.select("kind", "run", "split").join(run_odds, ["kind", "run"], "left").withColumn("key", F.concat("kind", "run")).select("key", "split", "odds")
+
+    scored = salted(each.select("url", "place", "kind", F.concat("kind", "run").alias("key")), known, "key", "url").groupBy("url").agg(
+        F.sum("odds").alias("odds"), F.array_sort(F.collect_list(F.when(F.col("kind") == "h", F.struct("place", "split")))).alias("host_parts")
+    )
+    judged = urls.join(scored, "url", "left").select("url", "rule", "said", F.coalesce("odds", F.lit(0.0)).alias("odds"), F.coalesce(F.flatten(F.col("host_parts.split")), F.array().cast("array<string>")).alias("host_words"))
+    judged = materialize(judged, f"{base}/judged", 8)
+    verdict = F.coalesce("said", F.when(F.col("odds") > least_odds, "block").otherwise("allow"))
+    out = salted(rows, judged, "url", "page_id", "task")
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "host_words", F.round("odds", 9).alias("block_odds"))

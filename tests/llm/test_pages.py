@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,21 +49,132 @@ def test_hosts_paths_and_rules(pages):
         assert rows[i]["verdict"] in ("allow", "block") and best[2] in (None, rows[i]["verdict"])
 
 
-def test_segmentation():
-    s = uf.Segmenter({"free": 50, "bets": 20, "the": 100, "bet": 10, "fr": 1, "cat": 30})
-    assert s.split("freebets") == ("free", "bets") and s.split("thecat") == ("the", "cat") and "".join(s.split("zzqfree")) == "zzqfree" and s.split("zzqfree")[-1] == "free"
-    assert uf.tokens("freebets.net", "/Cat/12", s, frozenset({"net"})) == ["h:free", "h:bets", "p:cat", "p#2"]
+def every_split(run):
+    if not run:
+        yield ()
+    for i in range(1, len(run) + 1):
+        for rest in every_split(run[i:]):
+            yield (run[:i], *rest)
 
 
-def test_spam_hosts_are_blocked_and_others_kept(pages, spark):
-    rows = [(i, f"http://{h}.example.com/en/{i}", "the cat and the dog sat in casino") for i, h in enumerate(["freecasino", "casino-win", "gardenclub", "news"])]
-    got = {r["page_id"]: r["verdict"] for r in uf.judge_urls(pages(rows), URL_RULES).collect()}
-    assert got == {0: "block", 1: "block", 2: "allow", 3: "allow"}
+def cost_of(split, counts, total):
+    return sum(math.log(total / counts[w]) if w in counts else math.log(total) + uf.UNKNOWN + uf.LETTER * len(w) for w in split)
+
+
+def test_viterbi_against_all_splits():
+    rng = random.Random(3)
+    for _ in range(150):
+        counts = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))): rng.randint(1, 60) for _ in range(rng.randint(0, 8))}
+        total = sum(counts.values()) + rng.randint(0, 5)
+        run = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+        split = uf.best_split(run, counts, total or 1)
+        assert "".join(split) == run
+        assert cost_of(split, counts, total or 1) == pytest.approx(min(cost_of(s, counts, total or 1) for s in every_split(run)))
+
+
+def test_words_within_runs(spark):
+    """All counted words that a run holds, however long; many words that begin alike; a long run."""
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh") for _ in range(3000))
+    words = {long[i : i + n]: i + 1 for i, n in ((0, 1), (5, 24), (5, 25), (5, 26), (9, 700), (2000, 1000), (40, 3))} | {long[5:29] + "zz": 3, "größe": 7, "ö": 2}
+    runs = [long, "größe", "x", long[5:31], long[:2]]
+    table = spark.createDataFrame(list(words.items()), "word string, n long")
+    got = uf.words_within(spark.createDataFrame([(r,) for r in runs], "run string"), table).collect()
+    assert {r["run"]: dict(zip(r["words"] or [], r["counts"] or [], strict=True)) for r in got} == {r: {w: n for w, n in words.items() if w in r} for r in runs}
+
+
+def test_words_are_counted_whole(spark):
+    html = [("<b>One</b> one<script>two</script> É é Größe INTERNATIONALIZATIONFORALLOFUSINTHEWORLD x1y",), (None,), ("one<style>\nx</style>",)]
+    words = {r["word"]: r["n"] for r in uf.count_words(spark.createDataFrame(html, "html string")).collect()}
+    assert words == {"one": 3, "é": 2, "größe": 1, "internationalizationforallofusintheworld": 1, "x": 1, "y": 1}
+
+
+def plain_verdicts(rows, rules, least):
+    """The operator in plain Python: word counts, splits by all words, naive Bayes."""
+    import regex
+
+    words = Counter(w for _, _, html in rows if html for w in regex.findall(r"\p{L}+", regex.sub(r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>", " ", html).lower()))
+    total = sum(words.values())
+    named = {w for _, rule in rules for w in regex.findall(r"\p{L}+|\p{Nd}+", rule)}
+
+    def tokens(url):
+        out = []
+        for kind, text in zip("hp", parsed(url), strict=True):
+            for run in regex.findall(r"\p{L}+|\p{Nd}+", text.lower()):
+                out += [f"{kind}#{len(run)}"] if run.isdigit() and run not in named else [f"{kind}:{w}" for w in uf.best_split(run, words, total) if w not in named and not run.isdigit()]
+        return out
+
+    def rule_of(url):
+        host, path = parsed(url)
+        fitting = [(len(rule), -k, said) for k, (said, rule) in enumerate(rules) if (host == rule[: rule.index("/")] or host.endswith("." + rule[: rule.index("/")])) and path.startswith(rule[rule.index("/") :])]
+        return max(fitting)[2] if fitting else None
+
+    sides = {"block": Counter(), "allow": Counter()}
+    for _, url, _ in rows:
+        if said := rule_of(url):
+            sides[said].update(tokens(url))
+    block, allow = sides["block"], sides["allow"]
+    distinct = len(block | allow)
+    odds = {}
+    if block and allow:
+        odds = {t: math.log((block[t] + 0.5) / (block.total() + 0.5 * distinct)) - math.log((allow[t] + 0.5) / (allow.total() + 0.5 * distinct)) for t in block | allow}
+    out = []
+    for page, url, _ in rows:
+        score = sum(odds.get(t, 0.0) for t in tokens(url))
+        out.append((page, rule_of(url) or ("block" if score > least else "allow"), score))
+    return out
+
+
+RULES = [("block", "bad.org/"), ("allow", "good.org/")]
+
+
+def mixed(n, seed):
+    rng = random.Random(seed)
+    parts = ["casino", "bet", "win", "garden", "news", "essex", "sussex", "42", "größe", "co", "shop"]
+    rows = []
+    for i in range(n):
+        side = rng.choice(["bad.org", "good.org", "other.example"])
+        lean_ = parts[:5] if side == "bad.org" else parts[3:] if side == "good.org" else parts
+        rows.append((rng.choice([i, i, 7, None]), f"http://{rng.choice(lean_)}{rng.choice(lean_)}.{side}/{rng.choice(lean_)}/{rng.randint(0, 2000)}", rng.choice(["<p>casino bet win garden news", "essex sussex shop and größe co", None, "win the bet"])))
+    return rows
+
+
+def test_verdicts_against_plain_python(pages):
+    rows = mixed(300, 9) + [(900 + i, u, "<p>word") for i, u in enumerate(URLS)] + [(7, "http://casinobet.other.example/win/1", "x")] * 5
+    got = sorted(((r["page_id"], r["verdict"], round(r["block_odds"], 6)) for r in uf.judge_urls(pages(rows), RULES).collect()), key=str)
+    want = sorted(((p, v, round(s, 6)) for p, v, s in plain_verdicts(rows, RULES, 3.0)), key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-6)
+    assert {v for _, v, _ in want} == {"allow", "block"}
+
+
+def test_harmless_hosts_are_allowed(pages):
+    hosts = ["essex.edu", "sussex.ac.uk", "winwin.com", "middlesex.gov", "expertsexchange.com"]
+    rows = mixed(200, 2) + [(1000 + i, f"http://www.{h}/", "<p>sex win casino") for i, h in enumerate(hosts)]
+    got = {r["page_id"]: r["verdict"] for r in uf.judge_urls(pages(rows), RULES).where("page_id >= 1000").collect()}
+    assert len(got) == len(hosts) and "block" not in [v for k, v in got.items() if k != 1002]
+
+
+def test_without_rules_words_or_rows(pages):
     assert uf.judge_urls(pages([]), URL_RULES).count() == 0
-    words = {r["word"]: r["n"] for r in uf.count_words(spark.createDataFrame([("<b>One</b> one<script>two</script> é",), (None,)], "html string")).collect()}
-    assert words == {"one": 2}
-    many = spark.createDataFrame([(f"w{i}", i) for i in range(1, 200)], "word string, n long")
-    assert 0 < uf.frequent_words(many, 50).count() <= 50 and uf.frequent_words(many, 500).count() == 199
+    one_class = [(i, f"http://casino{i}.net/x", "<p>casino") for i in range(5)] + [(9, "http://casino.example/x", None), (10, None, None)]
+    got = {r["page_id"]: (r["verdict"], r["block_odds"]) for r in uf.judge_urls(pages(one_class), URL_RULES).collect()}
+    assert got[9] == got[10] == ("allow", 0.0) and got[0][0] == "block"
+    assert {r["verdict"] for r in uf.judge_urls(pages(one_class), []).collect()} == {"allow"}
+
+
+def test_ties_of_rules_and_words_of_equal_count(pages):
+    rules = [("allow", "a.com/x"), ("block", "b.a.com"[2:] + "/x")]  # the same rule twice: the first one holds
+    assert [r["verdict"] for r in uf.judge_urls(pages([(1, "http://q.a.com/xy", "<p>w")]), rules).collect()] == ["allow"]
+    text = " ".join("".join(chr(97 + (i // 26**k) % 26) for k in range(3)) for i in range(3000))
+    split = uf.judge_urls(pages([(1, "http://aaabaacaa.com/", text)]), []).first()["host_words"]
+    assert split == ["aaa", "baa", "caa", "com"]
+
+
+def test_long_urls(pages):
+    long = "http://" + "ab" * 2000 + ".com/" + "x/" * 2000
+    row = uf.judge_urls(pages([(1, long, "<p>" + "ab" * 30 + " ab"), (1, long, None), (None, long, None)]), URL_RULES).collect()
+    assert len(row) == 3 and all("".join(r["host_words"]) == "ab" * 2000 + "com" for r in row)
 
 
 PAGES = [(1, "http://a/", "same"), (5, "http://b/\r\nX: y", "same"), (3, None, "same"), (2, "http://c/", None), (9, "http://d/", ""), (7, "http://e/", "é" * 5000), (7, "http://e/", "é" * 5000), (7, "http://e/", "é" * 5000), (7, "http://f/%41 🙂", "other"), (None, "http://g/", "none"), (None, None, "none"), (-4, "", "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n")]
