@@ -13,7 +13,8 @@ whatever the corpus.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every text where
 nothing could be learned; with one learned language that language is predicted; repeated rows get equal
-results; an empty table gives an empty result; extra columns are ignored; whole texts are read.
+results; an empty table gives an empty result; extra columns are ignored; whole texts are read, a long one in parts
+whose sums are carried on.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .common import blocks, lean, pick, text_views
 #: Documented bound of the training sample, per language (to within the chance of hashing).
 TRAIN_DOCS = 3000
 BUCKETS = 1 << 15
+#: A text's trigrams, however many, are worth less than so many independent ones: what the score tends to.
+INDEPENDENT = 400
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 0x20
@@ -58,19 +61,23 @@ def codewords(n: int) -> np.ndarray:
     return best.astype(np.int8)
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the trigrams of all texts, one after the other, and their bounds. Trigrams around a gap are left out."""
+def trigrams(texts: list[str], step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the trigrams of all texts, one after the other, and the texts that they belong to, in parts of ``step`` bytes.
+
+    Trigrams around a gap are left out, and so are those that would reach from one text into the next.
+    """
     flat, bounds = text_views(pa.array([f" {t.lower()} " for t in texts], pa.large_string()))
-    flat = _FOLD[flat]
-    if len(flat) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    wide = flat.astype(np.uint32)
-    grams = (wide[:-2] * np.uint32(0x9E3779B1) ^ wide[1:-1] * np.uint32(0x85EBCA77) ^ wide[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F) >> np.uint32(17)
-    use = flat[1:-1] != 0x20
-    use[np.minimum(bounds[1:-1] - 2, len(use) - 1)] = False
-    use[np.minimum(bounds[1:-1] - 1, len(use) - 1)] = False
-    counts = np.concatenate([[0], np.cumsum(use)])
-    return grams[use].astype(np.int64), counts[np.minimum(bounds, len(use))]
+    ends = bounds[1:]
+    for start in range(0, len(flat) - 2, step):
+        part = _FOLD[flat[start : start + step + 2]]
+        wide = part.astype(np.uint32)
+        grams = (wide[:-2] * np.uint32(0x9E3779B1) ^ wide[1:-1] * np.uint32(0x85EBCA77) ^ wide[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F) >> np.uint32(17)
+        use = part[1:-1] != 0x20
+        for off in (1, 2):  # the last two places of a text begin no trigram of its own
+            at = ends - off - start
+            use[at[(at >= 0) & (at < len(use))]] = False
+        place = np.flatnonzero(use)
+        yield grams[place].astype(np.int64), np.searchsorted(ends, place + start, side="right")
 
 
 def count_trigrams(sample: DataFrame) -> DataFrame:
@@ -84,7 +91,8 @@ def count_trigrams(sample: DataFrame) -> DataFrame:
                 for lang, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
                     by.setdefault(lang, []).append(text)
                 for lang, texts in by.items():
-                    sums[lang] = sums.get(lang, 0) + np.bincount(trigrams(texts)[0], minlength=BUCKETS)
+                    for grams, _ in trigrams(texts):
+                        sums[lang] = sums.get(lang, 0) + np.bincount(grams, minlength=BUCKETS)
         for lang, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
@@ -109,17 +117,26 @@ class Model:
         weight = np.maximum(apart, 0.02)
         self.weight = weight / weight.mean()
 
+    def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of log odds per text and bit, and the number of trigrams; a part of the trigrams at a time, whatever the length of a text."""
+        bits = self.odds.shape[1]
+        sums, n = np.zeros((len(texts), bits)), np.zeros(len(texts), np.int64)
+        for grams, owner in trigrams(texts, max(1 << 12, (16 << 20) // (4 * bits))):
+            if len(grams):
+                first = np.flatnonzero(np.append(True, np.diff(owner) != 0))
+                sums[owner[first]] += np.add.reduceat(self.odds[grams], first, axis=0, dtype=np.float64)
+                n += np.bincount(owner, minlength=len(texts))
+        return sums, n
+
     def predict(self, texts: list[str]) -> list[tuple[str, float, bool]]:
-        grams, bounds = trigrams(texts)
-        if not self.langs or len(grams) == 0:
+        if not self.langs:
             return [("und", 0.0, True)] * len(texts)
+        sums, n = self.margins(texts)
+        # the mean, as sure as so many trigrams make it: they are not independent of each other
+        sure = np.sqrt(n / (1 + n / INDEPENDENT))
+        margins = sums / np.maximum(n, 1)[:, None] * sure[:, None]
         out: list[tuple[str, float, bool]] = []
-        sums = np.zeros((len(texts), self.odds.shape[1]))
-        n = np.diff(bounds)
-        some = np.flatnonzero(n)
-        sums[some] = np.add.reduceat(self.odds[grams], bounds[some], axis=0)
-        margins = sums / np.maximum(n, 1)[:, None] * np.sqrt(np.minimum(n, 400))[:, None]
-        loss = (np.logaddexp(0, -margins[:, None, :] * self.code[None]) * self.weight).sum(axis=2)
+        loss = np.stack([(np.logaddexp(0, -margins * word) * self.weight).sum(axis=1) for word in self.code], axis=1)
         chance = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
         chance /= chance.sum(axis=1, keepdims=True)
         order = np.sort(chance, axis=1)
@@ -136,12 +153,13 @@ def train(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("double") * F.col("docs") < F.lit(float(train_docs << 30))
     sample = rows.join(F.broadcast(sizes), "lang").where(share).select("lang", "text")
     counts: dict[str, np.ndarray] = {}
-    table = count_trigrams(sample).toArrow()
-    lang, bucket, n = (table.column(i) for i in range(3))
-    bucket, n = bucket.to_numpy(), n.to_numpy()
-    names = lang.to_pylist()
-    for x in set(names):
-        here = np.array([y == x for y in names])
+    table = count_trigrams(sample).toArrow()  # languages x BUCKETS rows at most
+    lang = table.column(0).combine_chunks().dictionary_encode()
+    code, bucket, n = lang.indices.to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy()
+    order = np.argsort(code, kind="stable")
+    cuts = np.searchsorted(code[order], np.arange(len(lang.dictionary) + 1))
+    for k, x in enumerate(lang.dictionary.to_pylist()):
+        here = order[cuts[k] : cuts[k + 1]]
         counts[x] = np.bincount(bucket[here], weights=n[here], minlength=BUCKETS)
     return Model(counts)
 

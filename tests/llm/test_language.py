@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from seqframe.llm.language_id import codewords, identify
+from seqframe.llm.language_id import BUCKETS, INDEPENDENT, Model, codewords, identify, trigrams
 from tests.llm.conftest import SF
 
 
@@ -42,3 +43,52 @@ def test_odd_rows(make, odd):
     assert identify(make([])).count() == 0
     assert {r["lang_pred"] for r in identify(make([(1, "abc", None)])).collect()} == {"und"}
     assert {r["lang_pred"] for r in identify(make([(i, "only one here", "de") for i in range(9)])).collect()} == {"de"}
+
+
+def plain_trigrams(text):
+    raw = [c if ord("a") <= c <= ord("z") or c > 127 else 0x20 for c in f" {text.lower()} ".encode()]
+    out = []
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        if b != 0x20:
+            mixed = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+            out.append((mixed * 0x27D4EB2F & 0xFFFFFFFF) >> 17)
+    return out
+
+
+TEXTS = ["the cat sat on the mat", "", "Größe & Maß über alles!", "x", "le chat est sur la table", " a b ", "ñandú 東京", "1 2 3", "zz" * 300]
+
+
+def test_trigrams_in_parts_against_plain_python():
+    for step in (1, 2, 3, 7, 64, 1 << 20):
+        got = [[] for _ in TEXTS]
+        for grams, owner in trigrams(TEXTS, step):
+            for g, o in zip(grams.tolist(), owner.tolist(), strict=True):
+                got[o].append(g)
+        assert got == [plain_trigrams(t) for t in TEXTS], step
+
+
+def test_decoding_against_plain_python():
+    learn = {"en": ["the cat sat on the mat", "a dog and the cat"], "fr": ["le chat est sur la table", "un chien et le chat"], "de": ["die Katze sitzt auf der Matte", "ein Hund über der Katze"]}
+    model = Model({x: np.bincount(np.concatenate([plain_trigrams(t) for t in ts]), minlength=BUCKETS) for x, ts in learn.items()})
+    for text, (lang, score, _) in zip(TEXTS, model.predict(TEXTS), strict=True):
+        grams = plain_trigrams(text)
+        if not grams:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        loss = []
+        for word in model.code:
+            total = 0.0
+            for k, bit in enumerate(word):
+                margin = sum(float(model.odds[g, k]) for g in grams) / len(grams) * math.sqrt(len(grams) / (1 + len(grams) / INDEPENDENT))
+                total += model.weight[k] * math.log1p(math.exp(-margin * int(bit)))
+            loss.append(total)
+        chance = [math.exp(-(x - min(loss))) for x in loss]
+        assert lang == model.langs[int(np.argmin(loss))]
+        assert abs(score - max(chance) / sum(chance)) < 1e-6
+
+
+def test_many_languages_and_a_long_text():
+    rng = np.random.default_rng(1)
+    model = Model({f"l{i}": rng.integers(0, 50, BUCKETS) for i in range(60)})
+    found = model.predict(["the cat " * 40_000, "the cat"])
+    assert len(found) == 2 and all(x.startswith("l") and 0 <= s <= 1 for x, s, _ in found)
