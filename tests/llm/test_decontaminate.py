@@ -54,6 +54,28 @@ def test_no_occurrence_is_lost(rate):
         assert got.get(i, 0) <= len(item)
 
 
+def test_all_pieces_of_many_texts_are_found():
+    """The hashed look-up against a plain search, in blocks of texts, with pieces longer than the hash covers."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 3)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(1, 30)))) for i in range(40)]
+    for rate in (0.0, 0.02, 0.1):
+        matcher = dc.Matcher(items, rate, 12)
+        texts = [" ".join(word() for _ in range(60)) + " " + rng.choice(items)[1] for _ in range(20)] + ["", items[3][1]]
+        whole = "\n".join(map(dc.fold, texts))
+        expected = set()
+        for k, (_, text, budget) in enumerate(matcher.items):
+            for part in dc.pieces(k, text, budget):
+                at = whole.find(part.text)
+                while at >= 0:
+                    expected.add((at, k, part.start, len(part.text)))
+                    at = whole.find(part.text, at + 1)
+        found = list(matcher.hits(whole))
+        exact = {h for h in found if whole.startswith(matcher.items[h[1]][1][h[2] : h[2] + h[3]], h[0])}
+        assert exact == expected and [h[0] for h in found] == sorted(h[0] for h in found)
+        assert matcher.find_all(texts) == [matcher.find(t) for t in texts]
+
+
 def test_short_items_match_whole_and_on_word_borders():
     matcher = dc.Matcher([(1, "What is pi?"), (2, "pi"), (3, "法国的首都是哪里？"), (4, " -- "), (5, "수도는 어디"), (6, "long enough to have a budget")], 0.1, 12)
     found = lambda text: sorted(x[:3] for x in matcher.find(text))
