@@ -6,13 +6,15 @@ over the set. So two permutations stand for any number of hash functions. Coordi
 bands; documents that agree on a band are candidates. The number of bands follows from the
 threshold, so that two documents at the threshold share no band with a chance of at most ``miss``.
 
-No bucket is expanded into its pairs. Documents with equal sets form classes; each bucket's classes
-are compared, on the full sets, with its most central class (a star): the one that shares the most
-buckets with others, as the original of a group of copies does. Where a bucket still holds several
-components after that, its classes are dealt into blocks, and pairs of blocks are compared inside tasks:
-classes of one component, or of sizes that cannot reach the threshold, are passed over, and a pair is
-looked at only in the first bucket that it shares. Thus every candidate pair ends verified or inside one
-component, and rows grow with bucket size times blocks. Components are found by joins.
+No bucket is expanded into its pairs. Documents with equal sets, by a digest of 128 bits, form classes;
+each bucket's classes are compared, on the full sets, with its most central class (a star): the one that
+shares the most buckets with others, as the original of a group of copies does. Where a bucket still holds
+several components after that, the classes of its largest component are dealt into blocks, and those of all
+others into blocks of their own; the others are compared with both inside tasks, the largest component
+never with itself. Classes of one component, or of sizes that cannot reach the threshold, are passed over, and
+a pair is looked at only in the first bucket that it shares. Thus every candidate pair ends verified or
+inside one component, and rows grow with the size of a bucket times the blocks of classes outside its
+largest component: linearly, while few stay outside. Components are found by joins.
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing;
 fewer words than a shingle has make one shingle; rows of one doc_id are one document, except in
@@ -28,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ROW, U64, blocks, keyed, lean, materialize, mix, pick, remove, shingle_hashes, text_views, without, word_table, work_path
+from .common import LOWER, ROW, U64, blocks, keyed, lean, materialize, mix, pick, remove, salted, shingle_hashes, shuffle_partitions, text_views, without, word_table, work_path
 from .components import connected_components
 
 #: Places of the circle; a power of two.
@@ -40,8 +42,7 @@ ROWS_PER_BAND = 4
 #: Star edges of one hub that are compared in one group; sets of one hub are sent once per group.
 PER_HUB = 64
 #: Classes of one block of a bucket that is not settled by its star.
-BLOCK = 1024
-SALTS = 32
+BLOCK = 256
 
 
 def bands_needed(threshold: float, rows: int = ROWS_PER_BAND, miss: float = 1e-7) -> int:
@@ -75,56 +76,51 @@ def band_keys(signed: np.ndarray, bands: int, rows: int = ROWS_PER_BAND) -> np.n
 
 
 def shingle_sets(flat: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each row, cut to 48 bits: what sets are compared on."""
+    """Sorted distinct shingle hashes, of 64 bits, of each row: what sets are counted and compared on."""
     starts, _, words = word_table(LOWER[flat], bounds)
     first = np.searchsorted(starts, bounds)
-    return [np.unique(shingle_hashes(words[first[i] : first[i + 1]], width) >> U64(16)) for i in range(len(bounds) - 1)]
+    return [np.unique(shingle_hashes(words[first[i] : first[i + 1]], width)) for i in range(len(bounds) - 1)]
 
 
-def class_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
-def _packed(shingles: np.ndarray) -> bytes:
-    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def digest_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+    return np.frombuffer(raw, "<u8")
 
 
 def sign(docs: DataFrame, width: int, threshold: tuple[int, int], bands: int) -> DataFrame:
-    """doc_id, n, cls (null without words) and band keys. A set too small to reach the threshold with any other set has none."""
+    """doc_id, n, digest (null without words) and band keys. A set too small to reach the threshold with any other set has none."""
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text", 1 << 20):
-                sizes, classes, keys = [], [], []
+                sizes, digests, keys = [], [], []
                 for s in shingle_sets(*text_views(block.column(1)), width):
                     n = len(s)
                     sizes.append(n)
-                    classes.append(class_of(s) if n else None)
+                    digests.append(digest_of(s) if n else None)
                     reach = max(den * (n - 1) - num * n, den * n - num * (n + 1))  # with one shingle less or more
-                    keys.append(band_keys(signature(s << U64(16), bands * ROWS_PER_BAND), bands).tolist() if n and reach >= 0 else None)
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "bands"])
+                    keys.append(band_keys(signature(s, bands * ROWS_PER_BAND), bands).tolist() if n and reach >= 0 else None)
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "bands"])
 
-    return docs.mapInArrow(lean(run), "doc_id long, n long, cls long, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, digest binary, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cls, shingles) of the classes in ``wanted`` (cls, rep): their texts are fetched by id and cut anew."""
+    """(cls, shingles) of the classes in ``wanted`` (cls, digest, rep): their texts are fetched by id and cut anew."""
     chosen = docs.join(wanted.select("rep").distinct().hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text", 1 << 20):
                 sets = [s for s in shingle_sets(*text_views(block.column(0)), width) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([_packed(s) for s in sets], pa.binary())], names=["cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["digest", "shingles"])
 
-    return chosen.select("text").mapInArrow(lean(run), "cls long, shingles binary")
+    found = chosen.select("text").mapInArrow(lean(run), "digest binary, shingles binary")
+    return found.join(wanted.select("digest", "cls"), "digest").select("cls", "shingles").dropDuplicates(["cls"])
 
 
 def _reaches(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int]) -> bool:
@@ -163,20 +159,32 @@ def _verified(edges: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
     return rows.mapInArrow(lean(run), "a long, b long")
 
 
-def _block_links(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links between components in buckets: rows (key, cls, label, n, size, bands, shingles) -> (a, b).
+def _block_links(rows: DataFrame, tops: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links between components in buckets: rows (key, cls, label, n, bands, shingles) and each bucket's largest component, tops (key, top, n_top, size) -> (a, b).
 
-    A bucket of one block is one group; a larger one has a group per pair of blocks, with 2 * BLOCK
-    classes at most or so, whatever the bucket's size.
+    A group holds a block of the largest component and one of the others (kind 0), or two blocks of the
+    others (kind 1): 2 * BLOCK classes or so, whatever the bucket's size.
     """
     num, den = threshold
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), n_blocks).cast("int")
-    dealt = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "label", "n", "bands", "shingles")
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    dealt = salted(rows, tops, "key", "cls").withColumn("inner", F.col("label") == F.col("top"))
+    blocks_in, blocks_out = (F.ceil(n / BLOCK).cast("int") for n in (F.col("n_top"), F.col("size") - F.col("n_top")))
+    place = F.struct(F.lit(0).alias("kind"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"))
+
+    def at(kind: int, lo: Column, hi: Column, side: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), side.cast("int").alias("side"))
 
-    def compare(key: int, lo: int, hi: int, held: list[tuple]) -> list[tuple[int, int]]:
+    def each(many: Column, f) -> Column:
+        return F.when(many > 0, F.transform(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), f)).otherwise(F.array_remove(F.array(place), place))
+
+    own_in, own_out = (F.pmod(F.xxhash64("cls"), F.greatest(b, F.lit(1))).cast("int") for b in (blocks_in, blocks_out))
+    inner = each(blocks_out, lambda k: at(0, own_in, k, F.lit(0)))
+    with_inner = each(blocks_in, lambda k: at(0, k, own_out, F.lit(1)))
+    with_others = each(blocks_out, lambda k: at(1, F.least(own_out, k), F.greatest(own_out, k), own_out > k))
+    dealt = dealt.withColumn("g", F.explode(F.when(F.col("inner"), inner).otherwise(F.concat(with_inner, with_others))))
+    dealt = dealt.select("key", "g.kind", "g.lo", "g.hi", "g.side", "cls", "label", "n", "bands", "shingles")
+    dealt = dealt.repartition("key", "kind", "lo", "hi").sortWithinPartitions("key", "kind", "lo", "hi")
+
+    def compare(key: int, kind: int, lo: int, hi: int, held: list[tuple]) -> list[tuple[int, int]]:
         top: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -185,12 +193,15 @@ def _block_links(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             return x
 
         out = []
-        block, cls, label, n = (np.array([x[i] for x in held]) for i in range(4))
+        side, cls, label, n = (np.array([x[i] for x in held]) for i in range(4))
         bands = np.array([x[4] for x in held])
-        for i in np.flatnonzero(block == lo):
-            like = (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & (label != label[i]) & (block == hi)
-            if lo == hi:
+        alone = kind == 1 and lo == hi
+        for i in range(len(held)) if alone else np.flatnonzero(side == 1):
+            like = (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & (label != label[i])
+            if alone:
                 like[: i + 1] = False
+            else:
+                like &= side == 0
             others = np.flatnonzero(like)
             if len(others) == 0:
                 continue
@@ -206,12 +217,12 @@ def _block_links(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         at, held = None, []
         for batch in batches:
             out: list[tuple[int, int]] = []
-            columns = [batch.column(i).to_pylist() for i in range(8)]
-            for key, lo, hi, *rest, raw in zip(*columns, batch.column(8), strict=True):
-                if at != (key, lo, hi):
+            columns = [batch.column(i).to_pylist() for i in range(9)]
+            for key, kind, lo, hi, *rest, raw in zip(*columns, batch.column(9), strict=True):
+                if at != (key, kind, lo, hi):
                     if held:
                         out += compare(*at, held)
-                    at, held = (key, lo, hi), []
+                    at, held = (key, kind, lo, hi), []
                 held.append((*rest, raw.as_py()))
             yield _pairs(out)
         if held:
@@ -238,12 +249,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, in
     bands = bands_needed(num / den) if num < den else 1
     signed = materialize(sign(texts, width, threshold, bands), f"{base}/signed")
 
-    # classes of equal sets; their first document stands for them
-    reps = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(reps, f"{base}/classes", 8)
-    first = signed.where("bands is not null").select("cls", "n", "bands").dropDuplicates(["cls"])  # bands depend on the set alone
-    first = materialize(first, f"{base}/first")
-    spread = first.select("cls", "n", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
+    # classes of equal sets, numbered as they are stored; their first document stands for them, and bands depend on the set alone
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), f"{base}/classes")
+    first = classes.where("bands is not null").select("cls", "n", "bands")
+    spread = first.select("cls", "n", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(shuffle_partitions(spark))))
 
     # buckets of two or more classes; hot ones are gathered by salt first, and joined back by salt
     def per_bucket(rows: DataFrame, **sums) -> DataFrame:
@@ -260,8 +270,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, in
     like = den * F.least("n", "hub.n") >= num * F.greatest("n", "hub.n")
     stars = members.join(hubs, ["key", "salt"]).where((F.col("cls") != F.col("hub.cls")) & like)
     stars = materialize(stars.groupBy(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).agg(F.max("size").alias("size")), f"{base}/stars", 8)
-    involved = members.select("cls").distinct().join(classes, "cls")
-    sets = materialize(_sets_of(texts, involved, width).dropDuplicates(["cls"]), f"{base}/sets")
+    involved = members.select("cls").distinct().join(classes.select("cls", "digest", "rep"), "cls")
+    sets = materialize(_sets_of(texts, involved, width), f"{base}/sets")
     links = materialize(_verified(stars, sets, threshold), f"{base}/links")
     labels = connected_components(links)
 
@@ -269,17 +279,21 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, in
     named = members.select("key", "salt", "cls", "n", "size").join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = materialize(named, f"{base}/named", 8)
     open_ = per_bucket(named, lo=(F.min, "label"), hi=(F.max, "label")).where("lo <> hi").select("key", "salt")
-    rest = named.join(open_, ["key", "salt"]).join(first.select("cls", "bands"), "cls").join(sets, "cls")
-    more = materialize(_block_links(rest, threshold), f"{base}/more")
-    if not more.isEmpty():
-        labels = connected_components(more, labels)
-
-    smallest = classes.join(labels, classes["cls"] == labels["id"], "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
+    rest = materialize(named.join(open_, ["key", "salt"]).select("key", "cls", "label", "n"), f"{base}/open", 8)
+    if not rest.isEmpty():
+        tops = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(F.max(F.struct("many", "label")).alias("most"), F.sum("many").alias("size"))
+        tops = tops.select("key", F.col("most.label").alias("top"), F.col("most.many").alias("n_top"), "size")
+        whole = rest.join(first.select("cls", "bands"), "cls").join(sets, "cls")
+        more = materialize(_block_links(whole, tops, threshold), f"{base}/more")
+        if not more.isEmpty():
+            labels = connected_components(more, labels)
+
+    smallest = classes.select("digest", "rep", "cls").join(labels, classes["cls"] == labels["id"], "left").select("digest", "rep", F.coalesce("label", "cls").alias("label"))
     tops = smallest.groupBy("label").agg(F.min("rep").alias("component"))
-    found = materialize(smallest.join(tops, "label").select("cls", "component"), f"{base}/found", 8)
-    for part in ("members", "central", "first", "stars", "sets", "links", "named", "more", "classes"):
+    found = materialize(smallest.join(tops, "label").select("digest", "component"), f"{base}/found", 8)
+    for part in ("members", "central", "stars", "sets", "links", "named", "open", "more", "classes"):
         remove(spark, f"{base}/{part}")
-    out = signed.select("doc_id", "n", "cls").join(found, "cls", "left")
+    out = salted(signed.select("doc_id", "n", "digest"), found, "digest", "doc_id", how="left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
