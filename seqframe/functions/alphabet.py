@@ -30,6 +30,13 @@ def detect_type(seq: Column) -> Column:
     return F.when(seq.rlike("[EFILPQefilpq*]"), "protein").otherwise("nucleotide")
 
 
+def nucleotides_only(seq: Column, seq_type: Column | None = None, strict: bool = True) -> Column:
+    """``seq`` where it is a nucleotide sequence; a protein is an error or, if not strict, null. Without ``seq_type`` the letters decide."""
+    protein = (detect_type(seq) if seq_type is None else seq_type) == "protein"
+    refused = F.raise_error(F.lit("a protein where only nucleotide sequences are defined")) if strict else F.lit(None)
+    return F.when(protein, refused.cast("string")).otherwise(seq)
+
+
 def canonical(seq: Column, seq_type: Column | None = None) -> Column:
     seq_type = detect_type(seq) if seq_type is None else seq_type
     return F.when(seq_type == "protein", canonical_protein(seq)).otherwise(canonical_nucleotides(seq))

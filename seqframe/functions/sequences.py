@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType
 
 from ..errors import SeqValueError
 from . import alphabet
+from .buffers import column_of, nulls, places, row_blocks, symbols, views
 
 #: The standard genetic code in the order AAA, AAC, AAG, AAT, ACA ... TTT.
 GENETIC_CODE = "KNKNTTTTRSRSIIMIQHQHPPPPRRRRLLLLEDEDAAAAGGGGVVVV*Y*YSSSS*CWCLFLF"
 #: Residues that replace each other with little effect.
 LIKE_RESIDUES = ("ST", "DE", "KR", "NQ", "LIVM", "FYW", "AG")
+#: The usual abbreviations of residues and names of bases.
 RESIDUE_NAMES = {
     "A": "Ala", "C": "Cys", "D": "Asp", "E": "Glu", "F": "Phe", "G": "Gly", "H": "His", "I": "Ile", "K": "Lys", "L": "Leu",
     "M": "Met", "N": "Asn", "P": "Pro", "Q": "Gln", "R": "Arg", "S": "Ser", "T": "Thr", "V": "Val", "W": "Trp", "Y": "Tyr", "*": "Stop",
@@ -77,8 +80,9 @@ def slice_sequence(seq: Column, start: int | None = None, stop: int | None = Non
 # --- composition and quality
 
 
-def gc_content(seq: Column) -> Column:
-    """Share of G and C; N and gaps count in the length; 0 for an empty sequence."""
+def gc_content(seq: Column, seq_type: Column | None = None, strict: bool = True) -> Column:
+    """Share of G and C; N and gaps count in the length; 0 for an empty sequence. A protein is an error or, if not strict, gives null."""
+    seq = alphabet.nucleotides_only(seq, seq_type, strict)
     n = F.length(seq)
     return F.when(n == 0, F.lit(0.0)).otherwise((n - F.length(F.translate(seq, "GC", ""))) / n)
 
@@ -109,17 +113,20 @@ def quality_scores(qual: Column) -> Column:
     return F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.least(F.greatest(F.ascii(c) - 33, F.lit(0)), F.lit(93)))
 
 
-@F.pandas_udf(LongType())
-def quality_sum(quals: pd.Series) -> pd.Series:
-    """Sum of the Phred scores. All rows of an Arrow batch are one array; four times as fast as an aggregate over each row's scores."""
-    import numpy as np
+#: The score of each byte; the bytes that continue a character count nothing.
+_SCORES = np.clip(np.arange(256) - 33, 0, 93).astype(np.uint8)
+_SCORES[0x80:0xC0] = 0
 
-    known = quals.notna()
-    texts = quals.where(known, "")
-    scores = np.clip(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64) - 33, 0, 93)
-    sums = np.concatenate([[0], np.cumsum(scores)])
-    ends = np.cumsum(texts.str.len().to_numpy(np.int64))
-    return pd.Series(sums[ends] - sums[ends - texts.str.len().to_numpy(np.int64)]).astype("Int64").where(known.reset_index(drop=True))
+
+@F.arrow_udf(LongType())
+def quality_sum(quals: pa.Array) -> pa.Array:
+    """Sum of the Phred scores; all rows of a batch are summed in one pass over its buffer."""
+    flat, bounds = views(quals)
+    sums = np.zeros(len(quals), np.int64)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        sums[some] = np.add.reduceat(_SCORES[flat], bounds[some], dtype=np.int64)
+    return pa.array(sums, pa.int64(), mask=nulls(quals))
 
 
 def mean_quality(qual: Column) -> Column:
@@ -134,59 +141,70 @@ def passes_quality(qual: Column, least: float) -> Column:
 # --- 5-bit packing (Arrow batches; bits have no string form worth their cost)
 
 
-def _pack(seqs: pd.Series, table: dict[str, int], unknown: int) -> pd.Series:
-    import numpy as np
+_SHIFTS = np.arange(35, -1, -5, dtype=np.uint64)
+
 
-    lut = np.full(256, unknown, np.uint8)
+def pack_column(seqs: pa.Array, table: dict[str, int], unknown: int) -> pa.Array:
+    """Eight symbols at a time are one number of 40 bits; what a row's last group has too much is cut off."""
+    lut = np.full(256, unknown, np.uint64)
     for c, v in table.items():
         lut[ord(c)] = v
-
-    def one(seq: str | None) -> bytes | None:
-        if seq is None:
-            return None
-        found = lut[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
-        return np.packbits(((found[:, None] >> np.arange(4, -1, -1)) & 1).reshape(-1).astype(np.uint8)).tobytes()
-
-    return seqs.map(one)
-
-
-@F.pandas_udf(BinaryType())
-def pack_nucleotides(seqs: pd.Series) -> pd.Series:
-    """The 5-bit stream of a canonical nucleotide sequence, most significant bits first, padded with zeros."""
-    return _pack(seqs, alphabet.NUCLEOTIDE_CODES, alphabet.UNKNOWN)
-
-
-@F.pandas_udf(BinaryType())
-def pack_protein(seqs: pd.Series) -> pd.Series:
-    return _pack(seqs, alphabet.PROTEIN_CODES, alphabet.UNKNOWN)
-
-
-def _unpack(packed: pd.Series, n: pd.Series, table: dict[str, int]) -> pd.Series:
-    import numpy as np
-
+    flat, bounds = symbols(seqs)
+    out, sizes = [], np.diff(bounds)
+    for lo, hi in row_blocks(bounds):
+        n = sizes[lo:hi]
+        groups = -(-n // 8)
+        padded = np.zeros(int(groups.sum()) * 8, np.uint64)
+        padded[places(8 * (np.cumsum(groups) - groups), n)] = lut[flat[bounds[lo] : bounds[hi]]]
+        words = (padded.reshape(-1, 8) << _SHIFTS).sum(axis=1, dtype=np.uint64)
+        raw = words.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].reshape(-1)
+        out.append(raw[places(5 * (np.cumsum(groups) - groups), (5 * n + 7) // 8)])
+    return column_of(np.concatenate(out) if out else np.zeros(0, np.uint8), (5 * sizes + 7) // 8, nulls(seqs), pa.binary())
+
+
+def unpack_column(packed: pa.Array, n: pa.Array, table: dict[str, int]) -> pa.Array:
     signs = np.full(32, ord("?"), np.uint8)
     for c, v in table.items():
         signs[v] = ord(c)
+    null = nulls(packed, n)
+    flat, bounds = views(packed)
+    sizes = np.where(null, 0, n.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    held = np.diff(bounds)
+    wrong = np.flatnonzero(~null & ((sizes < 0) | (8 * held < 5 * sizes)))
+    if len(wrong):
+        raise SeqValueError(f"{held[wrong[0]]} bytes do not hold {sizes[wrong[0]]} symbols")
+    out = []
+    for lo, hi in row_blocks(bounds):
+        m = sizes[lo:hi]
+        groups, need = -(-m // 8), (5 * m + 7) // 8
+        raw = np.zeros((int(groups.sum()), 8), np.uint8)
+        tail = np.zeros(int(groups.sum()) * 5, np.uint8)
+        tail[places(5 * (np.cumsum(groups) - groups), need)] = flat[places(bounds[lo:hi], need)]
+        raw[:, 3:] = tail.reshape(-1, 5)
+        codes = (raw.reshape(-1).view(">u8").astype(np.uint64)[:, None] >> _SHIFTS & np.uint64(31)).reshape(-1)
+        out.append(signs[codes[places(8 * (np.cumsum(groups) - groups), m)]])
+    return column_of(np.concatenate(out) if out else np.zeros(0, np.uint8), sizes, null, pa.string())
+
+
+@F.arrow_udf(BinaryType())
+def pack_nucleotides(seqs: pa.Array) -> pa.Array:
+    """The 5-bit stream of a canonical nucleotide sequence, most significant bits first, padded with zeros."""
+    return pack_column(seqs, alphabet.NUCLEOTIDE_CODES, alphabet.UNKNOWN)
 
-    def one(raw: bytes | None, n: int | None) -> str | None:
-        if raw is None or n is None:
-            return None
-        if n < 0 or len(raw) * 8 < 5 * n:
-            raise SeqValueError(f"{len(raw)} bytes do not hold {n} symbols")
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8))[: 5 * n].reshape(n, 5)
-        return signs[bits @ (1 << np.arange(4, -1, -1))].tobytes().decode()
 
-    return pd.Series([one(a, b) for a, b in zip(packed, n, strict=True)], dtype=object)
+@F.arrow_udf(BinaryType())
+def pack_protein(seqs: pa.Array) -> pa.Array:
+    return pack_column(seqs, alphabet.PROTEIN_CODES, alphabet.UNKNOWN)
 
 
-@F.pandas_udf(StringType())
-def unpack_nucleotides(packed: pd.Series, n: pd.Series) -> pd.Series:
-    return _unpack(packed, n, alphabet.NUCLEOTIDE_CODES)
+@F.arrow_udf(StringType())
+def unpack_nucleotides(packed: pa.Array, n: pa.Array) -> pa.Array:
+    return unpack_column(packed, n, alphabet.NUCLEOTIDE_CODES)
 
 
-@F.pandas_udf(StringType())
-def unpack_protein(packed: pd.Series, n: pd.Series) -> pd.Series:
-    return _unpack(packed, n, alphabet.PROTEIN_CODES)
+@F.arrow_udf(StringType())
+def unpack_protein(packed: pa.Array, n: pa.Array) -> pa.Array:
+    return unpack_column(packed, n, alphabet.PROTEIN_CODES)
 
 
 # --- translation
@@ -197,27 +215,29 @@ def find_orf(seq: Column) -> Column:
     return F.locate("ATG", seq) - 1
 
 
-def _residues(codings: pd.Series, ambiguous: str, to_stop: bool) -> pd.Series:
-    """A batch's codons as one array: three table look-ups a codon, whatever the number of rows."""
-    import numpy as np
-
+def translate_column(codings: pa.Array, ambiguous: str, to_stop: bool) -> pa.Array:
+    """The residues of all whole codons of all rows by table look-ups on the batch's buffer."""
     code = np.full(256, alphabet.UNKNOWN, np.int16)
     for c, v in alphabet.NUCLEOTIDE_CODES.items():
         code[ord(c)] = v
-    known = [c is not None for c in codings]
-    whole = [c[: len(c) - len(c) % 3] if k else "" for c, k in zip(codings, known, strict=True)]
-    found = code[np.frombuffer("".join(whole).encode("ascii", "replace"), np.uint8)].reshape(-1, 3)
-    place = found @ np.array([16, 4, 1], np.int16)
-    good = place < 64 if ambiguous == "alias" else (found < 4).all(axis=1)
     signs = np.frombuffer(GENETIC_CODE.encode(), np.uint8)
-    text = np.where(good, signs[np.where(good, place, 0)], ord("X")).astype(np.uint8).tobytes().decode()
-    out, at = [], 0
-    for w, k in zip(whole, known, strict=True):
-        end = at + len(w) // 3
-        stop = text.find("*", at, end) if to_stop else -1
-        out.append(text[at : end if stop < 0 else stop] if k else None)
-        at = end
-    return pd.Series(out, dtype=object)
+    flat, bounds = symbols(codings)
+    sizes, out = np.diff(bounds) // 3, []
+    for lo, hi in row_blocks(bounds):
+        n = sizes[lo:hi]
+        at = places(bounds[lo:hi], n, 3)
+        a, b, c = (code[flat[at + k]] for k in range(3))
+        place = 16 * a + 4 * b + c
+        good = place < 64 if ambiguous == "alias" else (a < 4) & (b < 4) & (c < 4)
+        found = np.where(good, signs[np.where(good, place, 0)], np.uint8(ord("X")))
+        if to_stop:
+            first = np.cumsum(n) - n
+            stops = np.append(np.flatnonzero(found == ord("*")), len(found))
+            kept = np.minimum(stops[np.searchsorted(stops, first)], first + n) - first
+            found = found[places(first, kept)]
+            sizes[lo:hi] = kept
+        out.append(found)
+    return column_of(np.concatenate(out) if out else np.zeros(0, np.uint8), sizes, nulls(codings), pa.string())
 
 
 def translate_codons(coding: Column, ambiguous: str = "strict", to_stop: bool = False) -> Column:
@@ -229,9 +249,9 @@ def translate_codons(coding: Column, ambiguous: str = "strict", to_stop: bool =
     if ambiguous not in ("strict", "alias"):
         raise SeqValueError("ambiguous must be 'strict' or 'alias'")
 
-    @F.pandas_udf(StringType())
-    def run(codings: pd.Series) -> pd.Series:
-        return _residues(codings, ambiguous, to_stop)
+    @F.arrow_udf(StringType())
+    def run(codings: pa.Array) -> pa.Array:
+        return translate_column(codings, ambiguous, to_stop)
 
     return run.asNondeterministic()(coding)  # so that a filter on the protein does not translate twice
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SeqValueError
+from ..functions.alphabet import nucleotides_only
 
 
 def windows(seq: Column, k: int) -> Column:
@@ -15,13 +16,22 @@ def windows(seq: Column, k: int) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
 
 
-def explode_kmers(reads: DataFrame, k: int, seq_col: str = "seq", *keep: str) -> DataFrame:
-    return reads.select(*keep, F.explode(windows(F.col(seq_col), k)).alias("kmer"))
+def explode_kmers(reads: DataFrame, k: int, seq_col: str = "seq", *keep: str, strict: bool = True) -> DataFrame:
+    """The k-mers of all sequences; a protein is an error or, if not strict, has none."""
+    return reads.select(*keep, F.explode(windows(nucleotides_only(F.col(seq_col), strict=strict), k)).alias("kmer"))
 
 
-def explode_distinct(reads: DataFrame, k: int, seq_col: str = "seq", *keep: str) -> DataFrame:
+def explode_distinct(reads: DataFrame, k: int, seq_col: str = "seq", *keep: str, strict: bool = True) -> DataFrame:
     """Each sequence's k-mers once: enough for sets of k-mers, and far fewer rows."""
-    return reads.select(*keep, F.explode(F.array_distinct(windows(F.col(seq_col), k))).alias("kmer"))
+    return reads.select(*keep, F.explode(F.array_distinct(windows(nucleotides_only(F.col(seq_col), strict=strict), k))).alias("kmer"))
+
+
+def kmer_set(reads: DataFrame, k: int, seq_col: str = "seq", *, strict: bool = True) -> DataFrame:
+    """(kmer): the distinct k-mers of all sequences. Each task makes its own distinct before the shuffle, on numbers where k allows it."""
+    each = explode_distinct(reads, k, seq_col, strict=strict)
+    if k > 31:
+        return each.distinct()
+    return each.select(kmer_id(F.col("kmer")).alias("place")).distinct().select(kmer_text(F.col("place"), k).alias("kmer"))
 
 
 def kmer_id(kmer: Column) -> Column:
@@ -33,9 +43,9 @@ def kmer_text(place: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(place.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
-def spectrum(reads: DataFrame, k: int, seq_col: str = "seq") -> DataFrame:
-    """(kmer, kmer_id, n) of the k-mers that occur; counts are summed in each task before the shuffle."""
-    counts = explode_kmers(reads, k, seq_col).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+def spectrum(reads: DataFrame, k: int, seq_col: str = "seq", *, strict: bool = True) -> DataFrame:
+    """(kmer, kmer_id, n) of the k-mers that occur; counts are summed in each task before the shuffle. A protein is an error or, if not strict, is left out."""
+    counts = explode_kmers(reads, k, seq_col, strict=strict).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("kmer", kmer_id(F.col("kmer")).alias("kmer_id"), "n")
 
 

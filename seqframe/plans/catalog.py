@@ -9,11 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import report
 from ..functions import alphabet as al
 from ..functions import sequences as sq
 from ..functions import sql as sqlfunctions
 from ..operators import alignment as an
-from ..operators import frames, kmers, mutations
+from ..operators import frames, kmers, mutations, records
 from ..operators import quality_control as qc
 from ..sources import bgzf, fasta, fastq
 from ..streaming import streams
@@ -248,12 +249,12 @@ def kmer_topk(spark, d):
 
 @query(f"select kmer from {_win('reads', 'read_id', 6)} w intersect select kmer from {_win('genes', 'gene_id', 6)} v")
 def kmer_intersect(spark, d):
-    return kmers.explode_distinct(view(spark, d, "reads"), 6).intersect(kmers.explode_distinct(view(spark, d, "genes"), 6))
+    return kmers.kmer_set(view(spark, d, "reads"), 6).intersect(kmers.kmer_set(view(spark, d, "genes"), 6))
 
 
 @query(f"select kmer from {_win('reads', 'read_id', 6)} w except select kmer from {_win('genes', 'gene_id', 6)} v")
 def kmer_except(spark, d):
-    return kmers.explode_distinct(view(spark, d, "reads"), 6).subtract(kmers.explode_distinct(view(spark, d, "genes"), 6))
+    return kmers.kmer_set(view(spark, d, "reads"), 6).subtract(kmers.kmer_set(view(spark, d, "genes"), 6))
 
 
 @query(f"select cast(count(distinct kmer) as bigint) as n from {_win('reads', 'read_id', 7)} w")
@@ -360,22 +361,54 @@ def mutation_counts(spark, d):
     return found.groupBy("pair_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select pair_id, p as pos_a, p as pos_b, substr(a, p + 1, 1) as sym_a, substr(b, p + 1, 1) as sym_b from {alleles} x where kind = 'substitution'")
+# a lost or gained symbol stands at the first of the equal symbols beside it
+_SPOT = "cast(case kind when 'deletion' then length(rtrim(substr(a, 1, p + 1), substr(a, p + 1, 1))) when 'insertion' then length(rtrim(substr(b, 1, p + 1), substr(b, p + 1, 1))) else p end as int)"
+_LOST, _GAINED = "substr(a, p + 1, 1)", "substr(b, p + 1, 1)"
+
+
+@query(f"select pair_id, kind, {_SPOT} as pos_a, {_SPOT} as pos_b, case kind when 'insertion' then '-' else {_LOST} end as sym_a, case kind when 'deletion' then '-' else {_GAINED} end as sym_b from {{alleles}} x where kind <> 'identical'")
 def mutation_positions(spark, d):
-    strings = _aligned(spark, d).where("kind = 'substitution'").select("pair_id", "alignment.aligned_a", "alignment.aligned_b")
-    return mutations.mutations_from_strings(strings, "pair_id").drop("kind")
+    strings = _aligned(spark, d).select("pair_id", "alignment.aligned_a", "alignment.aligned_b")
+    return mutations.mutations_from_strings(strings, "pair_id")
 
 
-@query("select pair_id, 'SUB a[' || p || ']=' || substr(a, p + 1, 1) || ' b[' || p || ']=' || substr(b, p + 1, 1) as line from {alleles} x where kind = 'substitution'")
+@query(f"select pair_id, case kind when 'substitution' then 'SUB a[' || p || ']=' || {_LOST} || ' b[' || p || ']=' || {_GAINED} when 'deletion' then 'DEL a[' || {_SPOT} || ']=' || {_LOST} else 'INS b[' || {_SPOT} || ']=' || {_GAINED} end as line from {{alleles}} x where kind <> 'identical'")
 def mutation_text(spark, d):
-    found = mutations.explode_mutations(_aligned(spark, d).where("kind = 'substitution'").drop("kind"), "pair_id")
+    found = mutations.explode_mutations(_aligned(spark, d).drop("kind"), "pair_id")
     return found.select("pair_id", sq.mutation_text(*(F.col(c) for c in ("kind", "pos_a", "pos_b", "sym_a", "sym_b"))).alias("line"))
 
 
-@query("select pair_id, a || chr(10) || array_to_string(list_transform(range(1, 33), lambda i: case when substr(a, i, 1) = substr(b, i, 1) then '|' else 'X' end), '') || chr(10) || b as text from {alleles} x where kind in ('identical', 'substitution')")
+_LINES = f"(select pair_id, case kind when 'insertion' then substr(a, 1, {_SPOT}) || '-' || substr(a, {_SPOT} + 1) else a end as x, case kind when 'deletion' then substr(b, 1, {_SPOT}) || '-' || substr(b, {_SPOT} + 1) else b end as y from {{alleles}} t)"
+
+
+@query(f"select pair_id, x || chr(10) || array_to_string(list_transform(range(1, length(x) + 1), lambda i: case when substr(x, i, 1) = substr(y, i, 1) then '|' when substr(x, i, 1) = '-' or substr(y, i, 1) = '-' then ' ' else 'X' end), '') || chr(10) || y as text from {_LINES} z")
 def alignment_format(spark, d):
-    found = _aligned(spark, d).where("kind in ('identical', 'substitution')")
-    return found.select("pair_id", an.format_alignment(F.col("alignment.aligned_a"), F.col("alignment.aligned_b"), 60).alias("text"))
+    return _aligned(spark, d).select("pair_id", an.format_alignment(F.col("alignment.aligned_a"), F.col("alignment.aligned_b"), 60).alias("text"))
+
+
+_UNLIKE = {0: "a", 1: "''", 2: "null", 3: "a || '-'", 4: "a || 'é'", 5: "a || a", 6: "substr(a, 1, 20)"}
+_ODD = "case pair_id % 8 " + " ".join(f"when {k} then {v}" for k, v in _UNLIKE.items()) + " else a end"
+_WRONG = "case pair_id % 8 when 1 then 'empty sequence' when 2 then 'missing sequence' when 3 then 'gap symbol in a sequence' when 4 then 'symbol outside the alphabet' when 5 then 'longer than 60 symbols' when 6 then 'band narrower than the difference of lengths' end"
+
+
+@query(f"select pair_id, {_WRONG} as problem, case when pair_id % 8 in (0, 7) then cast(case kind when 'identical' then 64 when 'substitution' then 61 when 'deletion' then 60 else 62 end as int) end as score from {{alleles}} x")
+def alignment_problems(spark, d):
+    pairs = view(spark, d, "alleles").select("pair_id", F.expr(_ODD).alias("a"), "b")
+    return an.align_pairs(pairs, band=5, most=60).select("pair_id", "alignment.problem", "alignment.score")
+
+
+_CELL = "case when substr(a, i + 1, 1) = substr(b, {j}, 1) then 2 else -1 end"
+
+
+@query(f"""with recursive p as (select pair_id, a, b, length(a) as n from {{coding}} x),
+ w as (select pair_id, a, b, n, 0 as i, -100000 as lo, 0 as mid, -2 as hi from p
+  union all select pair_id, a, b, n, i + 1, l, greatest(m0, l - 2), greatest(h0, greatest(m0, l - 2) - 2) from (
+   select pair_id, a, b, n, i, greatest(case when i >= 1 then lo + {_CELL.format(j="i")} else -100000 end, mid - 2) as l, greatest(mid + {_CELL.format(j="i + 1")}, hi - 2) as m0,
+    case when i + 2 <= n then hi + {_CELL.format(j="i + 2")} else -100000 end as h0 from w where i < n) y)
+ select pair_id, cast(mid as int) as score from w where i = n""")
+def coding_score(spark, d):
+    """The oracle looks one place to either side of the diagonal only: more gaps cannot outweigh the three mismatches that a codon may have."""
+    return an.align_pairs(view(spark, d, "coding").select("pair_id", "a", "b")).select("pair_id", "alignment.score")
 
 
 # --- pipeline
@@ -389,10 +422,10 @@ def _piped(spark, d):
     return mutations.mutation_pipeline(view(spark, d, "coding").select("pair_id", "a", "b", "kind"))
 
 
-@query("select pair_id, concat('M', translate(h, '0123456789abcdef', 'ACDEFGHIKLNPQRSV')) as protein_a, cast(case kind when 'missense' then 63 else 66 end as int) as protein_score, cast(case kind when 'missense' then 32 else 33 end as int) as protein_matches, cast(case kind when 'identical' then 204 when 'synonymous' then 201 end as int) as dna_score from {coding} x")
+@query(f"select x.pair_id, concat('M', translate(h, '0123456789abcdef', 'ACDEFGHIKLNPQRSV')) as protein_a, cast(case kind when 'missense' then 63 else 66 end as int) as protein_score, cast(case kind when 'missense' then 32 else 33 end as int) as protein_matches, s.score as dna_score from {{coding}} x join ({ORACLES['coding_score'].replace('{', '{{').replace('}', '}}')}) s on x.pair_id = s.pair_id")
 def mutation_pipeline(spark, d):
     found = _piped(spark, d)
-    return found.select("pair_id", "protein_a", F.col("protein.score").alias("protein_score"), F.col("protein.n_matches").alias("protein_matches"), F.when(F.col("kind") != "missense", F.col("dna.score")).alias("dna_score"))
+    return found.select("pair_id", "protein_a", F.col("protein.score").alias("protein_score"), F.col("protein.n_matches").alias("protein_matches"), F.col("dna.score").alias("dna_score"))
 
 
 @query("select pair_id, kind = 'synonymous' as silent from {coding} x")
@@ -415,11 +448,72 @@ def read_group_join(spark, d):
     return view(spark, d, "reads").join(events, "read_id").select("read_id", sq.gc_content(F.col("seq")).alias("gc"), "event_type")
 
 
-@query(f"with o as (select read_id, instr(seq, 'ATG') - 1 as lo, instr(seq, 'ATG') - 1 + 3 * length({_protein('c')}) as hi from (select read_id, seq, substr(seq, instr(seq, 'ATG')) as c from {{reads}} r where instr(seq, 'ATG') > 0) x), m as (select pair_id % 1000 as read_id, pair_id, p from {{alleles}} a where kind = 'substitution') select m.pair_id, o.read_id, m.p as pos from m join o on m.read_id = o.read_id and m.p >= o.lo and m.p < o.hi")
+@query(f"with o as (select read_id, instr(seq, 'ATG') - 1 as lo, instr(seq, 'ATG') - 1 + 3 * length({_protein('c')}) as hi from (select read_id, seq, substr(seq, instr(seq, 'ATG')) as c from {{reads}} r where instr(seq, 'ATG') > 0) x), m as (select pair_id, p from {{alleles}} a where kind <> 'identical') select m.pair_id, o.read_id, m.p as pos from m join o on m.pair_id = o.read_id and m.p >= o.lo and m.p < o.hi")
 def orf_interval_join(spark, d):
     orfs = view(spark, d, "reads").select("read_id", sq.find_orf(F.col("seq")).alias("lo"), sq.translate_orf(F.col("seq")).alias("x")).where("lo >= 0").select("read_id", "lo", (F.col("lo") + 3 * F.length("x")).alias("hi"))
-    subs = view(spark, d, "alleles").where("kind = 'substitution'").select((F.col("pair_id") % 1000).alias("read_id"), "pair_id", F.col("p").alias("pos"))
-    return subs.join(orfs, "read_id").where("pos >= lo and pos < hi").select("pair_id", "read_id", "pos")
+    changes = view(spark, d, "alleles").where("kind <> 'identical'").select("pair_id", F.col("p").alias("pos"))
+    return changes.join(orfs, F.col("pair_id") == F.col("read_id")).where("pos >= lo and pos < hi").select("pair_id", "read_id", "pos")
+
+
+# --- records, types and reports
+
+
+@query("select src, id, case when seq_type = 'nucleotide' then case when length(seq) = 0 then 0.0 else (length(seq) - length(translate(seq, 'GC', ''))) / length(seq) end end as gc from (select 'g' as src, gene_id as id, seq, 'nucleotide' as seq_type from {genes} g union all select 'p', prot_id, seq, case when regexp_matches(seq, '[EFILPQefilpq*]') then 'protein' else 'nucleotide' end from {proteins} p) x")
+def gc_typed(spark, d):
+    both = _both_types(spark, d)
+    return both.select("src", "id", sq.gc_content(F.col("seq"), F.col("seq_type"), strict=False).alias("gc"))
+
+
+def _both_types(spark, d):
+    g = view(spark, d, "genes").select(F.lit("g").alias("src"), F.col("gene_id").alias("id"), "seq")
+    both = g.unionByName(view(spark, d, "proteins").select(F.lit("p").alias("src"), F.col("prot_id").alias("id"), "seq"))
+    return both.withColumn("seq_type", al.detect_type(F.col("seq")))
+
+
+@query(f"select kmer, cast(count(*) as bigint) as n from (select gene_id, kmer from {_win('genes', 'gene_id', 3)} w union all select prot_id, kmer from {_win('proteins', 'prot_id', 3)} v where prot_id not in (select prot_id from {{proteins}} p where regexp_matches(seq, '[EFILPQefilpq*]'))) x group by kmer")
+def kmer_typed(spark, d):
+    return kmers.spectrum(_both_types(spark, d), 3, strict=False).select("kmer", "n")
+
+
+@query("select prot_id, case when regexp_matches(p.seq, '[EFILPQefilpq*]') or length(p.seq) = 0 or length(g.seq) = 0 then case when regexp_matches(p.seq, '[EFILPQefilpq*]') then 'unlike types' else 'empty' end else 'alike' end as verdict from {proteins} p join {genes} g on p.prot_id = g.gene_id")
+def pair_types(spark, d):
+    g = view(spark, d, "genes").select(F.col("gene_id").alias("prot_id"), F.substr("seq", F.lit(1), F.lit(30)).alias("b"))
+    short = F.concat(F.substr("seq", F.lit(1), F.lit(30)), F.regexp_extract("seq", "[EFILPQ]", 0))  # short pairs of the whole sequences' types
+    pairs = view(spark, d, "proteins").select("prot_id", short.alias("a")).join(g, "prot_id")
+    found = mutations.mutation_pipeline(pairs, "dna")
+    verdict = F.when(F.col("effective_mode").isNull(), "unlike types").when(F.col("dna.score").isNull(), "empty").otherwise("alike")
+    return found.select("prot_id", verdict.alias("verdict"))
+
+
+_NAMED = "case r " + " ".join(f"when '{k}' then '{v}'" for k, v in sq.RESIDUE_NAMES.items()) + " else r end"
+_BASE = "case b " + " ".join(f"when '{k}' then '{v}'" for k, v in sq.BASE_NAMES.items()) + " else b end"
+
+
+@query(f"select src, name, cast(count(*) as bigint) as n from (select 'residue' as src, {_NAMED} as name from (select substr(seq, i, 1) as r from (select seq, unnest(range(1, length(seq) + 1)) as i from {{proteins}} p) x) y union all select 'base', {_BASE} from (select substr(seq, i, 1) as b from (select seq, unnest(range(1, length(seq) + 1)) as i from {{reads}} r) x) y) z group by src, name")
+def symbol_names(spark, d):
+    each = lambda name, src: view(spark, d, name).select(F.lit(src).alias("src"), F.explode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("c")).groupBy("src", "c").agg(F.count(F.lit(1)).alias("n"))
+    residues = each("proteins", "residue").select("src", sq.residue_name(F.col("c")).alias("name"), "n")
+    return residues.unionByName(each("reads", "base").select("src", sq.base_name(F.col("c")).alias("name"), "n"))
+
+
+@query("select gene_id, cast(coalesce(sum(length(seq)) over (order by gene_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start, cast(sum(length(seq)) over (order by gene_id) as bigint) as stop from {genes} g")
+def offset_table(spark, d):
+    return records.offsets(view(spark, d, "genes").select("gene_id", F.length("seq").alias("n")), "gene_id", F.col("n")).select("gene_id", "start", "stop")
+
+
+@query("select cast(place as int) as place, read_id, seq from (select 0 as place, * from (select read_id, seq from {reads} r order by read_id limit 1) a union all select 7, * from (select read_id, seq from {reads} r order by read_id limit 1 offset 7) b union all select -3, * from (select read_id, seq from {reads} r order by read_id desc limit 1 offset 2) c) x")
+def record_access(spark, d):
+    reads = view(spark, d, "reads").select("read_id", "seq")
+    out = [records.record_at(reads, "read_id", i).withColumn("place", F.lit(i)) for i in (0, 7, -3, 10**9)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+_CHANGE = "case when kind = 'substitution' then '  ' || (p + 1) || ': ' || " + _BASE.replace("case b", f"case {_LOST}").replace("else b", f"else {_LOST}") + " || ' to ' || " + _BASE.replace("case b", f"case {_GAINED}").replace("else b", f"else {_GAINED}") + f" when kind = 'deletion' then '  ' || ({_SPOT} + 1) || ': ' || " + _BASE.replace("case b", f"case {_LOST}").replace("else b", f"else {_LOST}") + f" || ' lost' else '  ' || ({_SPOT} + 1) || ' of the query: ' || " + _BASE.replace("case b", f"case {_GAINED}").replace("else b", f"else {_GAINED}") + " || ' gained' end"
+
+
+@query(f"select pair_id, case kind when 'identical' then 'dna: score 64, identity 100.00 %, substitutions 0, deletions 0, insertions 0' when 'substitution' then 'dna: score 61, identity 96.88 %, substitutions 1, deletions 0, insertions 0' when 'deletion' then 'dna: score 60, identity 96.88 %, substitutions 0, deletions 1, insertions 0' else 'dna: score 62, identity 96.97 %, substitutions 0, deletions 0, insertions 1' end || case when kind = 'identical' then '' else chr(10) || {_CHANGE} end as text from {{alleles}} x")
+def mutation_report(spark, d):
+    return report.mutation_reports(mutations.mutation_pipeline(view(spark, d, "alleles").select("pair_id", "a", "b"), "dna"), "pair_id")
 
 
 # --- files
@@ -460,6 +554,75 @@ def bgzf_roundtrip(spark, d):
     return fastq.read_fastq(spark, path, split_bytes=100_000).select("header", "n_symbols", "seq", "qual")
 
 
+@query("""select 'g' || gene_id as header, 'nucleotide' as seq_type, cast(length(seq) as int) as n_symbols, seq from {genes} g where length(seq) > 0
+ union all select 'p' || prot_id, case when regexp_matches(seq, '[EFILPQefilpq*]') then 'protein' else 'nucleotide' end, cast(length(seq) as int), case when regexp_matches(seq, '[EFILPQefilpq*]') then regexp_replace(seq, '[^ACDEFGHIKLMNPQRSTVWY]', 'X', 'g') else regexp_replace(replace(seq, 'U', 'T'), '[^ACGT-]', 'N', 'g') end from {proteins} p where length(seq) > 0""")
+def fasta_text(spark, d):
+    texts = view(spark, d, "genes").select(F.col("gene_id").alias("id"), F.col("seq").alias("g")).join(view(spark, d, "proteins").select(F.col("prot_id").alias("id"), F.col("seq").alias("p")), "id")
+    whole = F.concat(F.lit("no record\n"), fasta.fasta_lines(F.concat(F.lit("g"), "id"), F.col("g")), F.lit("\n; a note\n>nothing\n\n"), fasta.fasta_lines(F.concat(F.lit("p"), "id"), F.col("p"), 80))
+    return fasta.parse_fasta(texts.select(whole.alias("text"))).select("header", "seq_type", "n_symbols", "seq")
+
+
+@query("select 'fasta' as format, cast(count(*) as bigint) as n, cast(sum(length(seq)) as bigint) as symbols from {genes} g where length(seq) > 0 union all select 'fastq', cast(count(*) as bigint), cast(sum(length(seq)) as bigint) from {ragged} r")
+def any_format(spark, d):
+    base = _scratch(spark)
+    fasta.write_fasta(view(spark, d, "genes").select(F.col("gene_id").cast("string").alias("header"), "seq"), f"{base}/a")
+    fastq.write_fastq(_with_header(spark, d), f"{base}/b", "gzip")
+    found = [(fastq.sniff(f"{base}/{x}"), fastq.read_any(spark, f"{base}/{x}")) for x in "ab"]
+    a, b = (df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("symbols")).select(F.lit(kind).alias("format"), "n", "symbols") for kind, df in found)
+    return a.unionByName(b)
+
+
+@query("select lang as name, cast(min(gene_id) as bigint) as gene_id, cast(count(*) as bigint) as n from {genes} g where length(seq) > 0 group by lang")
+def first_records(spark, d):
+    base = _scratch(spark)
+    rows = view(spark, d, "genes").select(fasta.fasta_lines(F.col("gene_id").cast("string"), F.col("seq")).alias("value"), "gene_id", "lang", (F.length("seq") > 0).alias("some"))
+    rows.repartition("lang").sortWithinPartitions("lang", "gene_id").select("value", "lang").write.partitionBy("lang").text(base)
+    found = fasta.read_fasta(spark, f"{base}/*/*")
+    name = F.regexp_extract("file", "lang=([^/]*)/", 1)
+    firsts = mutations.first_of_each_file(found).select(name.alias("name"), F.col("header").cast("long").alias("gene_id"))
+    return firsts.join(found.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n")), "name")
+
+
+@query(_READ_BACK)
+def bgzf_file(spark, d):
+    """Whole files packed as block gzip: the utility for a file at hand, so the files are named on the driver."""
+    base = _scratch(spark)
+    fastq.write_fastq(_with_header(spark, d).coalesce(2), f"{base}/plain")
+    for name, size in fastq.list_files(f"{base}/plain"):
+        if size:
+            bgzf.compress_file(fastq.local_path(name), f"{fastq.local_path(name)}.gz")
+    return fastq.read_fastq(spark, f"{base}/plain/*.gz", split_bytes=100_000).select("header", "n_symbols", "seq", "qual")
+
+
+_BARS = """select {first} + k.lo // {step} as line_no, lpad(cast(k.lo as varchar), 4, ' ') || case when k.lo = {high} then '+' else ' ' end || ' ' || repeat('#', cast(floor({width} * coalesce(n, 0) / (select max(n) from {h}) + 0.5) as int)) || ' ' || coalesce(n, 0) as line from (select unnest(range(0, {high} + 1, {step})) as lo) k left join {h} h on h.lo = k.lo"""
+_RAMP_SQL = "substr('" + report._RAMP.replace("'", "''") + "', cast(1 + case when hi = lo then 9 else least(9, floor(10 * (mean_q - lo) / (hi - lo))) end as bigint), 1)"
+
+
+@query(f"""with s as ({ORACLES['qc_scalars'].replace('{', '{{').replace('}', '}}')}), qh as ({ORACLES['hist_rebucket'].replace('{', '{{').replace('}', '}}')}),
+ g0 as ({ORACLES['gc_hist'].replace('{', '{{').replace('}', '}}')}), gh as (select least(bin // 10 * 10, 100) as lo, sum(n) as n from g0 group by 1),
+ pq as ({ORACLES['pos_quality'].replace('{', '{{').replace('}', '}}')}), b as ({ORACLES['pos_base_comp'].replace('{', '{{').replace('}', '}}')}),
+ t as (select sum(a_share) as a, sum(c_share) as c, sum(g_share) as g, sum(t_share) as t, sum(other_share) as o from b),
+ e as (select (select mean_q from pq order by pos limit 1) as first_q, (select mean_q from pq order by pos desc limit 1) as last_q, min(mean_q) as lo, max(mean_q) as hi from pq)
+ select cast(line_no as int) as line_no, line from (
+  select 0 as line_no, 'Quality of reads' as line
+  union all select 1, format('reads {{{{}}}}, bases {{{{}}}}, length {{{{}}}} to {{{{}}}} (mean {{{{:.1f}}}})', n_reads, total_bases, min_len, max_len, mean_len) from s
+  union all select 2, format('GC {{{{:.2f}}}} %, mean quality {{{{:.2f}}}}, Q20 {{{{:.1f}}}} %, Q30 {{{{:.1f}}}} %', 100 * gc, mean_q, pct_q20, pct_q30) from s
+  union all select 3, '' union all select 4, 'Mean quality of reads' union all ({_BARS.format(first=5, high=45, step=5, width=40, h='qh')})
+  union all select 15, '' union all select 16, 'GC of reads, per cent' union all ({_BARS.format(first=17, high=100, step=10, width=40, h='gh')})
+  union all select 28, '' union all select 29, 'Quality by position: ' || string_agg({_RAMP_SQL}, '' order by pos) from pq, e
+  union all select 30, case when lo >= {report.GOOD_QUALITY} then 'good quality over the whole length' when last_q < first_q then 'quality drops towards the end' else 'irregular quality' end from e
+  union all select 31, 'Bases: ' || format('A {{{{:.1f}}}} %, C {{{{:.1f}}}} %, G {{{{:.1f}}}} %, T {{{{:.1f}}}} %, N {{{{:.1f}}}} %', 100 * a / (a + c + g + t + o), 100 * c / (a + c + g + t + o), 100 * g / (a + c + g + t + o), 100 * t / (a + c + g + t + o), 100 * o / (a + c + g + t + o)) from t) z""")
+def quality_report(spark, d):
+    """The report of the command line tool on a file, written to a text file and read back."""
+    base = _scratch(spark)
+    fastq.write_fastq(_with_header(spark, d), f"{base}/reads")
+    text = report.quality_text(qc.report(fastq.read_fastq(spark, f"{base}/reads").select("read_id", "seq", "qual")))
+    lines = spark.createDataFrame(list(enumerate(text.split("\n"))), "line_no int, line string").coalesce(1)
+    lines.select(F.concat_ws("\t", "line_no", "line").alias("value")).write.text(f"{base}/report")
+    parts = F.split("value", "\t", 2)
+    return spark.read.text(f"{base}/report").select(parts[0].cast("int").alias("line_no"), parts[1].alias("line"))
+
+
 # --- streams
 
 

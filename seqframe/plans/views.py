@@ -28,7 +28,7 @@ VIEWS = {
  substr(concat(qual, qual), 1, cast(8 + read_id % 49 as int)) as qual from ({_R}) r""",
     "genes": """select doc_id as gene_id, lang, translate(lower(regexp_replace(text, '[^A-Za-z]', ''{G})),
  'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as seq from {documents}""",
-    "proteins": """select doc_id as prot_id, translate(upper(substr(regexp_replace(text, '[^A-Za-z]', ''{G}), 1, 200)),
+    "proteins": """select doc_id as prot_id, translate(upper(regexp_replace(text, '[^A-Za-z]', ''{G})),
  'BJOUXZ', 'DLKCGE') as seq from {documents}""",
     "alleles": """select o_orderkey as pair_id, a, p,
  case o_orderkey % 4 when 0 then a
@@ -48,7 +48,10 @@ VIEWS = {
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows over all cores where a table has few file splits (which a single row group may leave all but one empty); for work that costs far more than moving the rows."""
+    """Deals rows over all cores where a table has few file splits (which a single row group may leave all but one empty); for work that costs far more than moving the rows.
+
+    The layout alone depends on the number of splits, never the rows.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < 8 * cores else df
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from .errors import SeqValueError
 from .functions.sequences import BASE_NAMES, RESIDUE_NAMES
 from .operators.quality_control import QCReport
 
-_RAMP = " .:-=+*#%@"
+#: Ten levels of the sparkline, least first.
+_RAMP = "_,;!ixoXO8"
+#: From this least mean quality on, a whole run is good.
+GOOD_QUALITY = 28
 
 
 def sparkline(values: list[float], width: int = 60) -> str:
@@ -28,13 +35,13 @@ def bars(histogram: dict[int, int], low: int, high: int, step: int, width: int =
         if b >= low:
             counts[min((b - low) // step * step + low, max(counts))] += n
     peak = max(counts.values(), default=0) or 1
-    return [f"{lo:>4}{'+' if lo == max(counts) else ' '} {'#' * round(width * n / peak)} {n}" for lo, n in counts.items()]
+    return [f"{lo:>4}{'+' if lo == max(counts) else ' '} {'#' * int(width * n / peak + 0.5)} {n}" for lo, n in counts.items()]
 
 
 def diagnosis(means: list[float]) -> str:
     if not means:
         return "no positions"
-    if min(means) >= 28:
+    if min(means) >= GOOD_QUALITY:
         return "good quality over the whole length"
     return "quality drops towards the end" if means[-1] < means[0] else "irregular quality"
 
@@ -95,3 +102,13 @@ def mutation_text(row: dict) -> str:
         radical = sum(not any(m["sym_a"] in g and m["sym_b"] in g for g in LIKE_RESIDUES) for m in changes)
         lines.append(f"residues exchanged: {len(changes)}, of these radical {radical}")
     return "\n".join(lines)
+
+
+def mutation_reports(pipeline: DataFrame, key: str) -> DataFrame:
+    """(key, text): the report on each row of a mutation pipeline, made in the tasks."""
+
+    @F.pandas_udf("string")
+    def run(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([mutation_text(r) for r in rows.to_dict("records")], dtype=object)
+
+    return pipeline.select(key, run(F.struct("dna", "protein", "silent")).alias("text"))

@@ -81,7 +81,8 @@ def inflate(raw: bytes) -> bytes:
 def write_block_gzip(lines, folder: str, level: int = 6) -> list[str]:
     """Writes a DataFrame's first column, a line per row, as one block gzip file per partition; their names.
 
-    Each task writes under a name of its own and renames it, so repeated tasks do no harm.
+    Each task writes under a name of its own and renames it, so repeated tasks do no harm; files that an
+    earlier run left in the folder go.
     """
     import pyarrow as pa
 
@@ -105,4 +106,11 @@ def write_block_gzip(lines, folder: str, level: int = 6) -> list[str]:
         system.move(part, final)
         yield pa.RecordBatch.from_arrays([pa.array([final])], names=["name"])
 
-    return sorted(r["name"] for r in lines.mapInArrow(run, "name string").collect())  # one name per partition
+    written = sorted(r["name"] for r in lines.mapInArrow(run, "name string").collect())  # one name per partition
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+    for old in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if old.is_file and old.path not in written and (old.base_name.startswith("_writing-") or (old.base_name.startswith("part-") and old.base_name.endswith(".gz"))):
+            system.delete_file(old.path)
+    return written

@@ -24,14 +24,22 @@ def _typed(records: DataFrame, force_type: str | None, *keep: str) -> DataFrame:
     return out.select(*keep, F.col("r.header").alias("header"), "seq_type", F.length("r.text").alias("n_symbols"), canonical(F.col("r.text"), F.col("seq_type")).alias("seq"))
 
 
+def _bytes(spark: SparkSession, name: str) -> int:
+    return int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)))
+
+
 def read_fasta(spark: SparkSession, path: str, force_type: str | None = None) -> DataFrame:
     """Records of one file, a folder or a glob; gzip by file name. Files are split at record marks.
 
-    seq_id grows in the order of records within a file split; records without symbols are left out.
+    seq_id grows in the order of the records in their file, whatever its splits, and tells the records of one
+    file apart; records without symbols are left out.
     """
     chunks = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     # only the chunk at a file's beginning keeps its mark; text before the first mark has none
-    marked = chunks.withColumn("seq_id", F.monotonically_increasing_id())
+    # splits of a file lie at least so many bytes apart; within a split rows are numbered as they are read
+    sizes = [_bytes(spark, f"spark.sql.files.{x}") for x in ("maxPartitionBytes", "openCostInBytes")]
+    split = F.floor(F.col("block") / max(1, min(sizes))).cast("long")
+    marked = chunks.withColumn("seq_id", F.shiftleft(split, 33).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     cleaned = marked.withColumn("value", F.regexp_replace("value", r"(?s)\A(?:[^>]*\n)?>", ""))
     return _typed(cleaned.withColumn("r", _records(F.col("value"))), force_type, "seq_id", "file")
 

@@ -1,8 +1,11 @@
 """A Spark data source for FASTQ: spark.read.format("fastq").load(path).
 
-Plain files are split at byte ranges; a range begins at its first record, which is where a line starts
-with '@' and the line two below with '+'. Block gzip is split at its blocks, with the same rule. Other
-gzip files are one task each. Rows: read_id (the record's byte offset in the uncompressed file, or in
+The driver lists files and deals byte ranges; a task finds out what its file is and where its range begins.
+In plain files that is the first record, where a line starts with '@' and the line two below with '+'; in
+block gzip it is the first block, and then the same rule; other gzip files are read whole by the task of
+their first range. Lines of regular records are taken as columns from the buffer; from the first irregular
+record on a range is read line by line. Files are reached through Arrow's file systems (local paths, file://,
+hdfs://, s3://, gs://, abfs://). Rows: read_id (the record's byte offset in the uncompressed file, or in
 block gzip the block's offset and the place in it), file, header, n_symbols, seq, qual, malformed.
 
 Qualities are kept as Phred+33 text of the sequence's length: short ones are padded with '!', long ones
@@ -13,23 +16,32 @@ begins with '>' is then an error that names the right reader).
 
 from __future__ import annotations
 
+import itertools
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..errors import SeqIOError
-from .bgzf import block_sizes, inflate, is_block_gzip
+from ..functions.buffers import column_of
+from .bgzf import inflate, is_block_gzip
 
 SCHEMA = "read_id long, file string, header string, n_symbols int, seq string, qual string, malformed boolean"
 _ARROW = pa.schema([("read_id", pa.int64()), ("file", pa.string()), ("header", pa.string()), ("n_symbols", pa.int32()), ("seq", pa.string()), ("qual", pa.string()), ("malformed", pa.bool_())])
 _BATCH = 8192
+#: Uncompressed bytes that a task takes at once.
+CHUNK = 4 << 20
 _CANONICAL = bytes(ord("N") for _ in range(256))
 for _from, _to in zip(b"ACGTacgtUu-.", b"ACGTACGTTT--", strict=True):
     _CANONICAL = _CANONICAL[:_from] + bytes([_to]) + _CANONICAL[_from + 1 :]
 _SCORES = bytes(min(max(i, 33), 126) for i in range(256))
+_CANONICAL_TABLE, _SCORES_TABLE = (np.frombuffer(x, np.uint8) for x in (_CANONICAL, _SCORES))
 
 
 def _system(path: str):
@@ -42,7 +54,7 @@ def _system(path: str):
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
-def _files(path: str) -> list[tuple[str, int]]:
+def list_files(path: str) -> list[tuple[str, int]]:
     from pyarrow import fs
 
     system, root = _system(path)
@@ -60,32 +72,19 @@ def _files(path: str) -> list[tuple[str, int]]:
     return sorted((prefix + x.path if prefix else x.path, x.size) for x in found)
 
 
+def local_path(name: str) -> str:
+    """The path of a file of this machine, for tools that open files themselves."""
+    return re.sub("^file:(//)?", "", name)
+
+
 class Range(InputPartition):
-    def __init__(self, file: str, start: int, stop: int, kind: str):
-        self.file, self.start, self.stop, self.kind = file, start, stop, kind
+    def __init__(self, file: str, start: int, stop: int):
+        self.file, self.start, self.stop = file, start, stop
 
 
 def plan(path: str, split: int) -> list[Range]:
-    out = []
-    for name, size in _files(path):
-        system, file = _system(name)
-        with system.open_input_file(file) as f:
-            head = f.read(18)
-            if head[:1] == b">":
-                raise SeqIOError(f"{name} looks like FASTA: use read_fasta")
-            if is_block_gzip(head):
-                begin, filled = 0, 0
-                for at, n in block_sizes(f):
-                    if filled >= split:
-                        out.append(Range(name, begin, at, "blocks"))
-                        begin, filled = at, 0
-                    filled += n
-                out.append(Range(name, begin, size, "blocks"))
-            elif head[:2] == b"\x1f\x8b":
-                out.append(Range(name, 0, size, "gzip"))
-            else:
-                out += [Range(name, at, min(at + split, size), "plain") for at in range(0, size, split)]
-    return out
+    """Byte ranges of all files; none is opened."""
+    return [Range(name, at, min(at + split, size)) for name, size in list_files(path) for at in range(0, size, split)]
 
 
 class _Lines:
@@ -111,115 +110,240 @@ class _Lines:
         return place, line.rstrip(b"\r")
 
 
-def _chunks(f, start: int, size: int = 1 << 20) -> Iterator[bytes]:
-    f.seek(start)
-    while chunk := f.read(size):
-        yield chunk
+class _Plain:
+    """Bytes of a plain file from a place on. ``limit``: where the range's records end, as far as it is known."""
 
+    def __init__(self, f, start: int, stop: int):
+        self.f, self.begin, self.limit = f, max(start - 1, 0), stop  # with the byte before, a range that begins at a line keeps that line
+        f.seek(self.begin)
 
-def _inflated(f, size: int = 1 << 20) -> Iterator[bytes]:
-    member = zlib.decompressobj(31)
-    while chunk := f.read(size):
-        while chunk:
-            yield member.decompress(chunk)
-            chunk = member.unused_data
-            if chunk or member.eof:
-                member = zlib.decompressobj(31)
+    def read(self) -> bytes:
+        return self.f.read(CHUNK)
 
+    def place(self, at: np.ndarray) -> np.ndarray:
+        return at
 
-def _records(lines: _Lines, stop: int | None, synchronise: bool) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """(place, header, sequence, quality) of the records that begin before ``stop``."""
-    held: list[tuple[int, bytes]] = []
 
-    def line() -> tuple[int, bytes] | None:
-        return held.pop(0) if held else lines.next()
+class _Gzip:
+    """All bytes of a gzip file, in any number of members."""
 
-    if synchronise:
-        lines.next()  # the rest of a line that another range has
-        window: list[tuple[int, bytes]] = []
+    begin, limit = 0, None
+
+    def __init__(self, f):
+        f.seek(0)
+        self.f, self.member, self.rest = f, zlib.decompressobj(31), b""
+
+    def read(self) -> bytes:
         while True:
-            found = lines.next()
-            if found is None:
-                break
-            window.append(found)
-            if len(window) == 3:
-                if window[0][1].startswith(b"@") and window[2][1].startswith(b"+"):
-                    break
-                window.pop(0)
-        if len(window) < 3 or not window[0][1].startswith(b"@"):
-            return
-        held = window
-    while (first := line()) is not None:
+            raw = self.rest or self.f.read(1 << 20)
+            if not raw:
+                return b""
+            out = self.member.decompress(raw, CHUNK)
+            self.rest = self.member.unconsumed_tail or self.member.unused_data
+            if self.member.eof:
+                self.member = zlib.decompressobj(31)
+            if out:
+                return out
+
+    def place(self, at: np.ndarray) -> np.ndarray:
+        return at
+
+
+class _Blocks:
+    """The data of block gzip from a block on. Places are (block offset << 16) + place in the block."""
+
+    begin = 0
+
+    def __init__(self, f, size: int, start: int, stop: int):
+        self.f, self.size, self.at, self.stop, self.limit = f, size, start, stop, None
+        self.starts: list[tuple[int, int]] = []  # uncompressed place, block offset
+        self.done, self.first = 0, _last_byte(f, start) if start else b""  # one line end in front, as if the byte before ended a line or not
+
+    def read(self) -> bytes:
+        out, n = [self.first] if self.first else [], 0
+        self.done += len(self.first)
+        self.first = b""
+        while self.at < self.size and n < CHUNK:
+            self.f.seek(self.at)
+            head = self.f.read(18)
+            if not is_block_gzip(head):
+                raise SeqIOError(f"no block header at byte {self.at}")
+            size = struct.unpack("<H", head[16:18])[0] + 1
+            if self.limit is None and self.at >= self.stop:
+                self.limit = self.done
+            data = inflate(head + self.f.read(size - 18))
+            self.starts.append((self.done, self.at))
+            self.done, self.at, n = self.done + len(data), self.at + size, n + len(data)
+            out.append(data)
+        if self.at >= self.size and self.limit is None:
+            self.limit = self.done
+        return b"".join(out)
+
+    def place(self, at: np.ndarray) -> np.ndarray:
+        begins, blocks = (np.array(x, np.int64) for x in zip(*self.starts, strict=True))
+        k = np.searchsorted(begins, at, side="right") - 1
+        return blocks[k] << 16 | at - begins[k]
+
+
+def _first_block(f, size: int, start: int) -> int:
+    """The offset of the first block at or behind ``start``: a header whose block inflates and ends at another header or the end of the file."""
+    if start == 0:
+        return 0
+    at, window = start, 1 << 17
+    while at < size:
+        f.seek(at)
+        raw = f.read(window + 18)
+        for hit in re.finditer(rb"\x1f\x8b\x08\x04", raw[: window + 3]):
+            head = raw[hit.start() : hit.start() + 18]
+            if is_block_gzip(head):
+                begin, end = at + hit.start(), at + hit.start() + struct.unpack("<H", head[16:18])[0] + 1
+                f.seek(begin)
+                block = f.read(end - begin + 18)
+                if end == size or is_block_gzip(block[end - begin :]):
+                    try:
+                        inflate(block[: end - begin])
+                    except zlib.error:
+                        continue
+                    return begin
+        at += window
+    return size
+
+
+def _records(lines: _Lines) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(place, header, sequence, quality) of all records; what is no header where one should be is passed over."""
+    while (first := lines.next()) is not None:
         place, header = first
-        if stop is not None and place >= stop:
-            return
-        if not header.strip():
-            continue
         if not header.startswith(b"@"):
-            continue  # resynchronises on the next header
-        seq, plus, qual = line(), line(), line()
+            continue
+        seq, plus, qual = lines.next(), lines.next(), lines.next()
         if seq is None:
             return
         del plus
         yield place, header[1:].strip(), seq[1].strip(), qual[1].strip() if qual else b""
 
 
+def _source(f, part: Range):
+    """What a range reads from; None where another range has its records."""
+    f.seek(0)
+    head = f.read(18)
+    if head[:1] == b">":
+        raise SeqIOError(f"{part.file} looks like FASTA: use read_fasta")
+    if is_block_gzip(head):
+        f.seek(0, 2)
+        size = f.tell()
+        begin = _first_block(f, size, part.start)
+        return _Blocks(f, size, begin, part.stop) if begin < part.stop else None
+    if head[:2] == b"\x1f\x8b":
+        return _Gzip(f) if part.start == 0 else None
+    return _Plain(f, part.start, part.stop)
+
+
 def read_range(part: Range) -> Iterator[pa.RecordBatch]:
     system, file = _system(part.file)
     with system.open_input_file(file) as f:
-        if part.kind == "plain":
-            begin = max(part.start - 1, 0)  # with the byte before, a range that begins at a line keeps that line
-            records = _records(_Lines(_chunks(f, begin), begin), part.stop, part.start > 0)
-        elif part.kind == "gzip":
-            records = _records(_Lines(_inflated(f), 0), None, False)
-        else:
-            records = _block_records(f, part)
-        rows: list[list] = [[] for _ in _ARROW]
-        for place, header, seq, qual in records:
-            if not seq:
+        source = _source(f, part)
+        if source is not None:
+            yield from _batches(source, part.file, part.start > 0)
+
+
+def _batches(source, file: str, synchronise: bool) -> Iterator[pa.RecordBatch]:
+    buffer, base, ended = b"", source.begin, False
+    while True:
+        chunk = source.read()
+        ended = not chunk
+        buffer += chunk
+        if ended and buffer and not buffer.endswith(b"\n"):
+            buffer += b"\n"
+        data = np.frombuffer(buffer, np.uint8)
+        ends = np.flatnonzero(data == 10)
+        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        if synchronise:
+            heads = np.flatnonzero((data[starts[1:-2]] == ord("@")) & (data[starts[3:]] == ord("+"))) if len(starts) > 3 else starts[:0]
+            if len(heads) == 0:
+                if ended:
+                    return
                 continue
-            n = len(seq)
-            qual_text = qual.translate(_SCORES)[:n].ljust(n, b"!")
-            for column, value in zip(rows, (place, part.file, header.decode("utf-8", "replace"), n, seq.translate(_CANONICAL).decode(), qual_text.decode(), len(qual) != n), strict=True):
-                column.append(value)
-            if len(rows[0]) >= _BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(rows, _ARROW, strict=True)], schema=_ARROW)
-                rows = [[] for _ in _ARROW]
-        if rows[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(rows, _ARROW, strict=True)], schema=_ARROW)
+            first = int(starts[1 + heads[0]])
+            buffer, base, synchronise = buffer[first:], base + first, False
+            data, starts, ends = data[first:], starts[1 + heads[0] :] - first, ends[1 + heads[0] :] - first
+        n = len(ends) // 4 * 4
+        if n:
+            regular = (data[starts[0:n:4]] == ord("@")) & (data[starts[2:n:4]] == ord("+")) & (ends[0:n:4] > starts[0:n:4] + 1)
+            if not regular.all():
+                yield from _slowly(source, file, buffer, base)
+                return
+            yield from _columns(source, file, buffer, base, starts[:n], ends[:n])
+            done = int(ends[n - 1]) + 1
+            buffer, base = buffer[done:], base + done
+        if source.limit is not None and base >= source.limit:
+            return
+        if ended:
+            if buffer.strip():
+                yield from _slowly(source, file, buffer, base)
+            return
 
 
-def _block_records(f, part: Range) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """Records that begin in the part's own blocks; a last one is completed from the blocks behind. Places are (block offset << 16) + place."""
-    f.seek(0, 2)
-    size = f.tell()
-    starts: list[tuple[int, int]] = []  # uncompressed place, block offset
-
-    def chunks() -> Iterator[bytes]:
-        import struct
-
-        at, done = part.start, 0
-        if at > 0:  # one line end in front, as if the byte before ended a line or not
-            yield _last_byte(f, at)
-            done = 1
-        while at < size:
-            f.seek(at)
-            n = struct.unpack("<H", f.read(18)[16:18])[0] + 1
-            f.seek(at)
-            data = inflate(f.read(n))
-            starts.append((done, at))
-            done += len(data)
-            at += n
-            yield data
-
-    import bisect
-
-    for place, *rest in _records(_Lines(chunks(), 0), None, part.start > 0):
-        k = bisect.bisect_right(starts, (place, 1 << 62)) - 1
-        begin, block = starts[k]
-        if block >= part.stop:
-            return
-        yield block << 16 | place - begin, *rest
+def _columns(source, file: str, buffer: bytes, base: int, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A batch of regular records from the bounds of their lines."""
+    if source.limit is not None:
+        n = 4 * int(np.searchsorted(starts[::4] + base, source.limit))
+        starts, ends = starts[:n], ends[:n]
+    if len(starts) == 0:
+        return
+    lines = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, ends[-1] + 1).astype(np.int64)), pa.py_buffer(buffer))
+    header, seq, qual = (pc.ascii_trim_whitespace(lines.take(pa.array(np.arange(k, len(starts), 4)))) for k in (0, 1, 3))
+    some = pc.greater(pc.binary_length(seq), 0)
+    place = pa.array(source.place(starts[::4] + base), pa.int64())
+    if not pc.all(some).as_py():
+        header, seq, qual, place = (x.filter(some) for x in (header, seq, qual, place))
+    if len(seq) == 0:
+        return
+    size = pc.binary_length(header).to_numpy()
+    keep = np.ones(int(size.sum()), bool)
+    keep[np.cumsum(size) - size] = False  # the mark in front
+    bounds = np.append(0, np.cumsum(size - 1)).astype(np.int64)
+    header = pc.ascii_trim_whitespace(pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds), pa.py_buffer(_bytes_of(header)[keep])))
+    try:
+        header.validate(full=True)
+    except pa.ArrowInvalid:
+        header = pa.array([x.decode("utf-8", "replace") for x in header.view(pa.large_binary()).to_pylist()], pa.large_string())
+    n, m = (pc.binary_length(x).to_numpy() for x in (seq, qual))
+    wrong = n != m
+    if wrong.any():
+        qual = pa.array([(q or b"")[:k].ljust(k, b"!") for q, k in zip(qual.view(pa.large_binary()).to_pylist(), n.tolist(), strict=True)], pa.large_binary())
+    seq, qual = (column_of(table[_bytes_of(x)], n, None, pa.string()) for table, x in ((_CANONICAL_TABLE, seq), (_SCORES_TABLE, qual)))
+    rows = len(n)
+    for at in range(0, rows, _BATCH):
+        size = min(_BATCH, rows - at)
+        columns = [place, pa.repeat(pa.scalar(file), rows), header.cast(pa.string()), pa.array(n, pa.int32()), seq, qual, pa.array(wrong)]
+        yield pa.RecordBatch.from_arrays([c.slice(at, size) for c in columns], schema=_ARROW)
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None and len(bounds) > 1 else np.zeros(0, np.uint8)
+
+
+def _slowly(source, file: str, buffer: bytes, base: int) -> Iterator[pa.RecordBatch]:
+    """The records from a place on, a line at a time."""
+    lines = _Lines(itertools.chain([buffer], iter(source.read, b"")), base)
+    rows: list[list] = [[] for _ in _ARROW]
+    for place, header, seq, qual in _records(lines):
+        if source.limit is not None and place >= source.limit:
+            break
+        if not seq:
+            continue
+        n = len(seq)
+        qual_text = qual.translate(_SCORES)[:n].ljust(n, b"!")
+        known = int(source.place(np.array([place]))[0])
+        for column, value in zip(rows, (known, file, header.decode("utf-8", "replace"), n, seq.translate(_CANONICAL).decode(), qual_text.decode(), len(qual) != n), strict=True):
+            column.append(value)
+        if len(rows[0]) >= _BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(rows, _ARROW, strict=True)], schema=_ARROW)
+            rows = [[] for _ in _ARROW]
+    if rows[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(rows, _ARROW, strict=True)], schema=_ARROW)
 
 
 def _last_byte(f, before: int) -> bytes:
@@ -227,8 +351,6 @@ def _last_byte(f, before: int) -> bytes:
     low = max(0, before - (1 << 17))
     f.seek(low)
     raw = f.read(before - low)
-    import struct
-
     at = len(raw)
     while at >= 0:
         at = raw.rfind(b"\x1f\x8b\x08\x04", 0, at)
@@ -249,29 +371,29 @@ class _Reader(DataSourceReader):
         self.path, self.split = options.get("path"), int(options.get("splitBytes", 32 << 20))
 
     def partitions(self):
-        return plan(self.path, self.split) or [Range("", 0, 0, "none")]
+        return plan(self.path, self.split) or [Range("", 0, 0)]
 
     def read(self, partition):
-        if partition.kind == "none":
-            return iter(())
-        return read_range(partition)
+        return read_range(partition) if partition.file else iter(())
 
 
 class _StreamReader(DataSourceStreamReader):
-    """New files of a folder, in order of their names: the offset is the last name that was read."""
+    """New files of a folder, whatever their names and times: an offset is the list of the files that lay there.
+
+    What was read may be moved away, which keeps the list short; a file should land whole, by a rename.
+    """
 
     def __init__(self, options):
         self.path, self.split = options.get("path"), int(options.get("splitBytes", 32 << 20))
 
     def initialOffset(self):
-        return {"after": ""}
+        return {"files": []}
 
     def latestOffset(self):
-        names = [name for name, _ in _files(self.path)]
-        return {"after": max(names, default="")}
+        return {"files": [name for name, _ in list_files(self.path)]}
 
     def partitions(self, start, end):
-        return [x for name, _ in _files(self.path) if start["after"] < name <= end["after"] for x in plan(name, self.split)]
+        return [x for name in sorted(set(end["files"]) - set(start["files"])) for x in plan(name, self.split)]
 
     def read(self, partition):
         return read_range(partition)
@@ -320,7 +442,7 @@ def write_fastq(reads, path: str, compression: str | None = None) -> None:
 
 def sniff(path: str) -> str:
     """'fasta' or 'fastq', by the first byte that is not blank; FASTA where neither mark is found."""
-    name = _files(path)[0][0]
+    name = list_files(path)[0][0]
     system, file = _system(name)
     with system.open_input_stream(file, compression="gzip" if file.endswith(".gz") else None) as f:
         head = f.read(4096).lstrip()

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from seqframe import errors
 from seqframe.functions import alphabet as al
+from seqframe.functions import buffers
 from seqframe.functions import sequences as sq
 from seqframe.functions import sql as sqlfunctions
-from seqframe.operators import frames
+from seqframe.operators import frames, kmers, records
 
 HBB = "ATGGTGCACCTGACTCCTGAGGAGAAGTCTGCCGTTACTGCCCTGTGGGGCAAGGTGAACGTGGATGAAGTTGGTGGTGAGGCCCTGGGCAGGCTGCTGGTGGTCTACCCTTGGACCCAGAGGTTCTTTGAGTAA"
 
@@ -40,21 +41,70 @@ def test_reverse_complement_twice_is_itself(spark):
 
 
 @settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.text("ACGTN-", max_size=300))
-def test_packing_round_trip(s):
-    packed = sq._pack(pd.Series([s]), al.NUCLEOTIDE_CODES, al.UNKNOWN)[0]
-    assert len(packed) == (5 * len(s) + 7) // 8
-    bits = "".join(f"{al.NUCLEOTIDE_CODES[c]:05b}" for c in s)
-    assert "".join(f"{b:08b}" for b in packed).rstrip("0") == bits.rstrip("0")
-    assert sq._unpack(pd.Series([packed]), pd.Series([len(s)]), al.NUCLEOTIDE_CODES)[0] == s
+@given(st.lists(st.one_of(st.none(), st.text("ACGTN-", max_size=60)), max_size=12), st.sampled_from([1, 7, 1 << 20]))
+def test_packing_round_trip(seqs, most):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sq, "row_blocks", lambda bounds: buffers.row_blocks(bounds, most))
+        packed = sq.pack_column(pa.array(seqs, pa.string()), al.NUCLEOTIDE_CODES, al.UNKNOWN)
+        for s, raw in zip(seqs, packed.to_pylist(), strict=True):
+            if s is None:
+                assert raw is None
+                continue
+            assert len(raw) == (5 * len(s) + 7) // 8
+            bits = "".join(f"{al.NUCLEOTIDE_CODES[c]:05b}" for c in s)
+            assert "".join(f"{b:08b}" for b in raw).rstrip("0") == bits.rstrip("0")
+        sizes = pa.array([None if s is None else len(s) for s in seqs], pa.int32())
+        assert sq.unpack_column(packed, sizes, al.NUCLEOTIDE_CODES).to_pylist() == seqs
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.none(), st.text("ACGTNé", max_size=40)), max_size=12), st.booleans(), st.sampled_from(["strict", "alias"]), st.sampled_from([1, 1 << 20]))
+def test_translation_against_plain_python(seqs, to_stop, ambiguous, most):
+    def plain(s):
+        out = ""
+        for i in range(0, len(s) - 2, 3):
+            place = [al.NUCLEOTIDE_CODES.get(c, al.UNKNOWN) for c in s[i : i + 3]]
+            at = 16 * place[0] + 4 * place[1] + place[2]
+            known = at < 64 if ambiguous == "alias" else max(place) < 4
+            out += sq.GENETIC_CODE[at] if known else "X"
+        return out.split("*")[0] if to_stop else out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sq, "row_blocks", lambda bounds: buffers.row_blocks(bounds, most))
+        got = sq.translate_column(pa.array(seqs, pa.string()), ambiguous, to_stop).to_pylist()
+    assert got == [None if s is None else plain(s) for s in seqs]
+
+
+def test_proteins_are_guarded(spark):
+    rows = spark.createDataFrame([("ACGTACG",), ("MKACGTWEF",), ("",)], "seq string")
+    assert [r[0] for r in rows.select(sq.gc_content(F.col("seq"), strict=False)).collect()] == [4 / 7, None, 0.0]
+    assert {r["kmer"]: r["n"] for r in kmers.spectrum(rows, 3, strict=False).collect()} == {"ACG": 2, "CGT": 1, "GTA": 1, "TAC": 1}
+    for df in (rows.select(sq.gc_content(F.col("seq"))), kmers.spectrum(rows, 3), kmers.dense_spectrum(rows, 2), kmers.kmer_set(rows, 4)):
+        with pytest.raises(Exception, match="a protein where only nucleotide"):
+            df.collect()
+    typed = spark.createDataFrame([("MKV", "protein"), ("GGC", "nucleotide")], "seq string, seq_type string")
+    assert [r[0] for r in typed.select(sq.gc_content(F.col("seq"), F.col("seq_type"), strict=False)).collect()] == [None, 1.0]
+
+
+def test_offsets_and_access(spark):
+    rows = spark.createDataFrame([(i * 7 % 101, i % 5) for i in range(101)], "id long, n int")
+    got = records.offsets(rows, "id", F.col("n"), chunks=9).orderBy("id").collect()
+    total = 0
+    for r in got:
+        assert (r["start"], r["stop"]) == (total, total + r["n"])
+        total += r["n"]
+    assert len(got) == 101 and records.offsets(rows.limit(0), "id", F.col("n")).count() == 0
+    for i in (0, 5, 100, -1, -101):
+        assert records.record_at(rows, "id", i).first()["id"] == list(range(101))[i]
+    assert records.record_at(rows, "id", 101).isEmpty() and records.record_at(rows, "id", -102).isEmpty()
 
 
 def test_packing_in_spark(spark):
     assert one(spark, sq.unpack_protein(sq.pack_protein("s"), F.lit(6)), s="MKV*-X") == "MKV*-X"
     with pytest.raises(ValueError):
-        sq._unpack(pd.Series([b"\0"]), pd.Series([2]), al.NUCLEOTIDE_CODES)
+        sq.unpack_column(pa.array([b"\0"]), pa.array([2]), al.NUCLEOTIDE_CODES)
     with pytest.raises(errors.SeqError):
-        sq._unpack(pd.Series([b"\0"]), pd.Series([-1]), al.NUCLEOTIDE_CODES)
+        sq.unpack_column(pa.array([b"\0"]), pa.array([-1]), al.NUCLEOTIDE_CODES)
     assert one(spark, sq.packed_size(F.col("n")), n=13) == 9
     assert one(spark, sq.memory_ratio(F.col("s")), s="") == 1.0
 

@@ -75,7 +75,50 @@ def test_malformed_fastq(spark, tmp_path):
         fastq.plan(str(tmp_path / "missing.fastq"), 10)
     (tmp_path / "x.fa").write_text(">a\nACGT\n")
     with pytest.raises(SeqIOError):
-        fastq.plan(str(tmp_path / "x.fa"), 10)
+        list(fastq.read_range(fastq.plan(str(tmp_path / "x.fa"), 10)[0]))
+
+
+@pytest.mark.parametrize("chunk", [5, 64, 1000])
+@pytest.mark.parametrize("kind", ["plain", "gzip", "blocks"])
+def test_irregular_records_are_read_as_a_line_reader_would(tmp_path, monkeypatch, chunk, kind):
+    """Blank lines, carriage returns, short qualities, empty and cut-off records, odd bytes, in chunks of any size."""
+    monkeypatch.setattr(fastq, "CHUNK", chunk)
+    monkeypatch.setattr(bgzf, "BLOCK_DATA", 50)
+    raw = b"".join(f"@{h}\n{s}\n+\n{q}\n".encode() for h, s, q in random_reads(8)) + b"@ caf\xe9 \r\nac gu.n\r\n+x\r\nI\x01II\r\n\n@none\n\n+\n\n" + b"".join(f"@{h}\n{s}\n+\n{q}\n".encode() for h, s, q in random_reads(5, 4)) + b"lost\n@last\nACGT\n+"
+    path = tmp_path / "x"
+    path.write_bytes(raw if kind == "plain" else gzip.compress(raw[:200]) + gzip.compress(raw[200:]) if kind == "gzip" else bgzf.compress_bytes(raw))
+    expected, lines, at = [], raw.split(b"\n"), 0
+    while at < len(lines):
+        if not lines[at].startswith(b"@"):
+            at += 1
+            continue
+        head, seq, _, qual = (lines[at : at + 4] + [b""] * 3)[:4]
+        at += 4
+        seq, qual = seq.strip(), bytes(min(max(c, 33), 126) for c in qual.strip())
+        if seq:
+            text = "".join({"U": "T", ".": "-"}.get(c, c) if c in "ACGT-U." else "N" for c in seq.decode("latin-1").upper())
+            expected.append((head[1:].strip().decode("utf-8", "replace"), text, qual.decode()[: len(text)].ljust(len(text), "!"), len(qual) != len(text)))
+    rows = [r for part in fastq.plan(str(path), 1 << 20) for batch in fastq.read_range(part) for r in batch.to_pylist()]
+    assert [(r["header"], r["seq"], r["qual"], r["malformed"]) for r in rows] == expected
+    assert [r["read_id"] for r in rows] == sorted({r["read_id"] for r in rows})
+
+
+def test_files_that_land_later_are_read_whatever_their_names(spark, tmp_path):
+    reads = random_reads(60)
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+
+    def run():
+        (spark.readStream.format("fastq").load(str(folder)).select("header").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination())
+        return sorted(r["header"] for r in spark.read.schema("header string").parquet(str(tmp_path / "out")).collect())
+
+    fastq.register(spark)
+    (folder / "m.fastq").write_text(as_fastq(reads[:20]))
+    assert run() == sorted(h for h, _, _ in reads[:20])
+    (folder / "a.fastq").write_text(as_fastq(reads[20:40]))
+    (folder / "z.fastq").write_text(as_fastq(reads[40:]))
+    assert run() == sorted(h for h, _, _ in reads)
+    assert run() == sorted(h for h, _, _ in reads)
 
 
 def test_fasta_text(spark):
@@ -100,7 +143,8 @@ def test_fasta_file(spark, tmp_path, most):
     spark.conf.set("spark.sql.files.maxPartitionBytes", most)
     try:
         for name in (path, tmp_path / "x.fa.gz"):
-            assert sorted((r["header"], r["seq"]) for r in fasta.read_fasta(spark, str(name)).collect()) == sorted(records)
+            # in the order of the file, however it is split
+            assert [(r["header"], r["seq"]) for r in fasta.read_fasta(spark, str(name)).orderBy("seq_id").collect()] == records
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     fasta.write_fasta(fasta.read_fasta(spark, str(path)), str(tmp_path / "out"), 50)
@@ -127,6 +171,14 @@ def test_block_gzip(tmp_path):
         bgzf.compress_file(str(tmp_path / "none"))
 
 
+def test_block_gzip_files_replace_older_ones(spark, tmp_path):
+    lines = spark.range(100).selectExpr("cast(id as string) as v")
+    bgzf.write_block_gzip(lines.repartition(6), str(tmp_path / "o"))
+    names = bgzf.write_block_gzip(lines.limit(10).coalesce(1), str(tmp_path / "o"))
+    assert sorted(str(x) for x in (tmp_path / "o").glob("*.gz")) == names
+    assert sorted(gzip.open(names[0]).read().split()) == sorted(str(i).encode() for i in range(10))
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "fa").mkdir()
     (tmp_path / "fa" / "x.fa").write_text(">a\nACGT\nAC\n>b\nGGG\n")
