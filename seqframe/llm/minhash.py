@@ -42,7 +42,7 @@ ROWS_PER_BAND = 4
 #: Star edges of one hub that are compared in one group; sets of one hub are sent once per group.
 PER_HUB = 64
 #: Classes of one block of a bucket that is not settled by its star.
-BLOCK = 256
+BLOCK = 512
 
 
 def bands_needed(threshold: float, rows: int = ROWS_PER_BAND, miss: float = 1e-7) -> int:
@@ -159,10 +159,10 @@ def _verified(edges: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
     return rows.mapInArrow(lean(run), "a long, b long")
 
 
-def _block_links(rows: DataFrame, tops: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links between components in buckets: rows (key, cls, label, n, bands, shingles) and each bucket's largest component, tops (key, top, n_top, size) -> (a, b).
+def _block_links(rows: DataFrame, tops: DataFrame, bands: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links between components in buckets: rows (key, cls, label, n) and each bucket's largest component, tops (key, top, n_top, size) -> (a, b).
 
-    A group holds a block of the largest component and one of the others (kind 0), or two blocks of the
+    Groups are dealt on the narrow rows; the classes' ``bands`` and ``sets`` join them last. A group holds a block of the largest component and one of the others (kind 0), or two blocks of the
     others (kind 1): 2 * BLOCK classes or so, whatever the bucket's size.
     """
     num, den = threshold
@@ -181,7 +181,8 @@ def _block_links(rows: DataFrame, tops: DataFrame, threshold: tuple[int, int]) -
     with_inner = each(blocks_in, lambda k: at(0, k, own_out, F.lit(1)))
     with_others = each(blocks_out, lambda k: at(1, F.least(own_out, k), F.greatest(own_out, k), own_out > k))
     dealt = dealt.withColumn("g", F.explode(F.when(F.col("inner"), inner).otherwise(F.concat(with_inner, with_others))))
-    dealt = dealt.select("key", "g.kind", "g.lo", "g.hi", "g.side", "cls", "label", "n", "bands", "shingles")
+    dealt = dealt.select("key", "g.kind", "g.lo", "g.hi", "g.side", "cls", "label", "n")
+    dealt = dealt.join(bands.join(sets, "cls"), "cls").select(*dealt.columns, "bands", "shingles")
     dealt = dealt.repartition("key", "kind", "lo", "hi").sortWithinPartitions("key", "kind", "lo", "hi")
 
     def compare(key: int, kind: int, lo: int, hi: int, held: list[tuple]) -> list[tuple[int, int]]:
@@ -283,8 +284,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, in
     if not rest.isEmpty():
         tops = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(F.max(F.struct("many", "label")).alias("most"), F.sum("many").alias("size"))
         tops = tops.select("key", F.col("most.label").alias("top"), F.col("most.many").alias("n_top"), "size")
-        whole = rest.join(first.select("cls", "bands"), "cls").join(sets, "cls")
-        more = materialize(_block_links(whole, tops, threshold), f"{base}/more")
+        more = materialize(_block_links(rest, tops, first.select("cls", "bands"), sets, threshold), f"{base}/more")
         if not more.isEmpty():
             labels = connected_components(more, labels)
 
