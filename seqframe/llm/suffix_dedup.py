@@ -7,13 +7,17 @@ suffix sort runs over shards that are built so that equal strings always meet in
 2. Every window of ``length`` bytes has an anchor, its least hashed run of ANCHOR bytes. Windows in a
    row with one anchor make a fragment. Equal windows have equal anchors, so a window whose anchor
    occurs once in the corpus is settled: it does not repeat. Each part sends its distinct anchor
-   hashes to hashed buckets and gets back which of them other parts have too.
-3. Fragments with repeated anchors go to the shard of their anchor. Equal fragments of one part are
-   one row (the later ones are settled there), so a passage found in a third of all documents
-   reaches its shard once per part.
+   hashes and their numbers to hashed buckets and gets back which of them other parts have too.
+3. Fragments with repeated anchors are stored; equal fragments of one part are one row (the later ones are
+   settled there). They go to the shard of their anchor, sorted by content: of equal ones all but the
+   earliest are settled as they pass, and the others are appended to the shard's text, in a file of the task.
 4. A shard is sorted by ``induced.suffixes_down``, with common-prefix values: a run of suffixes that
-   share ``length`` bytes is one string, and all its places but the earliest are marked.
-5. The marked spans go back to the parts and are cut from the texts.
+   share ``length`` bytes is one string, and all its places but the earliest are marked. Text, seeds, names
+   and queues lie on disk above ``memory`` bytes, so a shard may be far larger than that.
+5. The fragments of an anchor that occurs more than HOT times differ at their ends only; they would make one
+   shard of any size. Their windows are dealt by content instead: first by the core that CLASS windows
+   in a row share, and where a core repeats by the whole window, as digests of 128 bits.
+6. The marked spans go back to the parts and are cut from the texts.
 
 Nothing is collected on the driver and no pairs are made. Texts move once, into the parts: these are
 bucketed by part, so that both later joins bring the small side to them.
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -37,18 +42,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, U64, blocks, input_bytes, lean, materialize, mix, release, remove, shuffle_partitions, work_path
-from .induced import suffixes_down
+from .common import BYTE_KEYS, U64, blocks, input_bytes, lean, materialize, mix, release, remove, salted, shuffle_partitions, text_views, work_path
+from .induced import Scratch, suffixes_down
 
 ANCHOR = 24
 #: Text bytes of one part, and bytes of one step inside a part.
 PART_BYTES = 8 << 20
 STEP_BYTES = 1 << 20
+#: Corpus bytes for each shard, in the mean; and the bytes that each array or queue of its sort holds before it goes to disk.
+SHARD_BYTES = 16 << 20
+MEMORY = 32 << 20
+#: Fragments of one anchor above which its windows are dealt by content, and windows of one core.
+HOT = 2000
+CLASS = 16
 #: A byte that no UTF-8 text has; with symbols one higher than bytes it stays below 255.
 GAP = 0xFD
 
-_FRAGMENTS = pa.schema([("content", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int32()), ("start", pa.int64())])
 _SPANS = pa.schema([("row", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
+#: What a part sends. kind 0: spans that it settled itself; 1: a fragment for a shard; 2: a fragment of a hot anchor, which stands at ``anchor``.
+_SENT = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("digest", pa.binary()), ("content", pa.binary()), ("anchor", pa.int32()), ("doc_id", pa.int64()), ("part", pa.int64()), ("row", pa.int32()), ("start", pa.int64())])
+_SENT_SQL = "kind byte, bucket int, digest binary, content binary, anchor int, doc_id long, part long, row int, start long"
+_WINDOWS = "key binary, content binary, doc_id long, part long, row int, start long"
 
 
 def _dump(table: pa.Table) -> bytes:
@@ -62,6 +76,10 @@ def _load(raw: bytes) -> pa.Table:
     return pa.ipc.open_stream(raw).read_all()
 
 
+def _digest(content: bytes) -> bytes:
+    return hashlib.blake2b(content, digest_size=16).digest()
+
+
 # --- parts ----------------------------------------------------------------------------------
 
 
@@ -118,12 +136,11 @@ def _steps(docs: pa.Table, length: int) -> Iterator[tuple[np.ndarray, np.ndarray
         yield step()
 
 
-def _fragments(flat: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first byte, end, text) of the fragments of texts of at least ``length`` bytes each."""
+def _fragments(flat: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first byte, end, text, place of the anchor) of the fragments of texts of at least ``length`` bytes each."""
     n = len(flat)
-    width, key = 1, BYTE_KEYS[flat]
-    rest = ANCHOR - 1
-    grams = key
+    width = 1
+    grams = BYTE_KEYS[flat]
     while width * 2 <= ANCHOR:  # hashes of runs of 1, 2, 4 ... bytes
         grams = mix(grams[:-width] * U64(0x9E3779B97F4A7C15)) + grams[width:]
         width *= 2
@@ -149,13 +166,13 @@ def _fragments(flat: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.nd
     last = real.copy()
     last[:-1] &= (place[1:] != place[:-1]) | ~real[1:]
     end = np.flatnonzero(last) + length
-    return grams[place[first]] >> U64(16), first, end, np.searchsorted(bounds, first, side="right") - 1
+    return grams[place[first]] >> U64(16), first, end, np.searchsorted(bounds, first, side="right") - 1, place[first]
 
 
 # --- the operator ---------------------------------------------------------------------------
 
 
-def removed_spans(docs: DataFrame, apply, out_schema, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def removed_spans(docs: DataFrame, apply, out_schema, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, memory: int = MEMORY, hot: int = HOT) -> DataFrame:
     """``apply(documents, texts, spans)`` for each part -> RecordBatch of ``out_schema``.
 
     documents: the part's rows (doc_id, text as bytes and, with ``carry``, all columns of ``docs`` by
@@ -171,224 +188,347 @@ def removed_spans(docs: DataFrame, apply, out_schema, *, length: int = 100, id_c
     texts = flat.select(at[0].cast("long").alias("doc_id"), at[1].alias("text"), *more)
     joins = shuffle_partitions(spark)
     name = f"parts_{uuid.uuid4().hex}"
-    texts.mapInArrow(lean(_pack), "part long, docs binary").write.format("parquet").bucketBy(joins, "part").option("path", f"{base}/parts").option("compression", "none").saveAsTable(name)
-    parts = spark.table(name)
-    shards = max(3 * joins, input_bytes(parts) // (2 << 20))  # the parts are files of known size
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [_fragments(flat, bounds, length)[0] for flat, bounds, _, _ in _steps(_load(raw.as_py()), length)]
-                found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-                bucket = (found % U64(shards)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                found, bucket = found[order], bucket[order]
-                begin = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(found) else np.zeros(0, np.int64)
-                blobs = [x.tobytes() for x in np.split(found.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], begin[1:])] if len(found) else []
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[begin], pa.int32()), pa.array([part] * len(begin), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "part", "hashes"])
-
-    def shared(table: pa.Table) -> pa.Table:
-        """Which hashes of each part some other part has as well."""
-        sets = [_wide(x.as_py()) for x in table.column("hashes")]
-        every = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        order = np.argsort(every)
-        every, owner = every[order], owner[order]
-        twin = np.zeros(len(every), bool)
-        twin[1:] = every[1:] == every[:-1]
-        twin[:-1] |= every[1:] == every[:-1]
-        every, owner = every[twin], owner[twin]
-        parted = np.argsort(owner, kind="stable")
-        every, owner = every[parted], owner[parted]
-        ids, begin = np.unique(owner, return_index=True)
-        blobs = [x.tobytes() for x in np.split(every, begin[1:])] if len(ids) else []
-        own = table.column("part").to_numpy()[ids] if len(ids) else np.zeros(0, np.int64)
-        return pa.table({"part": pa.array(own, pa.int64()), "hashes": pa.array(blobs, pa.binary())})
-
-    repeated = parts.mapInArrow(lean(anchors), "bucket int, part long, hashes binary").groupBy("bucket").applyInArrow(shared, "part long, hashes binary")
-    gathered = repeated.groupBy("part").agg(F.collect_list("hashes").alias("hashes"))
-
-    def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw, blobs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                yield from _sent(part, _load(raw.as_py()), np.sort(np.frombuffer(b"".join(blobs or []), "<u8")), length, shards)
-
-    sent = parts.join(gathered, "part", "left").select("part", "docs", "hashes").mapInArrow(lean(fragments), "bucket int, part long, own boolean, rows binary")
-
-    def sort_shard(table: pa.Table) -> pa.Table:
-        try:
-            return _marked(table, length)
-        finally:
-            release()
-
-    marked = sent.groupBy("bucket").applyInArrow(sort_shard, "part long, spans binary")
-    back = materialize(marked.groupBy("part").agg(F.collect_list("spans").alias("spans")), f"{base}/spans")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw, blobs in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                table = _load(raw.as_py())
-                spans = pa.concat_tables([_load(x) for x in blobs or []] or [_SPANS.empty_table()])
-                yield apply(table, table.column("text").to_pylist(), _union(spans))
-
-    done = materialize(parts.join(back, "part", "left").select("docs", "spans").mapInArrow(lean(cut), out_schema), f"{base}/done")
-    spark.sql(f"DROP TABLE {name}")
-    remove(spark, f"{base}/parts", f"{base}/spans")
-    return done
-
-
-def _wide(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
-
-
-def _sent(part: int, docs: pa.Table, elsewhere: np.ndarray, length: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """What a part sends: distinct fragments by shard, and the spans of fragments that repeat an earlier one of the part."""
+    try:
+        texts.mapInArrow(lean(_pack), "part long, docs binary").write.format("parquet").bucketBy(joins, "part").option("path", f"{base}/parts").option("compression", "none").saveAsTable(name)
+        parts = spark.table(name)
+        shards = max(joins, input_bytes(parts) // SHARD_BYTES)  # the parts are files of known size
+
+        def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    found = [_fragments(flat, bounds, length)[0] for flat, bounds, _, _ in _steps(_load(raw.as_py()), length)]
+                    hashes, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    bucket = (hashes % U64(shards)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    both, bucket = (hashes | np.minimum(n, 0xFFFF).astype(np.uint64) << U64(48))[order], bucket[order]
+                    begin = _starts(bucket)
+                    blobs = [x.tobytes() for x in np.split(both, begin[1:])] if len(both) else []
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[begin], pa.int32()), pa.array([part] * len(begin), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "part", "hashes"])
+
+        def shared(table: pa.Table) -> pa.Table:
+            """Which hashes of each part some other part has as well, or are hot; hot ones have their 49th bit set."""
+            sets = [np.frombuffer(x.as_py(), "<u8") for x in table.column("hashes")]
+            every = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            every, n = every & U64((1 << 48) - 1), (every >> U64(48)).astype(np.int64)
+            order = np.argsort(every)
+            every, owner, n = every[order], owner[order], n[order]
+            first = _starts(every)
+            size = np.diff(np.append(first, len(every)))
+            many = np.repeat(np.add.reduceat(n, first) > hot, size) if len(every) else np.zeros(0, bool)
+            kept = np.repeat(size > 1, size) | many
+            every, owner = (every | many.astype(np.uint64) << U64(48))[kept], owner[kept]
+            parted = np.argsort(owner, kind="stable")
+            every, owner = every[parted], owner[parted]
+            begin = _starts(owner)
+            blobs = [x.tobytes() for x in np.split(every, begin[1:])] if len(every) else []
+            return pa.table({"part": pa.array(table.column("part").to_numpy()[owner[begin]], pa.int64()), "hashes": pa.array(blobs, pa.binary())})
+
+        repeated = parts.mapInArrow(lean(anchors), "bucket int, part long, hashes binary").groupBy("bucket").applyInArrow(shared, "part long, hashes binary")
+        gathered = repeated.groupBy("part").agg(F.collect_list("hashes").alias("hashes"))
+
+        def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, raw, blobs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                    yield from _sent(part, _load(raw.as_py()), np.frombuffer(b"".join(blobs or []), "<u8"), length, shards)
+
+        sent = parts.join(gathered, "part", "left").select("part", "docs", "hashes").mapInArrow(lean(fragments), _SENT_SQL)
+        sent = materialize(sent, f"{base}/sent", codec="zstd")
+        wanted = sent.where("kind = 1").select("bucket", "digest", "content", "doc_id", "part", "row", "start")
+        dealt = wanted.repartition("bucket").sortWithinPartitions("bucket", "digest", F.col("doc_id").asc_nulls_last(), "part", "row", "start")
+        marked = dealt.mapInArrow(lean(lambda batches: _sorted_shards(batches, length, memory)), "part long, spans binary")
+        marked = marked.unionByName(sent.where("kind = 0").select("part", F.col("content").alias("spans")))
+        hot_rows = sent.where("kind = 2")
+        if not hot_rows.isEmpty():
+            marked = marked.unionByName(_hot_spans(hot_rows, length, base))
+        back = materialize(marked.groupBy("part").agg(F.collect_list("spans").alias("spans")), f"{base}/spans")
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for raw, blobs in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                    table = _load(raw.as_py())
+                    spans = pa.concat_tables([_load(x) for x in blobs or []] or [_SPANS.empty_table()])
+                    yield apply(table, table.column("text").to_pylist(), _union(*(spans.column(i).to_numpy() for i in range(3))))
+
+        return materialize(parts.join(back, "part", "left").select("docs", "spans").mapInArrow(lean(cut), out_schema), f"{base}/done")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, *(f"{base}/{x}" for x in ("parts", "sent", "spans", "cores", "windows")))
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """First places of the runs of equal keys."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+
+
+def _sent(part: int, docs: pa.Table, flagged: np.ndarray, length: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """What a part sends: its distinct fragments with repeated anchors, and the spans of fragments that repeat an earlier one of the part.
+
+    flagged: hashes that other parts have or that are hot; the 49th bit tells which are.
+    """
     steps = list(_steps(docs, length))
     found = [_fragments(flat, bounds, length) for flat, bounds, _, _ in steps]
     if not found:
         return
+    flagged = np.sort(flagged & U64((1 << 49) - 1))
+    elsewhere = np.unique(flagged & U64((1 << 48) - 1))
+    hot = np.sort(flagged[flagged >> U64(48) > 0] & U64((1 << 48) - 1))
     values, n = np.unique(np.concatenate([x[0] for x in found]), return_counts=True)
     wanted = np.union1d(values[n > 1], elsewhere)
     ids = docs.column("doc_id").to_pylist()
-    seen: dict[bytes, None] = {}
-    out: dict[int, list[tuple]] = {}
+    seen: set[bytes] = set()
     own: list[tuple[int, int, int]] = []
-    for (flat, bounds, rows, starts), (hashes, first, end, text) in zip(steps, found, strict=True):
+    for (flat, bounds, rows, starts), (hashes, first, end, text, place) in zip(steps, found, strict=True):
         at = np.minimum(np.searchsorted(wanted, hashes), max(len(wanted) - 1, 0))
         chosen = np.flatnonzero(wanted[at] == hashes) if len(wanted) else np.zeros(0, np.int64)
         whole = flat.tobytes()
         bucket = (hashes[chosen] % U64(shards)).astype(np.int64).tolist()
+        is_hot = (np.isin(hashes[chosen], hot)).tolist()
         row = rows[text[chosen]].tolist()
         begin = (first[chosen] - bounds[text[chosen]] + starts[text[chosen]]).tolist()
-        for b, lo, hi, r, s in zip(bucket, first[chosen].tolist(), end[chosen].tolist(), row, begin, strict=True):
+        out: list[tuple] = []
+        for b, h, lo, hi, anchor, r, s in zip(bucket, is_hot, first[chosen].tolist(), end[chosen].tolist(), (place[chosen] - first[chosen]).tolist(), row, begin, strict=True):
             content = whole[lo:hi]
             if content in seen:
                 own.append((r, s, s + hi - lo))
             else:
-                seen[content] = None
-                out.setdefault(b, []).append((content, ids[r], r, s))
-    blobs = [_dump(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*x, strict=True), _FRAGMENTS, strict=True)], schema=_FRAGMENTS)) for x in out.values()]
-    buckets, flags = list(out), [False] * len(out)
+                seen.add(content)
+                out.append((2 if h else 1, b, _digest(content), content, anchor, ids[r], part, r, s))
+        for k in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 10_000], strict=True), _SENT, strict=True)], schema=_SENT)
     if own:
-        table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*own, strict=True), _SPANS, strict=True)], schema=_SPANS)
-        r, lo, hi = _union(table)
-        blobs.append(_dump(pa.table([pa.array(r, pa.int32()), pa.array(lo), pa.array(hi)], schema=_SPANS)))
-        buckets.append(part % shards)
-        flags.append(True)
-    yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([part] * len(blobs), pa.int64()), pa.array(flags, pa.bool_()), pa.array(blobs, pa.binary())], names=["bucket", "part", "own", "rows"])
-
-
-def _marked(table: pa.Table, length: int) -> pa.Table:
-    """Sorts one shard: (part, spans) of all fragments whose windows also start earlier."""
-    out_parts: list[int] = []
-    out_blobs: list[bytes] = []
-    which: dict[bytes, int] = {}
-    contents: list[bytes] = []
-    member, doc, part_of, row, start = [], [], [], [], []
-    for part, own, raw in zip(table.column("part").to_pylist(), table.column("own").to_pylist(), table.column("rows"), strict=True):
-        if own:  # settled in its part
-            out_parts.append(part)
-            out_blobs.append(raw.as_py())
-            continue
-        rows = _load(raw.as_py())
-        for content in rows.column("content").to_pylist():
-            k = which.setdefault(content, len(contents))
-            if k == len(contents):
-                contents.append(content)
-            member.append(k)
-        doc += rows.column("doc_id").to_pylist()
-        row.append(rows.column("row").to_numpy())
-        start.append(rows.column("start").to_numpy())
-        part_of.append(np.full(len(rows), part))
-    if contents:
-        member, row, start, part_of = np.array(member), np.concatenate(row), np.concatenate(start), np.concatenate(part_of)
-        null = np.array([d is None for d in doc])
-        doc = np.array([0 if d is None else d for d in doc], np.int64)
-        order = np.lexsort((start, row, part_of, doc, null, member))
-        member, row, start, part_of, doc, null = (x[order] for x in (member, row, start, part_of, doc, null))
-        earliest = np.append(True, np.diff(member) != 0)  # the first place of each content, in order of contents
-        document = np.empty(len(member), np.int64)
-        by_doc = np.lexsort((row, part_of, doc, null))
-        change = np.append(True, (np.diff(null[by_doc].astype(np.int8)) != 0) | (np.diff(doc[by_doc]) != 0) | (np.diff(part_of[by_doc]) != 0) | (np.diff(row[by_doc]) != 0))
-        document[by_doc] = np.cumsum(change)
-        gone = _repeats(contents, document[earliest], start[earliest], length)
-        sizes = np.array([len(c) for c in contents])
-        later = np.flatnonzero(~earliest)  # whole fragments
-        lone = np.flatnonzero(earliest)
-        frag, lo, hi = gone
-        rows_ = np.concatenate([row[later], row[lone[frag]]])
-        parts_ = np.concatenate([part_of[later], part_of[lone[frag]]])
-        los = np.concatenate([start[later], start[lone[frag]] + lo])
-        his = np.concatenate([start[later] + sizes[member[later]], start[lone[frag]] + hi])
-        order = np.argsort(parts_, kind="stable")
-        rows_, parts_, los, his = rows_[order], parts_[order], los[order], his[order]
-        begin = np.flatnonzero(np.append(True, np.diff(parts_) != 0)) if len(parts_) else np.zeros(0, np.int64)
-        for a, b in zip(begin, [*begin[1:], len(parts_)], strict=False):  # none, if nothing repeats
-            spans = pa.table([pa.array(rows_[a:b], pa.int32()), pa.array(los[a:b], pa.int64()), pa.array(his[a:b], pa.int64())], schema=_SPANS)
-            r, x, y = _union(spans)
-            out_parts.append(int(parts_[a]))
-            out_blobs.append(_dump(pa.table([pa.array(r, pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=_SPANS)))
-    return pa.table({"part": pa.array(out_parts, pa.int64()), "spans": pa.array(out_blobs, pa.binary())})
-
-
-def _repeats(contents: list[bytes], document: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        blob = _blob(*_union(*(np.array(c) for c in zip(*own, strict=True))))
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((0, 0, None, blob, None, None, part, None, None), _SENT, strict=True)], schema=_SENT)
+
+
+def _blob(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    return _dump(pa.table([pa.array(row, pa.int32()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], schema=_SPANS))
+
+
+def _by_part(part: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """(part, spans) of spans in any order."""
+    order = np.argsort(part, kind="stable")
+    part, row, lo, hi = part[order], row[order], lo[order], hi[order]
+    first = _starts(part)
+    blobs = [_blob(*_union(row[a:b], lo[a:b], hi[a:b])) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int64()), pa.array(blobs, pa.binary())], names=["part", "spans"])
+
+
+# --- shards
+
+
+class _Shard:
+    """One shard's distinct contents, each closed by a gap, appended to a text that goes to a file of the task above ``memory`` bytes, and their places."""
+
+    def __init__(self, bucket: int, memory: int):
+        self.bucket, self.memory, self.held, self.size, self.file = bucket, memory, [], 0, None
+        self.places: list[tuple[np.ndarray, ...]] = []  # null id, id, part, row, start, size
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray, *place: np.ndarray) -> None:
+        text = np.full(len(flat) + len(sizes), GAP, np.uint8)
+        at = np.ones(len(text), bool)
+        at[np.cumsum(sizes + 1) - 1] = False
+        text[at] = flat
+        text += 1
+        self.held.append(text)
+        self.size += len(text)
+        self.places.append((*place, sizes))
+        if self.file is not None or self.size > self.memory:
+            if self.file is None:
+                self.file = tempfile.TemporaryFile()  # noqa: SIM115  closed with the shard
+            for x in self.held:
+                self.file.write(x.data)
+            self.held = []
+
+    def spans(self, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(part, row, from, to) of what the contents' windows repeat."""
+        if self.size == 0:
+            return
+        if self.file is not None:
+            self.file.flush()
+            text = np.memmap(self.file, np.uint8, "r", shape=self.size)
+        else:
+            text = np.concatenate(self.held)
+        self.held = []
+        null, doc, part, row, start, sizes = (np.concatenate(x) for x in zip(*self.places, strict=True))
+        order = np.lexsort((row, part, doc, null))
+        new = np.zeros(len(order), bool)
+        for x in (null, doc, part, row):
+            new[1:] |= x[order][1:] != x[order][:-1]
+        document = np.empty(len(order), np.int64)
+        document[order] = np.cumsum(new)
+        for frag, lo, hi in _repeats(text, sizes, document, start, length, self.memory):
+            yield part[frag], row[frag], start[frag] + lo, start[frag] + hi
+
+
+def _sorted_shards(batches: Iterator[pa.RecordBatch], length: int, memory: int) -> Iterator[pa.RecordBatch]:
+    """(part, spans) from fragments in order of shard, content and place. One shard is held at a time."""
+    shard, last = None, None
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush(least: int) -> Iterator[pa.RecordBatch]:
+        if sum(len(x[0]) for x in held) > least:
+            yield _by_part(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+
+    for batch in batches:
+        bucket = batch.column(0).to_numpy()
+        digest = text_views(batch.column(1))[0].reshape(-1, 16).view("<u8")
+        flat, bounds = text_views(batch.column(2))
+        null = batch.column(3).is_null().to_numpy(zero_copy_only=False)
+        doc = batch.column(3).fill_null(0).to_numpy()
+        part, row, start = (batch.column(k).to_numpy() for k in (4, 5, 6))
+        sizes = np.diff(bounds)
+        begin = _starts(bucket)
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=False):
+            if shard is None or shard.bucket != bucket[a]:
+                if shard is not None:
+                    for x in shard.spans(length):
+                        held.append(x)
+                        yield from flush(1 << 20)
+                    release()
+                shard, last = _Shard(int(bucket[a]), memory), None
+            d = digest[a:b]
+            new = np.append(last is None or (d[0] != last).any(), (d[1:] != d[:-1]).any(axis=1))
+            last = d[-1].copy()
+            later = np.flatnonzero(~new) + a
+            if len(later):
+                held.append((part[later], row[later].astype(np.int64), start[later], start[later] + sizes[later]))
+                yield from flush(1 << 20)
+            first = np.flatnonzero(new) + a
+            if len(first):
+                inside = np.repeat(new, sizes[a:b])
+                shard.add(flat[bounds[a] : bounds[b]][inside], sizes[first], null[first], doc[first], part[first], row[first].astype(np.int64), start[first])
+    if shard is not None:
+        for x in shard.spans(length):
+            held.append(x)
+            yield from flush(1 << 20)
+    yield from flush(0)
+
+
+def _repeats(text: np.ndarray, sizes: np.ndarray, document: np.ndarray, start: np.ndarray, length: int, memory: int, scratch: Scratch | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(content, from, to): the spans of contents covered by windows that start earlier in another content or place.
 
-    document, start: the first place of each content; documents are numbered in corpus order.
+    text: contents of ``sizes`` bytes, each with a gap behind it, one higher than their bytes. document,
+    start: the first place of each content; documents are numbered in corpus order.
     """
-    text = np.frombuffer(bytes([GAP]).join(contents) + bytes([GAP]), np.uint8) + np.uint8(1)
-    sizes = np.array([len(c) for c in contents])
-    begin = np.cumsum(sizes + 1) - sizes - 1
-    of = np.repeat(np.arange(len(contents)), sizes + 1)
-    offset = np.arange(len(text)) - begin[of]
-    window = offset <= sizes[of] - length  # a whole string of the content starts here
-    gone = np.zeros(len(text), bool)
-    tail_at, tail_key = None, None  # of a run that goes on in the next batch
-
-    def settle(at: np.ndarray, run: np.ndarray) -> None:
-        # numbers below 2**24 documents of one shard and 2**39 bytes of one document
-        key = document[of[at]] << 39 | (start[of[at]] + offset[at])
-        first = np.flatnonzero(np.append(True, np.diff(run) != 0))
-        least = np.repeat(np.minimum.reduceat(key, first), np.diff(np.append(first, len(run))))
-        gone[at[key != least]] = True
-
-    held: list[np.ndarray] = []
-    for at, common in suffixes_down(text, 255, length):
-        cuts = np.flatnonzero(common < length)
-        run = np.cumsum(common < length)
-        if len(cuts) == 0:
-            held.append(at)
+    scratch = scratch or Scratch(memory)
+    ends = np.cumsum(sizes + 1)
+    begin = ends - sizes - 1
+    of = scratch.array(len(text), np.int32)
+    for s in scratch.pieces(len(text)):
+        of[s] = np.searchsorted(ends, np.arange(s.start, s.stop), side="right")
+    gone = scratch.array(len(text), bool)
+    open_: tuple[int, int, int] | None = None  # document, place and position of the earliest window of a run that goes on
+
+    for at, common in suffixes_down(text, 255, length, scratch=scratch):
+        run = np.cumsum(common < length)  # 0: goes on from the batch before
+        last = int(run[-1])
+        content = of[at]
+        offset = at - begin[content]
+        whole = np.flatnonzero(offset <= sizes[content] - length)  # a whole string of the content starts here
+        ends_open = None
+        if len(whole):
+            at, run, content, offset = at[whole], run[whole], content[whole], offset[whole]
+            doc, place = document[content], start[content] + offset
+            first = _starts(run)
+            size = np.diff(np.append(first, len(run)))
+            least = np.minimum.reduceat(doc, first)
+            here = np.where(doc == np.repeat(least, size), place, np.iinfo(np.int64).max)
+            kept = here == np.repeat(np.minimum.reduceat(here, first), size)
+            spot = np.flatnonzero(kept)  # one for each run
+            if run[0] == 0 and open_ is not None:
+                if open_[:2] < (int(doc[spot[0]]), int(place[spot[0]])):
+                    kept[spot[0]] = False
+                else:
+                    gone[open_[2]] = True
+                    open_ = None
+            gone[at[~kept]] = True
+            if run[-1] == last:
+                k = spot[-1]
+                ends_open = (int(doc[k]), int(place[k]), int(at[k]))
+        open_ = open_ if last == 0 and open_ is not None else ends_open
+    held: tuple[int, int] | None = None
+    for s in scratch.pieces(len(text)):
+        hits = np.flatnonzero(gone[s]) + s.start
+        if len(hits) == 0:
             continue
-        held.append(at[: cuts[0]])
-        _settle_run(np.concatenate(held), window, settle)
-        body, ids = at[cuts[0] : cuts[-1]], run[cuts[0] : cuts[-1]]
-        size = np.diff(cuts)
-        keep = np.repeat(size > 1, size) & window[body]
-        if keep.any():
-            settle(body[keep], ids[keep])
-        held = [at[cuts[-1] :]]
-    _settle_run(np.concatenate(held), window, settle)
-    step = np.zeros(len(text) + 1, np.int32)
-    hits = np.flatnonzero(gone)
-    step[hits] += 1
-    np.subtract.at(step, hits + length, 1)
-    covered = np.cumsum(step[:-1]) > 0
-    edge = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
-    lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return of[lo], lo - begin[of[lo]], hi - begin[of[lo]]
-
-
-def _settle_run(at: np.ndarray, window: np.ndarray, settle) -> None:
-    at = at[window[at]]
-    if len(at) > 1:
-        settle(at, np.zeros(len(at), np.int64))
-
-
-def _union(spans: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted, disjoint, maximal spans."""
-    row, lo, hi = (spans.column(i).to_numpy() for i in range(3))
+        new = np.append(held is None or hits[0] > held[1], hits[1:] > hits[:-1] + length)
+        lo, hi = hits[new], np.append(hits[:-1][new[1:]], hits[-1]) + length
+        if held is not None:
+            if new[0]:
+                lo, hi = np.append(held[0], lo), np.append(held[1], hi)
+            else:
+                lo = np.append(held[0], lo)
+        held = (int(lo[-1]), int(hi[-1]))
+        content = of[lo[:-1]]
+        yield content, lo[:-1] - begin[content], hi[:-1] - begin[content]
+    if held is not None:
+        content = of[held[0] : held[0] + 1]
+        yield content, held[0] - begin[content], held[1] - begin[content]
+
+
+# --- hot anchors
+
+
+def _hot_spans(rows: DataFrame, length: int, base: str) -> DataFrame:
+    """(part, spans) of the windows of hot anchors that start earlier."""
+    place = ["doc_id", "part", "row", "start"]
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for content, anchor, doc, part, row, start in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                for lo, hi, core in core_classes(len(content), anchor, length):
+                    out.append((_digest(content[core[0] : core[1]]) + bytes([(anchor - lo) // CLASS]), content[lo : hi - 1 + length], doc, part, row, start + lo))
+            yield _windows(out)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for content, doc, part, row, start in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                out += [(_digest(content[k : k + length]), None, doc, part, row, start + k) for k in range(len(content) - length + 1)]
+            yield _windows(out)
+
+    shared = materialize(rows.select("content", "anchor", *place).mapInArrow(lean(cores), _WINDOWS), f"{base}/cores", codec="zstd")
+    several = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    left = salted(shared, several, "key", "part", "row", "start").select("content", *place)
+    each = materialize(left.mapInArrow(lean(windows), _WINDOWS).drop("content"), f"{base}/windows", codec="zstd")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), *place)
+    firsts = each.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+    later = salted(each, firsts, "key", "part", "row", "start").where(~((F.col("part") == F.col("first.part")) & (F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.start"))))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                part, row, start = (batch.column(k).to_numpy() for k in range(3))
+                yield _by_part(part, row.astype(np.int64), start, start + length)
+
+    return later.select("part", "row", "start").repartition("part").sortWithinPartitions("part").mapInArrow(lean(packed), "part long, spans binary")
+
+
+def core_classes(size: int, anchor: int, length: int) -> Iterator[tuple[int, int, tuple[int, int]]]:
+    """(first window, end of windows, bounds of the core) of the classes of a fragment of ``size`` bytes whose anchor stands at ``anchor``.
+
+    A window's class is its distance to the anchor divided by CLASS; the core, the bytes that all windows of
+    such distances have in common, lies in each of them, so equal windows have equal cores.
+    """
+    windows = size - length + 1
+    for k in range(max(0, anchor - windows + 1) // CLASS, anchor // CLASS + 1):
+        near, far = k * CLASS, min(k * CLASS + CLASS - 1, length - ANCHOR)
+        lo, hi = max(0, anchor - far), min(windows, anchor - near + 1)
+        if lo < hi:
+            yield lo, hi, (anchor - near, anchor - far + length)
+
+
+def _windows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    columns = list(zip(*out, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _WINDOWS.split(", ")])
+
+
+def _union(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted, disjoint, maximal spans of one part: rows below 2**22 (a part ends at about 2**20), places below 2**40."""
     if len(row) == 0:
         return row, lo, hi
     order = np.lexsort((lo, row))
