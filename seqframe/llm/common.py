@@ -21,19 +21,33 @@ U64 = np.uint64
 # --- shared storage -------------------------------------------------------------------------
 
 
+#: Work folders that this session's operators have made and not removed yet.
+made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``; a folder of our own only where that is unset and all executors are threads of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("seqframe.own.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: the executors of a cluster need a folder that all of them reach")
         found = tempfile.mkdtemp(prefix="seqframe-")
         spark.conf.set("seqframe.own.dir", found)
     return found.rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/seqframe-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/seqframe-{name}-{uuid.uuid4().hex}"
+    made.append(path)
+    return path
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Removes the work folders made since ``since`` (a length of ``made``). DataFrames that read them are of no use afterwards."""
+    while len(made) > since:
+        remove(spark, made.pop())
 
 
 def materialize(df: DataFrame, path: str, shrink: int = 1, codec: str | None = None) -> DataFrame:

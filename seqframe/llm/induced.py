@@ -172,6 +172,8 @@ class _Level:
         for s in scratch.pieces(self.n):
             self.padded[s] = text[s]
         self.text = self.padded[: self.n]
+        # of bytes, the eight from any place on as one number
+        self.wide = np.ndarray(self.n + 9, ">u8", self.padded, strides=(1,)) if self.padded.dtype == np.uint8 else None
         self.seeds = self._seeds()
         self.distinct = 0
 
@@ -202,8 +204,22 @@ class _Level:
         return out
 
     def _words(self, at: np.ndarray) -> np.ndarray:
+        """The eight symbols from each place on."""
+        if self.wide is not None:
+            return self.wide[at].view(np.uint8).reshape(-1, 8)
         return self.padded[at[:, None] + np.arange(8)]
 
+    def _alike_words(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many of the eight symbols from two places on are alike before the first that is not."""
+        if self.wide is None:
+            unlike = self._words(a) != self._words(b)
+            return np.where(unlike.any(axis=1), unlike.argmax(axis=1), 8)
+        unlike = self.wide[a].astype(np.uint64) ^ self.wide[b].astype(np.uint64)
+        high = (unlike >> np.uint64(32)).astype(np.float64)
+        low = (unlike & np.uint64(0xFFFFFFFF)).astype(np.float64)
+        bits = np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1])  # places of the highest unlike bits, from 1
+        return 8 - (bits + 7) // 8
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefixes of pairs of suffixes, up to depth."""
         out = np.zeros(len(a), np.int16)
@@ -212,10 +228,9 @@ class _Level:
             left = left[(a[left] + done < n) & (b[left] + done < n)]
             if len(left) == 0:
                 break
-            unlike = self._words(a[left] + done) != self._words(b[left] + done)
-            some = unlike.any(axis=1)
-            out[left] = done + np.where(some, unlike.argmax(axis=1), 8)
-            left = left[~some]
+            alike = self._alike_words(a[left] + done, b[left] + done)
+            out[left] = done + alike
+            left = left[alike == 8]
         bound = np.minimum(np.minimum(n - a, n - b), self.depth)
         return np.minimum(out, bound).astype(np.int16)
 
@@ -625,25 +640,34 @@ class _Names(_Level):
         at, source, kind = (np.concatenate(x) for x in (at, source, kind))
         if len(at) == 0:
             return at, kind
-        symbol = text[at].astype(np.int64)
+        symbol = text[at].astype(np.int64) - low
         if not upwards:
-            symbol = -symbol
-        tie = np.where(kind == 1, 0, np.arange(len(at)))
-        order = np.lexsort((tie, kind, symbol))
-        new = np.append(True, (np.diff(symbol[order]) != 0) | (np.diff(kind[order]) != 0) | (np.diff(tie[order]) != 0))
+            symbol = high - low - symbol
+        order, new = _sorted_by(4 * symbol + kind, np.where(kind == 1, 0, np.arange(len(at))))
         rank = np.empty(len(at), np.int64)
         rank[order] = np.cumsum(new)
         step = 1
         while not new.all() and step <= 2 * self.depth:
-            key = rank[source]
-            order = np.lexsort((key, rank))
-            new = np.append(True, (np.diff(rank[order]) != 0) | (np.diff(key[order]) != 0))
+            order, new = _sorted_by(rank, rank[source])
             fresh = np.empty(len(at), np.int64)
             fresh[order] = np.cumsum(new)
             rank, source, step = fresh, source[source], 2 * step
         return at[order], kind[order]
 
 
+def _sorted_by(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by two keys of no negative numbers, and where in it a new pair begins; one sort, where the two fit in one number."""
+    width = int(second.max()).bit_length()
+    if int(first.max()).bit_length() + width <= 62:
+        both = first << width | second
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        return order, np.append(True, both[1:] != both[:-1])
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    return order, np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+
+
 def _doubled(rank: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of all suffixes of a short string, given as ranks of its symbols, by prefix doubling of what is still equal."""
     rank, m, h = rank.astype(np.int64), len(rank), 1
@@ -670,7 +694,7 @@ def _doubled(rank: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def suffixes_down(text: np.ndarray, symbols: int, depth: int, memory: int = 32 << 20, scratch: Scratch | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def suffixes_down(text: np.ndarray, symbols: int, depth: int, memory: int = 8 << 20, scratch: Scratch | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches (places, common prefixes) of all suffixes of ``text`` in descending order, compared up to ``depth`` symbols.
 
     text: integers from 1 to ``symbols`` - 1. ``memory``: bytes that a queue or an array may take before it goes to disk.

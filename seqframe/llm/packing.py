@@ -3,7 +3,8 @@
 A document's token ids, closed by an end id, are cut into pieces whose lengths are powers of two:
 as many full sequences as fit, then the binary digits of the rest, largest first. Pieces of one
 length share a bucket and each is a sequence of its own, so no sequence crosses documents and none
-is padded. A sequence's number is its rank in (bucket, document, start) order.
+is padded. Sequences are numbered bucket by bucket, from short to long, and within a bucket by hashed chunks
+of documents and starts: gapless, and independent of how rows are partitioned.
 
 Edge cases: null and empty texts have the end id alone, one piece of length 1; repeated rows are
 packed once each; an empty table gives an empty result; extra columns are ignored; a text of any

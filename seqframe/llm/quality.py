@@ -53,6 +53,21 @@ def main_script(text: str) -> str:
     return _NAMES[int(counts.argmax())]
 
 
+def _repeated(hashes: np.ndarray, text: bytes) -> np.ndarray:
+    """Windows of 8 words found twice or more: those whose hashes are, once the words themselves have been compared."""
+    _, first, back, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(n[back] > 1)
+    if len(at) == 0:
+        return at
+    known: dict[bytes, int] = {}
+    words = np.array([known.setdefault(w, len(known)) for w in text.split()])  # bytes part at the same six characters
+    windows = np.lib.stride_tricks.sliding_window_view(words, 8)
+    if (windows[at] == windows[first[back[at]]]).all():
+        return at
+    _, back, n = np.unique(windows, axis=0, return_inverse=True, return_counts=True)  # some hashes are alike by chance
+    return np.flatnonzero(n[back.reshape(-1)] > 1)
+
+
 def base_counts(flat: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each row."""
     rows = len(bounds) - 1
@@ -73,9 +88,7 @@ def base_counts(flat: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, in
                 lines.add(line)
         covered = 0
         if len(words) >= 8:
-            windows = shingle_hashes(words, 8)
-            _, back, n = np.unique(windows, return_inverse=True, return_counts=True)
-            at = np.flatnonzero(n[back] > 1)
+            at = _repeated(shingle_hashes(words, 8), flat[lo:hi].tobytes())
             if len(at):
                 step = np.zeros(len(words) + 1, np.int64)
                 step[at] += 1

@@ -14,8 +14,8 @@ suffix sort runs over shards that are built so that equal strings always meet in
 4. A shard is sorted by ``induced.suffixes_down``, with common-prefix values: a run of suffixes that
    share ``length`` bytes is one string, and all its places but the earliest are marked. Text, seeds, names
    and queues lie on disk above ``memory`` bytes, so a shard may be far larger than that.
-5. The fragments of an anchor that occurs more than HOT times differ at their ends only; they would make one
-   shard of any size. Their windows are dealt by content instead: first by the core that CLASS windows
+5. The fragments of one anchor may differ at their ends only, and so many of them that they alone would fill
+   a shard of mean size (``hot``) would make one of any size. Their windows are dealt by content instead: first by the core that CLASS windows
    in a row share, and where a core repeats by the whole window, as digests of 128 bits.
 6. The marked spans go back to the parts and are cut from the texts.
 
@@ -51,9 +51,8 @@ PART_BYTES = 8 << 20
 STEP_BYTES = 1 << 20
 #: Corpus bytes for each shard, in the mean; and the bytes that each array or queue of its sort holds before it goes to disk.
 SHARD_BYTES = 16 << 20
-MEMORY = 32 << 20
-#: Fragments of one anchor above which its windows are dealt by content, and windows of one core.
-HOT = 2000
+MEMORY = 8 << 20
+#: Windows of a hot anchor that share a core.
 CLASS = 16
 #: A byte that no UTF-8 text has; with symbols one higher than bytes it stays below 255.
 GAP = 0xFD
@@ -99,7 +98,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for block in blocks(batch, "text", PART_BYTES // 4):
-            texts = block.column(1).cast(pa.binary()).fill_null(b"")
+            texts = block.column(1).cast(pa.binary())
             held.append(block.set_column(1, pa.field("text", pa.binary()), texts))
             size += texts.nbytes
             if size >= PART_BYTES or sum(len(x) for x in held) > 1 << 20:
@@ -121,7 +120,7 @@ def _steps(docs: pa.Table, length: int) -> Iterator[tuple[np.ndarray, np.ndarray
 
     for row, text in enumerate(docs.column("text")):
         text = text.as_py()
-        if len(text) < length:
+        if text is None or len(text) < length:
             continue
         for at in range(0, len(text) - length + 1, STEP_BYTES):
             piece = text[at : at + STEP_BYTES + length - 1]
@@ -172,14 +171,16 @@ def _fragments(flat: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.nd
 # --- the operator ---------------------------------------------------------------------------
 
 
-def removed_spans(docs: DataFrame, apply, out_schema, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, memory: int = MEMORY, hot: int = HOT) -> DataFrame:
+def removed_spans(docs: DataFrame, apply, out_schema, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, memory: int = MEMORY, hot: int | None = None) -> DataFrame:
     """``apply(documents, texts, spans)`` for each part -> RecordBatch of ``out_schema``.
 
     documents: the part's rows (doc_id, text as bytes and, with ``carry``, all columns of ``docs`` by
-    place: c0, c1 ...); spans: rows and bounds of the bytes to go, sorted and disjoint.
+    place: c0, c1 ...); texts: theirs, null where a text is; spans: rows and bounds of the bytes to go, sorted and disjoint.
+    hot: fragments of one anchor beyond which its windows are dealt by content.
     """
     if length < ANCHOR:
         raise ValueError(f"length must be at least {ANCHOR}")
+    hot = SHARD_BYTES // (2 * length) if hot is None else hot
     spark = docs.sparkSession
     base = work_path(spark, "suffixes")
     flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
@@ -561,6 +562,7 @@ def digest_report(docs: DataFrame, *, length: int = 100, **columns: str) -> Data
         ids = table.column("doc_id")
         rows = _by_row(len(texts), spans)
         gone = [sum(hi - lo for lo, hi in r) for r in rows]
+        texts = [t or b"" for t in texts]
         kept = [hashlib.sha256(_kept(t, r)).hexdigest() for t, r in zip(texts, rows, strict=True)]
         return pa.RecordBatch.from_arrays([ids.combine_chunks(), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -582,11 +584,11 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def cut_texts(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with repeated passages cut from their texts; characters that a span would split stay whole. Null texts become empty."""
+    """The rows of ``docs`` with repeated passages cut from their texts; characters that a span would split stay whole, and null texts stay null."""
     place = docs.columns.index(text_col)
 
     def apply(table: pa.Table, texts: list[bytes], spans) -> pa.RecordBatch:
-        kept = [_kept(t, whole_characters(t, r)).decode() for t, r in zip(texts, _by_row(len(texts), spans), strict=True)]
+        kept = [None if t is None else _kept(t, whole_characters(t, r)).decode() for t, r in zip(texts, _by_row(len(texts), spans), strict=True)]
         columns = [pa.array(kept, pa.string()) if i == place else table.column(f"c{i}").combine_chunks() for i in range(width)]
         return pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(width)])
 

@@ -21,15 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import encoders
-from .common import blocks, lean, pick, work_path
+from .common import blocks, lean, pick, salted, work_path
 
 _CACHE = T.StructType([T.StructField("version", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
 
-#: Into so many parts a digest shared by many documents is split in the join back.
-SALTS = 32
-
-
 def _exists(spark, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -53,7 +49,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, l
     # One document stands for each digest that the cache lacks. Its text is fetched by a hash join that
     # builds on the narrow side, so no texts are sorted; hot groups shrink to one row before any shuffle of texts.
     known = read_cache(spark, cache).where(F.col("version") == version).select("digest")
-    groups = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    groups = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     standing = groups.join(known, "digest", "left_anti")
     wanted = standing.select(F.col("doc_id").alias("s_id"), F.col("digest").alias("s_digest")).hint("shuffle_hash")
     misses = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("s_id")) & (digest == F.col("s_digest")), "left_semi")
@@ -75,9 +71,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, l
 
     misses.select("text").mapInArrow(lean(encode), _CACHE).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-    # the join back is salted: a digest of several documents is repeated for each salt, one of a single document is not
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    salts = F.when(F.col("n") == 1, F.array(salt)).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    spread = groups.join(counts, "digest").select("digest", "n_tokens", F.explode(salts).alias("salt"))
-    joined = keyed.withColumn("salt", salt).join(spread, ["digest", "salt"])
+    # a digest that a large share of the documents has is dealt over all tasks
+    joined = salted(keyed, counts, "digest", "doc_id")
     return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline as cp
-from seqframe.llm import queries
+from seqframe.llm import common, queries
 from seqframe.llm.common import materialize, work_path
 from tests.llm.conftest import SF
 
@@ -66,6 +66,59 @@ def test_rows_without_or_of_one_id_stand_on_their_own(spark, make):
     assert len(left) == len(clean) and set(left) < {*clean, (-1, near)}
 
 
+@pytest.mark.parametrize("stage", range(4))
+def test_each_stage_with_odd_rows(spark, make, stage):
+    """Null, empty, blank and very long texts, null and repeated ids, repeated rows, clashing names, an empty table."""
+    rng = random.Random(stage)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    plain, long, twice = prose(80), prose(40_000), prose(90)
+    more = [(1000 + i, prose(100)) for i in range(30)]
+    rows = [(1, plain), (2, None), (3, ""), (4, " \t\n"), (None, None), (5, long), (6, twice), (6, twice), (None, prose(70)), *more]
+    rows = [(*r, "en") for r in rows]
+    name, apply = cp.STAGES[stage]
+    df = make(rows)
+    out = apply(spark, df, SF)
+    assert out.columns == df.columns and out.schema["n_chars"].dataType == df.schema["n_chars"].dataType
+    flat = out.toDF(*(f"c{i}" for i in range(len(out.columns)))).collect()
+    texts = sorted((str(r[0]), str(r[1])) for r in flat)
+    whole = sorted((str(i), str(t)) for i, t, _ in rows)
+    assert all(r[c] == "x" for r in flat for c in range(5, len(df.columns)))
+    if name == "quality rules":
+        assert texts == sorted(x for x in whole if len(x[1].split()) >= 20)
+    elif name == "near duplicates":
+        assert texts == sorted([*(x for x in whole if x[0] != "6"), ("6", twice)])
+    elif name == "repeated passages":
+        assert texts == sorted([*(x for x in whole if x[0] != "6"), ("6", twice), ("6", "")])
+        assert all(r[4] == len(r[1] or "") for r in flat)
+    else:
+        assert texts == whole
+    assert apply(spark, make([]), SF).count() == 0
+
+
+def test_packing_stage_with_odd_rows(spark, make, odd):
+    got = cp.packed_sequences(spark, make(odd), SF).collect()
+    assert {r["doc_id"] for r in got} == {i for i, _ in odd}
+    assert sorted(r["sequence_id"] for r in got) == list(range(len(got)))
+    assert cp.packed_sequences(spark, make([]), SF).count() == 0
+
+
+def test_work_tables_are_removed(spark, tmp_path):
+    import os
+
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        start = len(common.made)
+        cp.run(spark, SF).count()
+        left = {d: os.listdir(tmp_path / d) for d in os.listdir(tmp_path)}
+        assert sorted(k.split("-")[1] for k in left) == ["pieces", "pipeline"] and [v for k, v in left.items() if "pipeline" in k] == [["3"]]
+        common.sweep(spark, start)
+        assert not os.listdir(tmp_path)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run_over_whole_tables(spark, name):
     table = "pages" if name.startswith(("op5", "op10")) else "documents"

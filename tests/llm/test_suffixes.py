@@ -192,7 +192,6 @@ def test_hot_anchors(make, monkeypatch, hot):
     rows += [(None, passage), (100, None), (101, ""), (102, passage + passage)]
     got: dict = {}
     df = make(rows).repartition(6)
-    monkeypatch.setattr(sd, "HOT", hot)
     monkeypatch.setattr(sd.removed_spans, "__kwdefaults__", sd.removed_spans.__kwdefaults__ | {"hot": hot, "memory": 500})
     for r in sd.digest_report(df, length=40).collect():
         got.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))

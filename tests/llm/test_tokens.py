@@ -1,13 +1,19 @@
 from __future__ import annotations
 
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from seqframe.llm import encoders, packing, quality, token_counts
+from seqframe.llm.common import text_views
+from tests.llm.conftest import SF
 
 BPE = "byte_bpe_50k.json"
 
@@ -22,6 +28,19 @@ def test_fast_path_equals_the_library(text):
     assert encoders.encode(BPE, [text]) == [library(text)]
 
 
+def test_fast_path_equals_the_library_on_the_tables(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").select("text").collect()]
+    texts += [r["html"] or "" for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    whole = encoders.library_tokenizer(BPE).encode_batch(texts, add_special_tokens=False)
+    assert encoders.encode(BPE, texts) == [x.ids for x in whole]
+
+
+def test_a_digest_that_many_documents_have(make):
+    rows = [(i, "one text for most") for i in range(300)] + [(1000 + i, f"text {i}") for i in range(20)]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(make(rows), BPE).collect()}
+    assert got == {i: len(library(t)) for i, t in rows}
+
+
 def test_counts(make, odd, spark):
     cache = spark.conf.get("spark.checkpoint.dir") + "/cache-test"
     rows = token_counts.count_tokens(make(odd), BPE, cache=cache, limit=5).collect()
@@ -93,6 +112,65 @@ def test_base_counts(make, odd):
     assert quality.quality(make([])).count() == 0
 
 
+def plain_repeats(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {i + k for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for k in range(8)}
+    return len(covered)
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_repeated_words_do_not_rest_on_hashes(monkeypatch, collide):
+    """With hashes that say nothing, or little, the words themselves decide."""
+    if collide:
+        real = quality.shingle_hashes
+        monkeypatch.setattr(quality, "shingle_hashes", lambda words, width: real(words, width) % np.uint64(3))
+    rng = np.random.default_rng(2)
+    for n in (7, 8, 20, 90, 400):
+        for spread in (1, 2, 3, 50):
+            text = " ".join("é" * int(k) + "x" for k in rng.integers(0, spread, n)) + "\n\t "
+            flat, bounds = text_views(pa.array([text]))
+            assert quality.base_counts(flat, bounds)[0][4] == plain_repeats(text)
+
+
+def plain_kept(rows):
+    """The bands and verdicts in plain Python, from the figures of ``measure``."""
+    figures = {"chars_per_token": 0.16, "fallback_share": 0.02, "token_entropy": 0.033}
+    good = [r for r in rows if not r["base_failed"]]
+    cut = lambda v: [sorted(v)[max(0, math.ceil(p * len(v)) - 1)] for p in (0.05, 0.5, 0.95)]
+
+    def cuts(some):
+        return {c: cut([r[c] for r in some if r[c] is not None]) for c in figures}
+
+    out = []
+    whole = cuts(good) if good else {}
+    for r in rows:
+        if r["base_failed"] or r["n_tokens"] is None:
+            out.append(False)
+            continue
+        mine = [x for x in good if x["band"] == r["band"]]
+        names = Counter(x["script"] for x in mine)
+        script = min(k for k in names if names[k] == max(names.values()))
+        pool = cuts([x for x in good if x["script"] == script]) if script != "none" else whole
+        own, here, off = len(mine) / (len(mine) + 10), cuts(mine), {}
+        for c, least in figures.items():
+            mid, pool_mid = here[c][1], pool[c][1]
+            wide, pool_wide = max(here[c][2] - here[c][0], least), max(pool[c][2] - pool[c][0], least)
+            both = math.sqrt(own * wide**2 + (1 - own) * pool_wide**2 + own * (1 - own) * (mid - pool_mid) ** 2)
+            off[c] = (r[c] - (own * mid + (1 - own) * pool_mid)) / both / math.sqrt(1 + 128 / max(r["n_tokens"], 1))
+        fits = abs(off["chars_per_token"]) <= 1.6 and off["token_entropy"] >= -1.0 and off["chars_per_token"] + off["token_entropy"] >= -1.4 and off["fallback_share"] <= 5.0
+        out.append(fits and 0.6 <= r["chars_per_token"] <= 12.0 and r["fallback_share"] <= 0.6 and r["token_entropy"] >= 0.5)
+    return out
+
+
+def test_verdicts_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = quality.measure(docs, "piece_bpe_32k.model").collect()
+    expected = {r["doc_id"]: k for r, k in zip(rows, plain_kept(rows), strict=True)}
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(docs).collect()}
+    assert got == expected and {True, False} == set(got.values())
+
+
 def test_bands_reject_decorated_text_and_keep_prose(make):
     import random
 
