@@ -23,6 +23,9 @@ RESIDUE_NAMES = {
 }
 BASE_NAMES = {"A": "adenine", "C": "cytosine", "G": "guanine", "T": "thymine"}
 SHORT_PROTEIN = 50
+#: What is put before the headers of derived sequences, and the forms of mutation lines.
+PROTEIN_MARK, REVERSE_MARK, FRAME_MARK = "[PROT | ORF@", "[RC] ", "[PROT | frame "
+SUBSTITUTION_LINE, DELETION_LINE, INSERTION_LINE = "SUB a[%d]=%s b[%d]=%s", "DEL a[%d]=%s", "INS b[%d]=%s"
 
 
 # --- size and access
@@ -284,11 +287,11 @@ def codon_trace(seq: Column) -> Column:
 
 
 def protein_header(header: Column, orf: Column) -> Column:
-    return F.concat(F.lit("[PROT | ORF@"), orf.cast("string"), F.lit("] "), header)
+    return F.concat(F.lit(PROTEIN_MARK), orf.cast("string"), F.lit("] "), header)
 
 
 def reverse_header(header: Column) -> Column:
-    return F.concat(F.lit("[RC] "), header)
+    return F.concat(F.lit(REVERSE_MARK), header)
 
 
 # --- changes
@@ -320,7 +323,7 @@ def base_name(symbol: Column) -> Column:
 def mutation_text(kind: Column, pos_a: Column, pos_b: Column, sym_a: Column, sym_b: Column) -> Column:
     """One line per mutation, positions from 0."""
     return (
-        F.when(kind == "substitution", F.format_string("SUB a[%d]=%s b[%d]=%s", pos_a, sym_a, pos_b, sym_b))
-        .when(kind == "deletion", F.format_string("DEL a[%d]=%s", pos_a, sym_a))
-        .otherwise(F.format_string("INS b[%d]=%s", pos_b, sym_b))
+        F.when(kind == "substitution", F.format_string(SUBSTITUTION_LINE, pos_a, sym_a, pos_b, sym_b))
+        .when(kind == "deletion", F.format_string(DELETION_LINE, pos_a, sym_a))
+        .otherwise(F.format_string(INSERTION_LINE, pos_b, sym_b))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import reverse_complement
-from ..functions.sequences import translate_codons
+from ..functions.sequences import FRAME_MARK, translate_codons
 
 
 def _frame_locked(s: Column) -> Column:
@@ -37,4 +37,4 @@ def six_frames(seqs: DataFrame, *, seq_col: str = "seq", frame_locked: bool = Fa
 
 
 def frame_header(header: Column, frame: Column, orf: Column) -> Column:
-    return F.concat(F.lit("[PROT | frame "), frame, F.lit(" | ORF@"), orf.cast("string"), F.lit("] "), header)
+    return F.concat(F.lit(FRAME_MARK), frame, F.lit(" | ORF@"), orf.cast("string"), F.lit("] "), header)

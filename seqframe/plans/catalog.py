@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import report
+from ..errors import SeqIOError
 from ..functions import alphabet as al
 from ..functions import sequences as sq
 from ..functions import sql as sqlfunctions
@@ -72,8 +73,48 @@ def _score_sql(source: str, mode: str, band: int | None = None) -> str:
  select pair_id, cast({pick} as int) as score from (select pair_id, i, m, {best} as best from w) z group by pair_id"""
 
 
+def _trace_sql(source: str, mode: str, band: int | None = None) -> str:
+    """DuckDB: whole alignments by a recursive query. Each cell has its score and its moves (D, U, L) from the start; ties go to D, then U."""
+    free, local = mode != "global", mode == "local"
+    cell = lambda s, p: f"{{'s': cast({s} as bigint), 'p': {p}}}"
+    d = "h[j].s + case when substr(a, i + 1, 1) = substr(b, j, 1) then 2 else -1 end"
+    u = "h[j + 1].s - 2"
+    best = f"case when {d} >= {u} then {cell(d, 'h[j].p || ' + repr('D'))} else {cell(u, 'h[j + 1].p || ' + repr('U'))} end"
+    if local:
+        best = f"case when greatest({d}, {u}) <= 0 then {cell(0, repr(''))} else {best} end"
+    left = f"case when acc[len(acc)].s - 2 > x[1].s then {cell('acc[len(acc)].s - 2', 'acc[len(acc)].p || ' + repr('L'))} else x[1] end"
+    border = cell(0, repr("")) if free else cell("-2 * (i + 1)", "repeat('U', i + 1)")
+    first = cell(0, repr("")) if free else cell("-2 * j", "repeat('L', j)")
+    if band:
+        never = cell(-100000, repr(""))
+        best = f"case when abs(i + 1 - j) <= {band} then {best} else {never} end"
+        left = f"case when abs(i + 1 - len(acc)) <= {band} then {left} else {never} end"
+        border = f"case when i + 1 <= {band} then {border} else {never} end"
+        first = f"case when j <= {band} then {first} else {never} end"
+    row = f"list_reduce(list_prepend([{border}], list_transform(range(1, n + 1), lambda j: [{best}])), lambda acc, x: list_append(acc, {left}))"
+    spot = "list_position(list_transform(h, lambda x: x.s), list_max(list_transform(h, lambda x: x.s)))"
+    ends = {
+        "global": "select pair_id, i as ei, n as ej, h[n + 1] as c from w where i = m",
+        "local": f"select pair_id, i as ei, k - 1 as ej, h[k] as c from (select *, {spot} as k from w) z qualify row_number() over (partition by pair_id order by h[k].s desc, i) = 1",
+        "semi-global": f"select pair_id, ei, ej, c from (select pair_id, m as ei, k - 1 as ej, h[k] as c, 0 as t, m as i from (select *, {spot} as k from w where i = m) z union all select pair_id, i, n, h[n + 1], 1, i from w) y qualify row_number() over (partition by pair_id order by c.s desc, t, i) = 1",
+    }[mode]
+    letters = lambda text, skip, start: f"array_to_string(list_transform(range(1, length(p) + 1), lambda k: case when substr(p, k, 1) = '{skip}' then '-' else substr({text}, {start} + length(replace(substr(p, 1, k), '{skip}', '')), 1) end), '')"
+    change = "case substr(p, k, 1) when 'L' then 'insertion ' when 'U' then 'deletion ' else 'substitution ' end || (sa + length(replace(substr(p, 1, k - 1), 'L', ''))) || ' ' || (sb + length(replace(substr(p, 1, k - 1), 'U', '')))"
+    return f"""with recursive q as (select pair_id, a, b, length(a) as m, length(b) as n from {source} x),
+ w as (select pair_id, a, b, m, n, cast(0 as bigint) as i, list_transform(range(0, n + 1), lambda j: {first}) as h from q
+  union all select pair_id, a, b, m, n, i + 1, {row} from w where i < m),
+ e as ({ends}),
+ f as (select e.pair_id, c.s as score, c.p as p, a, b, ei, ej, ei - length(replace(c.p, 'L', '')) as sa, ej - length(replace(c.p, 'U', '')) as sb from e join q on e.pair_id = q.pair_id),
+ g as (select *, {letters('a', 'L', 'sa')} as x, {letters('b', 'U', 'sb')} as y from f)
+ select pair_id, cast(score as int) as score, x as aligned_a, y as aligned_b, cast(sa as int) as a_start, cast(ei as int) as a_end, cast(sb as int) as b_start, cast(ej as int) as b_end,
+  array_to_string(list_transform(list_filter(range(1, length(p) + 1), lambda k: substr(x, k, 1) <> substr(y, k, 1)), lambda k: {change}), ', ') as changes from g"""
+
+
 def _scratch(spark: SparkSession) -> str:
+    """A folder of its own in the cluster's shared folder; a temporary one only where all executors are threads of this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise SeqIOError("spark.checkpoint.dir is not set: the executors of a cluster need a folder that all of them reach")
     return f"{shared}/seqframe-files-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="seqframe-files-")
 
 
@@ -355,6 +396,36 @@ def sw_local(spark, d):
     return _aligned(spark, d, mode="local").select("pair_id", "alignment.score")
 
 
+def _braced(sql: str) -> str:
+    return sql.replace("{", "{{").replace("}", "}}")
+
+
+def _traced(spark, d, **options):
+    x = an.align_pairs(view(spark, d, "wild"), **options).select("pair_id", "alignment.*")
+    change = lambda m: F.concat_ws(" ", m["kind"], m["pos_a"].cast("string"), m["pos_b"].cast("string"))
+    return x.select("pair_id", "score", "aligned_a", "aligned_b", "a_start", "a_end", "b_start", "b_end", F.array_join(F.transform("mutations", change), ", ").alias("changes"))
+
+
+@query(_braced(_trace_sql(duck("wild"), "global")))
+def trace_global(spark, d):
+    return _traced(spark, d)
+
+
+@query(_braced(_trace_sql(duck("wild"), "semi-global")))
+def trace_semiglobal(spark, d):
+    return _traced(spark, d, mode="semi-global")
+
+
+@query(_braced(_trace_sql(duck("wild"), "local")))
+def trace_local(spark, d):
+    return _traced(spark, d, mode="local")
+
+
+@query(_braced(_trace_sql(duck("wild"), "global", 8)))
+def trace_banded(spark, d):
+    return _traced(spark, d, band=8)
+
+
 @query("select pair_id, kind, cast(count(*) as bigint) as n from {alleles} x where kind <> 'identical' group by pair_id, kind")
 def mutation_counts(spark, d):
     found = mutations.explode_mutations(_aligned(spark, d).drop("kind"), "pair_id")

@@ -38,6 +38,10 @@ VIEWS = {
  case o_orderkey % 4 when 0 then 'identical' when 1 then 'substitution' when 2 then 'deletion' else 'insertion' end as kind
  from (select o_orderkey, translate(md5(cast(o_orderkey as {T})), '0123456789abcdef', 'ACGTACGTACGTACGT') as a,
   cast(4 + o_orderkey % 24 as int) as p from {orders}) t""",
+    "wild": """select pair_id, substr(x, 1, cast(7 + pair_id % 6 as int)) as a,
+ concat(substr(x, cast(1 + pair_id % 3 as int), 5), substr(y, 1, cast(2 + pair_id % 5 as int)), substr(x, 9, 2)) as b
+ from (select o_orderkey as pair_id, translate(md5(cast(o_orderkey as {T})), '0123456789abcdef', 'ACGTACGTACGTACGT') as x,
+  translate(md5(concat(cast(o_orderkey as {T}), 'x')), '0123456789abcdef', 'ACGTACGTACGTACGT') as y from {orders}) t""",
     "coding": f"""select pair_id, p, kind, h, concat('ATG', {_coded("h")}, 'TAA') as a,
  case kind when 'identical' then concat('ATG', {_coded("h")}, 'TAA')
   when 'synonymous' then concat('ATG', substr({_coded("h")}, 1, 3 * p + 2), translate(substr({_coded("h")}, 3 * p + 3, 1), 'TA', 'CG'), substr({_coded("h")}, 3 * p + 4), 'TAA')
