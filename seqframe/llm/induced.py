@@ -15,7 +15,7 @@ queue has a run per group of symbols, and what a group induces into itself is or
 
 Text, seeds, names and orders are arrays of a ``Scratch``: above ``memory`` bytes they lie in unnamed files
 of the task, which end with it, as Spark's own sorters spill. Everything else is made in pieces of
-``memory`` / 64 elements. Sorting and common prefixes go to ``depth`` symbols: suffixes that agree so far
+``memory`` / 64 elements, PIECE at most. Sorting and common prefixes go to ``depth`` symbols: suffixes that agree so far
 count as equal.
 """
 
@@ -28,12 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 
 
+#: Elements that are taken at once, at most: more would only leave the processor's caches.
+PIECE = 1 << 17
+
+
 class Scratch:
     """Arrays of one sort; those above ``memory`` bytes are mapped from unnamed files. ``mapped``: bytes in such files so far."""
 
     def __init__(self, memory: int):
         self.memory, self.mapped, self.spilled, self.levels = memory, 0, 0, 0
-        self.piece = max(8, memory // 64)
+        self.piece = max(8, min(memory // 64, PIECE))
 
     def array(self, n: int, kind) -> np.ndarray:
         size = n * np.dtype(kind).itemsize
@@ -694,7 +698,7 @@ def _doubled(rank: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def suffixes_down(text: np.ndarray, symbols: int, depth: int, memory: int = 8 << 20, scratch: Scratch | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def suffixes_down(text: np.ndarray, symbols: int, depth: int, memory: int = 32 << 20, scratch: Scratch | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches (places, common prefixes) of all suffixes of ``text`` in descending order, compared up to ``depth`` symbols.
 
     text: integers from 1 to ``symbols`` - 1. ``memory``: bytes that a queue or an array may take before it goes to disk.

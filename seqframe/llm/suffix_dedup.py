@@ -15,7 +15,7 @@ suffix sort runs over shards that are built so that equal strings always meet in
    share ``length`` bytes is one string, and all its places but the earliest are marked. Text, seeds, names
    and queues lie on disk above ``memory`` bytes, so a shard may be far larger than that.
 5. The fragments of one anchor may differ at their ends only, and so many of them that they alone would fill
-   a shard of mean size (``hot``) would make one of any size. Their windows are dealt by content instead: first by the core that CLASS windows
+   a shard (``hot``) would make one of any size. Their windows are dealt by content instead: first by the core that CLASS windows
    in a row share, and where a core repeats by the whole window, as digests of 128 bits.
 6. The marked spans go back to the parts and are cut from the texts.
 
@@ -50,8 +50,10 @@ ANCHOR = 24
 PART_BYTES = 8 << 20
 STEP_BYTES = 1 << 20
 #: Corpus bytes for each shard, in the mean; and the bytes that each array or queue of its sort holds before it goes to disk.
-SHARD_BYTES = 16 << 20
-MEMORY = 8 << 20
+SHARD_BYTES = 4 << 20
+MEMORY = 32 << 20
+#: Bytes that the fragments of one anchor may take in its shard; beyond them its windows are dealt by content.
+HOT_BYTES = 16 << 20
 #: Windows of a hot anchor that share a core.
 CLASS = 16
 #: A byte that no UTF-8 text has; with symbols one higher than bytes it stays below 255.
@@ -180,7 +182,7 @@ def removed_spans(docs: DataFrame, apply, out_schema, *, length: int = 100, id_c
     """
     if length < ANCHOR:
         raise ValueError(f"length must be at least {ANCHOR}")
-    hot = SHARD_BYTES // (2 * length) if hot is None else hot
+    hot = HOT_BYTES // (2 * length) if hot is None else hot
     spark = docs.sparkSession
     base = work_path(spark, "suffixes")
     flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
