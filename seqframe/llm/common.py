@@ -89,7 +89,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """``docs``, stored once, with a column ``ROW``: a number of each row's own, whatever its id; null and repeated ids tell no rows apart."""
     names = docs.columns
     flat = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn(ROW, F.monotonically_increasing_id())
-    return materialize(flat, work_path(docs.sparkSession, "rows")).toDF(*names, ROW)
+    return materialize(flat, work_path(docs.sparkSession, "rows"), codec="zstd").toDF(*names, ROW)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
