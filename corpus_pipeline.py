@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +15,31 @@ from seqframe.llm.common import ROW, keyed, made, materialize, remove, sweep, wi
 ORACLE_SQL = None
 
 
+#: Work folders of the stage that was called last.
+_left: list[str] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage first removes what the stage before it has stored: its result lies in Parquet by then, as the next one's input."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, *_left)
+        before = len(made)
+        out = f(spark, docs, sf_dir)
+        _left[:] = made[before:]
+        return out
+
+    return run
+
+
 # Every stage but the last returns all columns of its input, by place: names that differ in case only, or
 # that an operator uses itself, do no harm. Rows are told apart by a key of their own, so repeated rows and
 # rows of a repeated or null doc_id are judged one by one. An empty table gives an empty one, and texts of
 # any length are taken whole.
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the fertility bands reject go.
 
@@ -27,6 +49,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return without(rows, ROW, quality.quality(rows, id_col=ROW).where(~F.col("kept")).select("doc_id")).drop(ROW)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8) stays: that of the smallest doc_id, null ids last.
 
@@ -35,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return minhash.deduplicate(docs, width=5, threshold=(80, 100))
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes or more that start earlier in the corpus are cut from the texts, and n_chars is counted anew.
 
@@ -49,6 +73,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return flat.toDF(*names)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, up to its error budget, go.
 
@@ -57,6 +82,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW).drop(ROW)
 
 
+@_stage
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Binary-length pieces of the documents' tokens with their sequence numbers; the columns are those of ``packing.pack``.
 
