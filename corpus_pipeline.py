@@ -15,19 +15,23 @@ from seqframe.llm.common import ROW, keyed, made, materialize, remove, sweep, wi
 ORACLE_SQL = None
 
 
+LAST = "packed_sequences"
 #: Work folders of the stage that was called last.
 _left: list[str] = []
 
 
 def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage first removes what the stage before it has stored: its result lies in Parquet by then, as the next one's input."""
+    """A stage first removes what the stage before it has stored: its result lies in Parquet by then, as the next one's input.
+
+    What the last stage has stored stays, as nothing says when its result has been read.
+    """
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         remove(spark, *_left)
         before = len(made)
         out = f(spark, docs, sf_dir)
-        _left[:] = made[before:]
+        _left[:] = [] if f.__name__ == LAST else made[before:]
         return out
 
     return run
