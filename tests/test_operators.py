@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -159,6 +162,24 @@ def test_kmers(spark):
         kmers.spectrum(reads, 0)
 
 
+@pytest.mark.parametrize("k", [3, 8, 31, 33])
+def test_seed_candidates_by_brute_force(spark, k):
+    rng = random.Random(k)
+    texts = [None, "", "ACGN" * 12] + ["".join(rng.choices("ACGTNé", (30, 30, 30, 30, 1, 1), k=rng.randint(0, 70))) for _ in range(40)]
+    texts += [(t or "")[5:] for t in texts]
+    sets = [{t[i : i + k] for i in range(len(t or "") - k + 1) if set(t[i : i + k]) <= set("ACGT")} if t else set() for t in texts]
+    left = spark.createDataFrame(list(enumerate(texts)), "a long, seq string")
+    pairs = kmers.seed_candidates(left, left.withColumnRenamed("a", "b"), k, id_left="a", id_right="b", least=2, salts=3, frequent=5)
+    assert {tuple(r) for r in pairs.collect()} == {(i, j, len(x & y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if len(x & y) >= 2}
+
+
+def test_seeds_are_never_broadcast(spark):
+    """Spark takes k-mers for as few as their sequences, and sent all of them to every worker."""
+    reads = spark.range(100).selectExpr("id as a", "repeat('ACGT', 10) as seq")
+    plan = kmers.seed_candidates(reads, reads.withColumnRenamed("a", "b"), 12, id_left="a", id_right="b")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [kmer" in plan and not re.search(r"BroadcastHashJoin \[kmer#\d+L?, __s", plan)
+
+
 def test_quality_control(spark):
     reads = spark.createDataFrame([(0, "ACGT", "IIII"), (1, "GGCC", "5555"), (2, "ATAT", "????")], "read_id int, seq string, qual string")
     r = qc.report(reads)
