@@ -441,12 +441,19 @@ def write_fastq(reads, path: str, compression: str | None = None) -> None:
 
 
 def sniff(path: str) -> str:
-    """'fasta' or 'fastq', by the first byte that is not blank; FASTA where neither mark is found."""
-    name = list_files(path)[0][0]
-    system, file = _system(name)
-    with system.open_input_stream(file, compression="gzip" if file.endswith(".gz") else None) as f:
-        head = f.read(4096).lstrip()
-    return "fastq" if head[:1] == b"@" else "fasta"
+    """'fasta' or 'fastq', by the first byte that is not blank, of the first file that has one; FASTA where neither mark is found.
+
+    Spark writes files without rows, too: such tell nothing of the others.
+    """
+    for name, size in list_files(path):
+        if not size:
+            continue
+        system, file = _system(name)
+        with system.open_input_stream(file, compression="gzip" if file.endswith(".gz") else None) as f:
+            while head := f.read(4096):
+                if head := head.lstrip():
+                    return "fastq" if head[:1] == b"@" else "fasta"
+    return "fasta"
 
 
 def read_any(spark: SparkSession, path: str):

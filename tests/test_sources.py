@@ -121,6 +121,17 @@ def test_files_that_land_later_are_read_whatever_their_names(spark, tmp_path):
     assert run() == sorted(h for h, _, _ in reads)
 
 
+def test_format_is_told_by_the_first_file_with_data(spark, tmp_path):
+    reads = random_reads(20)
+    (tmp_path / "part-0.txt.gz").write_bytes(gzip.compress(b""))
+    (tmp_path / "part-1.txt").write_bytes(b"")
+    (tmp_path / "part-2.txt").write_bytes(b"\n" * 5000)
+    assert fastq.sniff(str(tmp_path)) == "fasta"
+    (tmp_path / "part-3.txt.gz").write_bytes(gzip.compress(as_fastq(reads).encode()))
+    assert fastq.sniff(str(tmp_path)) == "fastq"
+    assert fastq.read_any(spark, str(tmp_path)).count() == len(reads)
+
+
 def test_fasta_text(spark):
     text = "lost\n>a one\nacg\n;note\n u \n>empty\n>b\r\nMKE*\r\n"
     rows = fasta.parse_fasta(spark.createDataFrame([(7, text)], "id int, text string"), "text", "id").orderBy("seq_id").collect()
