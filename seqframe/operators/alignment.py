@@ -4,10 +4,17 @@ Whole batches of pairs are filled at once, row by row. With a linear gap a row's
 running maximum: H[j] = max over k <= j of (t[k] + gap * (j - k)) for t = max(diagonal, up), so
 H + j * |gap| is a cumulative maximum and needs no loop over columns. Directions are kept in one byte
 a cell and all pairs of a batch are traced back in lock-step. Ties go to the diagonal, then up, then left.
+
+Global alignments of like sequences fill only the diagonals that a best path can reach. With all gap symbols
+in one place and d mismatches the score is 2 m - 3 d - 2 g, for the shorter length m and the difference g of
+lengths; a path w diagonals beyond those from 0 to g has w more gap symbols on either side and at most
+2 m - 2 g - 6 w. So a best path, and each one that ties, keeps within d // 2 of them, and the result is that of
+the whole matrix.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,6 +116,68 @@ def fill(a: list[bytes], b: list[bytes], mode: str, band: int | None = None) ->
     return way, score, end_row, end_col
 
 
+def differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least mismatches of each pair (symbols in rows, all x of one length and all y) with all gap symbols in one place."""
+    if x.shape[1] > y.shape[1]:
+        x, y = y, x
+    m, gaps = x.shape[1], y.shape[1] - x.shape[1]
+    if not gaps:
+        return (x != y).sum(axis=1)
+    zero = np.zeros((len(x), 1), np.int32)
+    before, behind = (np.hstack([zero, np.cumsum(x != z, axis=1, dtype=np.int32)]) for z in (y[:, :m], y[:, gaps:]))
+    return (before - behind).min(axis=1) + behind[:, -1]
+
+
+def fill_near(sa: np.ndarray, sb: np.ndarray, m: np.ndarray, n: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(directions, score) of global alignments on the diagonals low to high (column less row) alone; symbols padded in rows, directions by row, diagonal and pair."""
+    pairs, rows = sa.shape
+    width, pad = high - low + 1, max(0, 1 - low)
+    kind = np.int16 if 4 * (rows + sb.shape[1] + width) < 1 << 14 else np.int32
+    never = kind(-(1 << 14) if kind is np.int16 else -(1 << 29))
+    sa = np.ascontiguousarray(sa.T)
+    other = np.full((pad + max(sb.shape[1], rows + high), pairs), 1, np.uint8)
+    other[pad : pad + sb.shape[1]] = sb.T
+    way = np.empty((rows + 1, width, pairs), np.uint8)
+    column = low + np.arange(width)
+    h = np.repeat(np.where(column >= 0, GAP * column, never).astype(kind)[:, None], pairs, axis=1)
+    way[0] = np.where(column == 0, _STOP, _LEFT)[:, None]
+    score, at = np.zeros(pairs, np.int64), n - m - low
+    for i in range(1, rows + 1):
+        first = pad + i - 1 + low
+        diagonal = h + np.where(sa[i - 1] == other[first : first + width], kind(MATCH), kind(MISMATCH))
+        up = np.full_like(h, never)
+        np.add(h[1:], kind(GAP), out=up[:-1])
+        h = np.maximum(diagonal, up)
+        for k in range(1, width):
+            np.maximum(h[k], h[k - 1] + kind(GAP), out=h[k])
+        if i + low <= 0:
+            h[: max(0, -low - i)] = never  # left of the matrix
+        way[i] = np.where(h == diagonal, _DIAGONAL, np.where(h == up, _UP, _LEFT))
+        ends = np.flatnonzero(m == i)
+        score[ends] = h[at[ends], ends]
+    return way, score
+
+
+def trace_near(way: np.ndarray, m: np.ndarray, n: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``trace``, for the directions of ``fill_near``."""
+    pairs = way.shape[2]
+    i, j = m.copy(), n.copy()
+    moves = np.full((int((m + n).max()) + 1, pairs), _STOP, np.uint8)
+    count = np.zeros(pairs, np.int64)
+    live, step = np.arange(pairs), 0
+    while len(live):
+        d = way[i[live], j[live] - i[live] - low, live]
+        go = d != _STOP
+        if not go.all():
+            live, d = live[go], d[go]
+        moves[step, live] = d
+        i[live] -= d != _LEFT
+        j[live] -= d != _UP
+        count[live] += 1
+        step += 1
+    return np.ascontiguousarray(moves[: step + 1].T), count, i, j
+
+
 def trace(way: np.ndarray, end_row: np.ndarray, end_col: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(moves in reverse, their number, start row, start column), all pairs in lock-step."""
     pairs = len(way)
@@ -193,6 +262,41 @@ def _groups(a: list[str], b: list[str], good: list[int]) -> Iterator[list[int]]:
         yield held
 
 
+def _same_sizes(a: list[bytes], b: list[bytes], good: list[int]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(pairs, symbols of a, symbols of b) for the pairs of each size, with few enough symbols for running sums."""
+    for (m, n), held in itertools.groupby(sorted(good, key=lambda k: (len(a[k]), len(b[k]))), key=lambda k: (len(a[k]), len(b[k]))):
+        rest, most = list(held), max(1, CELLS // (8 * (m + n)))
+        for at in range(0, len(rest), most):
+            some = rest[at : at + most]
+            yield some, *(np.frombuffer(b"".join([s[k] for k in some]), np.uint8).reshape(len(some), -1) for s in (a, b))
+
+
+def _reaches(a: list[bytes], b: list[bytes], good: list[int]) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """((lowest, highest diagonal, pair) of the pairs that few diagonals settle, the other pairs)."""
+    near, rest = [], []
+    for some, x, y in _same_sizes(a, b, good):
+        gap, reach = y.shape[1] - x.shape[1], differences(x, y) // 2
+        for k, w in zip(some, reach.tolist(), strict=True):
+            low, high = min(gap, 0) - w, max(gap, 0) + w
+            if 2 * (high - low + 1) <= y.shape[1]:
+                near.append((low, high, k))
+            else:
+                rest.append(k)
+    return near, rest
+
+
+def _near_groups(a: list[bytes], near: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, list[int]]]:
+    """Runs of pairs of the same diagonals and of like size, whose direction cells fit in CELLS."""
+    for (low, high), run in itertools.groupby(sorted(near, key=lambda x: (x[0], x[1], len(a[x[2]]))), key=lambda x: x[:2]):
+        held: list[int] = []
+        for *_, k in run:
+            if held and (len(held) + 1) * (len(a[k]) + 1) * max(high - low + 1, 32) > CELLS:  # with few diagonals it is reading off that takes the memory
+                yield low, high, held
+                held = []
+            held.append(k)
+        yield low, high, held
+
+
 def align_batch(a: list[str], b: list[str], mode: str = "global", band: int | None = None, most: int = MOST_SYMBOLS, strict: bool = False) -> list[dict]:
     """A result per pair, in the fields of RESULT; a pair with a problem has nulls (or, if strict, is an error)."""
     check_options(mode, band)
@@ -206,22 +310,51 @@ def align_batch(a: list[str], b: list[str], mode: str = "global", band: int | No
             raise AlignmentError(wrong)
         else:
             out[k] = dict.fromkeys(("score", "identity", "n_matches", "n_mismatches", "n_gaps", "aligned_a", "aligned_b", "a_start", "a_end", "b_start", "b_end", "mutations")) | {"mode": mode, "problem": wrong}
+    if mode == "global" and band is None:
+        x, y = ([(s or "").encode() for s in t] for t in (a, b))
+        near, good = _reaches(x, y, good)
+        for low, high, group in _near_groups(x, near):
+            m, n = (np.array([len(s[k]) for k in group]) for s in (x, y))
+            sa, sb = _padded([x[k] for k in group], int(m.max()), 0), _padded([y[k] for k in group], int(n.max()), 1)
+            if low == high == 0:  # one diagonal, which all pairs go down whole
+                _settle_straight(out, group, sa, sb, m, mode)
+                continue
+            way, score = fill_near(sa, sb, m, n, low, high)
+            _settle(out, a, b, group, score, m, n, trace_near(way, m, n, low), mode)
     for group in _groups(a, b, good):
         way, score, row, col = fill([a[k].encode() for k in group], [b[k].encode() for k in group], mode, band)
-        moves, count, i, j = trace(way, row, col)
-        read = _read_off([a[k] for k in group], [b[k] for k in group], moves, count, i, j)
-        changes = _changes(*read)
-        sums = [(read[2] == v).sum(axis=1).tolist() for v in range(3)]
-        for x, k in enumerate(group):
-            n = int(count[x])
-            same, other, gaps = (s[x] for s in sums)
-            out[k] = {
-                "score": int(score[x]), "identity": same / n if n else 0.0, "n_matches": same, "n_mismatches": other, "n_gaps": gaps, "aligned_a": read[0][x, :n].tobytes().decode(), "aligned_b": read[1][x, :n].tobytes().decode(), "mode": mode,
-                "a_start": int(i[x]), "a_end": int(row[x]), "b_start": int(j[x]), "b_end": int(col[x]), "mutations": changes[x], "problem": None,
-            }
+        _settle(out, a, b, group, score, row, col, trace(way, row, col), mode)
     return out
 
 
+def _settle(out: list[dict], a: list[str], b: list[str], group: list[int], score: np.ndarray, row: np.ndarray, col: np.ndarray, traced: tuple[np.ndarray, ...], mode: str) -> None:
+    """Puts the results of a group in their places."""
+    moves, count, i, j = traced
+    read = _read_off([a[k] for k in group], [b[k] for k in group], moves, count, i, j)
+    _put(out, group, read, score, count, i, row, j, col, mode)
+
+
+def _settle_straight(out: list[dict], group: list[int], sa: np.ndarray, sb: np.ndarray, m: np.ndarray, mode: str) -> None:
+    """As ``_settle``, for pairs of equal length without gaps."""
+    place = np.broadcast_to(np.arange(sa.shape[1]), sa.shape)
+    state = np.where(place < m[:, None], (sa != sb).astype(np.int8), np.int8(3))
+    other, zero = (state == 1).sum(axis=1), np.zeros(len(m), np.int64)
+    _put(out, group, (sa, sb, state, place, place), MATCH * (m - other) + MISMATCH * other, m, zero, m, zero, m, mode)
+
+
+def _put(out: list[dict], group: list[int], read: tuple[np.ndarray, ...], score: np.ndarray, count: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end: np.ndarray, mode: str) -> None:
+    changes = _changes(*read)
+    sums = ((read[2] == v).sum(axis=1).tolist() for v in range(3))
+    width = read[0].shape[1]
+    top, low = (np.ascontiguousarray(x).tobytes().decode() for x in read[:2])
+    numbers = zip(group, count.tolist(), score.tolist(), *sums, a_start.tolist(), a_end.tolist(), b_start.tolist(), b_end.tolist(), changes, range(0, width * len(group), width), strict=True)
+    for k, n, s, same, other, gaps, a0, a1, b0, b1, found, at in numbers:
+        out[k] = {
+            "score": s, "identity": same / n if n else 0.0, "n_matches": same, "n_mismatches": other, "n_gaps": gaps, "aligned_a": top[at : at + n], "aligned_b": low[at : at + n], "mode": mode,
+            "a_start": a0, "a_end": a1, "b_start": b0, "b_end": b1, "mutations": found, "problem": None,
+        }
+
+
 def align(a: Column, b: Column, mode: str = "global", band: int | None = None, *, most: int = MOST_SYMBOLS, strict: bool = False) -> Column:
     """A struct of RESULT for each pair of sequences."""
     check_options(mode, band)

@@ -61,6 +61,31 @@ def test_batches_match_the_classic_recurrence(pairs, mode):
                 assert y[m["pos_b"]] == m["sym_b"]
 
 
+edits = st.lists(st.tuples(st.integers(0, 60), st.sampled_from(["", "A", "C", "AC", "CAA"]), st.integers(0, 3)), max_size=5)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("AC", min_size=12, max_size=60), edits), min_size=1, max_size=6))
+def test_like_pairs_are_aligned_as_by_the_whole_matrix(pairs):
+    """Ties, too: with two letters there are many."""
+    a, b = [x for x, _ in pairs], []
+    for x, changes in pairs:
+        for at, put, lost in changes:
+            x = x[:at] + put + x[at + lost :]
+        b.append(x or "A")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(an, "_reaches", lambda x, y, good: ([], good))
+        whole = an.align_batch(a, b)
+    assert an.align_batch(a, b) == whole
+
+
+def test_like_pairs_fill_no_whole_matrix(monkeypatch):
+    monkeypatch.setattr(an, "fill", None)
+    x = HBB[:102]
+    got = an.align_batch([x, x, x, x], [x, x[:50] + "T" + x[51:], x[:20] + x[21:], x[:30] + "GGG" + x[33:]])
+    assert [r["score"] for r in got] == [slow_score(x, y) for y in (x, x[:50] + "T" + x[51:], x[:20] + x[21:], x[:30] + "GGG" + x[33:])]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(dna, dna), min_size=1, max_size=5), st.integers(1, 12))
 def test_banded(pairs, band):
