@@ -16,6 +16,8 @@ from ..functions.buffers import places, row_blocks, views
 
 #: Longest k-mer whose place is a number of 63 bits.
 MOST_LETTERS = 31
+#: Longest k-mer of whose places a task marks those that it has met, in a byte each.
+_MARKED = 12
 #: Rows of a batch that a kernel gives back.
 _BATCH = 1 << 16
 _UNKNOWN = len(NUCLEOTIDES)
@@ -42,10 +44,35 @@ def explode_distinct(reads: DataFrame, k: int, seq_col: str = "seq", *keep: str,
 
 def kmer_set(reads: DataFrame, k: int, seq_col: str = "seq", *, strict: bool = True) -> DataFrame:
     """(kmer): the distinct k-mers of all sequences. Each task makes its own distinct before the shuffle, on numbers where k allows it."""
-    each = explode_distinct(reads, k, seq_col, strict=strict)
-    if k > 31:
-        return each.distinct()
-    return each.select(kmer_id(F.col("kmer")).alias("place")).distinct().select(kmer_text(F.col("place"), k).alias("kmer"))
+    if k > MOST_LETTERS:
+        return explode_distinct(reads, k, seq_col, strict=strict).distinct()
+    return kmer_places(reads, k, seq_col, strict=strict).distinct().select(kmer_text(F.col("place"), k).alias("kmer"))
+
+
+def kmer_places(reads: DataFrame, k: int, seq_col: str = "seq", *, strict: bool = True) -> DataFrame:
+    """(place): the places of all k-mers, in each task at most once for small k and once a block of sequences for others. A protein is an error or, if not strict, has none."""
+    if not 1 <= k <= MOST_LETTERS:
+        raise SeqValueError(f"k must lie between 1 and {MOST_LETTERS}")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            flat, bounds = views(batch.column(0))
+            for lo, hi in row_blocks(bounds):
+                yield window_places(flat[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], k)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = blocks(batches)
+        if k <= _MARKED:
+            seen = np.zeros(4**k, bool)
+            for place in each:
+                seen[place] = True
+            each = iter([np.flatnonzero(seen)])
+        for place in each:
+            place = np.unique(place)
+            for at in range(0, len(place), _BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(place[at : at + _BATCH])], names=["place"])
+
+    return reads.select(nucleotides_only(F.col(seq_col), strict=strict).alias("seq")).mapInArrow(run, "place long")
 
 
 def kmer_id(kmer: Column) -> Column:

@@ -198,6 +198,15 @@ def test_seed_candidates_by_brute_force(spark, k):
     assert {tuple(r) for r in pairs.collect()} == {(i, j, len(x & y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if len(x & y) >= 2}
 
 
+@pytest.mark.parametrize("k", [1, 5, 13, 31, 32])
+def test_kmer_sets_by_brute_force(spark, k):
+    rng = random.Random(k)
+    texts = [None, "", "A" * 50] + ["".join(rng.choices("ACGTNé", (30, 30, 30, 30, 1, 1), k=rng.randint(0, 90))) for _ in range(40)]
+    found = kmers.kmer_set(spark.createDataFrame([(t,) for t in texts], "seq string").repartition(3), k)
+    assert sorted(r["kmer"] for r in found.collect()) == sorted({t[i : i + k] for t in texts if t for i in range(len(t) - k + 1) if set(t[i : i + k]) <= set("ACGT")})
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString() or k > 31  # no row for each window
+
+
 def test_seeds_are_never_broadcast(spark):
     """Spark takes k-mers for as few as their sequences, and sent all of them to every worker."""
     reads = spark.range(100).selectExpr("id as a", "repeat('ACGT', 10) as seq")
