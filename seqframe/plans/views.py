@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 _R = """select event_id as read_id,
  translate(md5(cast(event_id as {T})), '0123456789abcdef', 'ACGTACGTACGTACGN') as seq,
  translate(md5(concat(cast(event_id as {T}), 'q')), '0123456789abcdef', '!+05:?ADFGHIIIII') as qual from {events}"""
+_GENE = """translate(lower(regexp_replace(text, '[^A-Za-z]', ''{G})),
+ 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"""
+_PROTEIN = """translate(upper(regexp_replace(text, '[^A-Za-z]', ''{G})),
+ 'BJOUXZ', 'DLKCGE')"""
 _CODONS = ("GCT", "TGT", "GAT", "GAA", "TTT", "GGT", "CAT", "ATT", "AAA", "CTT", "AAT", "CCT", "CAA", "CGT", "TCT", "GTT")
 
 
@@ -26,10 +30,9 @@ VIEWS = {
     "reads": _R,
     "ragged": f"""select read_id, substr(concat(seq, seq), 1, cast(8 + read_id % 49 as int)) as seq,
  substr(concat(qual, qual), 1, cast(8 + read_id % 49 as int)) as qual from ({_R}) r""",
-    "genes": """select doc_id as gene_id, lang, translate(lower(regexp_replace(text, '[^A-Za-z]', ''{G})),
- 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as seq from {documents}""",
-    "proteins": """select doc_id as prot_id, translate(upper(regexp_replace(text, '[^A-Za-z]', ''{G})),
- 'BJOUXZ', 'DLKCGE') as seq from {documents}""",
+    "genes": f"select doc_id as gene_id, lang, {_GENE} as seq from {{documents}}",
+    "proteins": f"select doc_id as prot_id, {_PROTEIN} as seq from {{documents}}",
+    "both": f"select doc_id as id, {_GENE} as g, {_PROTEIN} as p from {{documents}}",
     "alleles": """select o_orderkey as pair_id, a, p,
  case o_orderkey % 4 when 0 then a
   when 1 then concat(substr(a, 1, p), translate(substr(a, p + 1, 1), 'ACGT', 'CGTA'), substr(a, p + 2))

@@ -9,11 +9,15 @@ from ..errors import SeqValueError
 from ..functions.alphabet import canonical, detect_type
 
 
-def _records(raw: Column) -> Column:
-    """A chunk between '>' marks: its first line is the header; lines after it are joined, without edge blanks and ';' lines."""
-    lines = F.split(raw, r"\r?\n")
-    body = F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), lambda x: F.trim(F.regexp_replace(x, r"^[\t ]+|[\t\r ]+$", ""))), lambda x: ~x.startswith(";"))
-    return F.struct(F.trim(F.regexp_replace(F.get(lines, F.lit(0)), r"[\t\r ]+$", "")).alias("header"), F.when(F.size(lines) > 1, F.array_join(body, "")).otherwise("").alias("text"))
+def _records(chunks: Column) -> Column:
+    """Structs (header, text) of chunks between '>' marks: the first line is the header; lines after it are joined, without edge blanks and ';' lines."""
+    end = lambda c: F.locate("\n", c)
+    parts = F.transform(chunks, lambda c: F.struct(F.substring_index(c, "\n", 1).alias("head"), F.when(end(c) > 0, F.substr(c, end(c) + 1)).otherwise("").alias("body")))
+    line = lambda x: F.ltrim(F.rtrim(x, F.lit("\t\r ")), F.lit("\t "))
+    joined = lambda body: F.array_join(F.filter(F.transform(F.split(body, "\n"), line), lambda x: ~x.startswith(";")), "")
+    plain = lambda body: ~(body.contains("\t") | body.contains("\r") | body.contains(" ") | body.contains(";"))
+    text = lambda body: F.when(plain(body), F.replace(body, F.lit("\n"), F.lit(""))).otherwise(joined(body))
+    return F.transform(parts, lambda x: F.struct(F.trim(F.rtrim(x["head"], F.lit("\t\r "))).alias("header"), text(x["body"]).alias("text")))
 
 
 def _typed(records: DataFrame, force_type: str | None, *keep: str) -> DataFrame:
@@ -41,15 +45,15 @@ def read_fasta(spark: SparkSession, path: str, force_type: str | None = None) ->
     split = F.floor(F.col("block") / max(1, min(sizes))).cast("long")
     marked = chunks.withColumn("seq_id", F.shiftleft(split, 33).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     cleaned = marked.withColumn("value", F.regexp_replace("value", r"(?s)\A(?:[^>]*\n)?>", ""))
-    return _typed(cleaned.withColumn("r", _records(F.col("value"))), force_type, "seq_id", "file")
+    return _typed(cleaned.select("seq_id", "file", F.explode(_records(F.array("value"))).alias("r")), force_type, "seq_id", "file")  # exploded, so that no filter works out a record again
 
 
 def parse_fasta(texts: DataFrame, text_col: str = "text", *keep: str, force_type: str | None = None) -> DataFrame:
     """Records of FASTA texts held in a column; what stands before the first '>' is left out. seq_id counts within the text."""
-    lead = F.concat(F.lit("\n"), F.regexp_replace(F.col(text_col), "\r\n", "\n"))
-    chunks = F.slice(F.split(lead, "\n>"), 2, F.greatest(F.size(F.split(lead, "\n>")) - 1, F.lit(1)))
-    each = texts.select(*keep, F.posexplode(F.when(F.size(F.split(lead, "\n>")) > 1, chunks)).alias("seq_id", "value"))
-    return _typed(each.withColumn("r", _records(F.col("value"))), force_type, *keep, "seq_id")
+    lead = F.concat(F.lit("\n"), F.replace(F.col(text_col), F.lit("\r\n"), F.lit("\n")))
+    chunks = F.filter(F.split(lead, "\n>"), lambda _, place: place > 0)
+    each = texts.select(*keep, F.posexplode(_records(chunks)).alias("seq_id", "r"))
+    return _typed(each, force_type, *keep, "seq_id")
 
 
 def fasta_lines(header: Column, seq: Column, width: int = 60) -> Column:

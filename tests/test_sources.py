@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +144,25 @@ def test_fasta_text(spark):
         fasta.parse_fasta(spark.createDataFrame([("",)], "text string"), force_type="x")
 
 
+def test_fasta_lines_with_blanks_and_notes(spark, tmp_path):
+    rng = random.Random(9)
+    records = [("".join(rng.choices("ab \t", k=5)), ["".join(rng.choices("ACGTé; \t", k=rng.randint(0, 9))) for _ in range(rng.randint(0, 5))]) for _ in range(300)]
+    for end in ("\n", "\r\n"):
+        text = "".join(f">{h}{end}" + "".join(x + end for x in lines) for h, lines in records)
+        cleaned = [(h.rstrip("\t ").strip(" "), "".join(y for y in (x.strip("\t ") for x in lines) if not y.startswith(";"))) for h, lines in records]
+        expected = [(h, re.sub("[^ACGT]", "N", x)) for h, x in cleaned if x]
+        parsed = fasta.parse_fasta(spark.createDataFrame([(text,)], "text string"))
+        assert [(r["header"], r["seq"]) for r in parsed.orderBy("seq_id").collect()] == expected
+        (tmp_path / "x.fa").write_bytes(text.encode())
+        assert [(r["header"], r["seq"]) for r in fasta.read_fasta(spark, str(tmp_path / "x.fa")).orderBy("seq_id").collect()] == expected
+
+
+def test_a_fasta_record_is_worked_out_once(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">a\nACGT\n")
+    for df in (fasta.read_fasta(spark, str(tmp_path / "x.fa")), fasta.parse_fasta(spark.createDataFrame([(">a\nA",)], "text string"))):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("substring_index") == 1
+
+
 @pytest.mark.parametrize("most", ["1m", "300"])
 def test_fasta_file(spark, tmp_path, most):
     rng = random.Random(5)
