@@ -37,7 +37,9 @@ def rollup_mutations(mutations: DataFrame, *keys: str) -> DataFrame:
 
 
 def first_of_each_file(records: DataFrame, file_col: str = "file", order_col: str = "seq_id") -> DataFrame:
-    return records.withColumn("__r", F.row_number().over(Window.partitionBy(file_col).orderBy(order_col))).where("__r = 1").drop("__r")
+    """Each task finds the first of its records, so no task has all of a file's; select the columns that are needed before."""
+    first = F.min_by(F.struct(*(F.col(c) for c in records.columns)), F.struct(order_col)).alias("__first")  # a struct, so that nulls come first
+    return records.groupBy(F.col(file_col).alias("__file")).agg(first).select("__first.*")
 
 
 def mutation_pipeline(pairs: DataFrame, mode: str = "both", *, a_col: str = "a", b_col: str = "b", strict: bool = False) -> DataFrame:

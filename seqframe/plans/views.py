@@ -57,10 +57,10 @@ VIEWS = {
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows over all cores where a table has few file splits (which a single row group may leave all but one empty); for work that costs far more than moving the rows.
 
-    The layout alone depends on the number of splits, never the rows.
+    The layout alone depends on the number of splits, never the rows: there are never fewer parts than splits, so a part's size is bounded.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 8 * cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(max(cores, splits)) if splits < 8 * cores else df
 
 
 #: The columns that the views of costly operators read.

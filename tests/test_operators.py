@@ -13,6 +13,7 @@ from seqframe.errors import AlignmentError, SeqError, SeqValueError
 from seqframe.operators import alignment as an
 from seqframe.operators import kmers, mutations
 from seqframe.operators import quality_control as qc
+from seqframe.plans.views import spread
 from tests.test_functions import HBB
 
 SICKLE = HBB[:19] + "T" + HBB[20:]
@@ -214,6 +215,25 @@ def test_seeds_are_never_broadcast(spark):
     assert "SortMergeJoin [kmer" in plan and not re.search(r"BroadcastHashJoin \[kmer#\d+L?, __s", plan)
 
 
+def test_first_of_each_file(spark):
+    rows = [("x", 5, "a"), ("x", 2, "b"), ("y", 7, "c"), ("z", 1, "d"), ("z", None, "e"), (None, 3, "f"), (None, 1, "g")]
+    found = mutations.first_of_each_file(spark.createDataFrame(rows, "file string, seq_id long, header string").repartition(4))
+    assert found.columns == ["file", "seq_id", "header"]
+    assert {r["file"]: r["header"] for r in found.collect()} == {"x": "b", "y": "c", "z": "e", None: "g"}
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()  # which would bring all records of a file to one task
+
+
+def test_no_part_of_a_spread_table_grows(spark, tmp_path):
+    spark.range(1000).repartition(11).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        table = spark.read.parquet(str(tmp_path / "t"))
+        assert spread(table).rdd.getNumPartitions() >= table.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_quality_control(spark):
     reads = spark.createDataFrame([(0, "ACGT", "IIII"), (1, "GGCC", "5555"), (2, "ATAT", "????")], "read_id int, seq string, qual string")
     r = qc.report(reads)
